@@ -1,0 +1,45 @@
+"""Queries of the language-model text operators over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.topn import readable_score, top_per_group
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best jobs of every user."""
+    matches = _table(spark, sf_dir, "user_matched_job")
+    return top_per_group(matches, "user_id", "job_id", readable_score(F.col("match_score")), F.col("update_time").try_cast("timestamp"))
+
+
+P6_SQL = """
+WITH cleaned AS (
+  SELECT user_id, job_id, try_cast(update_time AS timestamptz) AS t,
+         replace(trim(regexp_replace(match_score, '\\s+', ' ', 'g')), ',', '.') AS s
+  FROM user_matched_job
+), scored AS (
+  SELECT user_id, job_id, t, CASE
+      WHEN regexp_full_match(s, '\\d+(\\.\\d*)?') THEN try_cast(s AS double)
+      WHEN regexp_full_match(s, '\\d+(\\.\\d*)? ?%') THEN round(try_cast(trim(replace(s, '%', '')) AS double) / 10, 6)
+      WHEN regexp_full_match(s, '\\d+(\\.\\d*)? ?/ ?\\d+(\\.\\d+)?')
+        THEN round(try_cast(trim(split_part(s, '/', 1)) AS double) * 10 / try_cast(trim(split_part(s, '/', 2)) AS double), 6)
+    END AS score
+  FROM cleaned
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY score DESC, t DESC NULLS LAST) AS k
+  FROM scored WHERE score BETWEEN 0 AND 10 AND user_id IS NOT NULL AND job_id IS NOT NULL
+), ranked AS (
+  SELECT user_id, job_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, t DESC NULLS LAST, job_id) AS rank_no
+  FROM best WHERE k = 1
+)
+SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
+"""
+
+QUERIES = {"p6_found": p6_found}
+ORACLE = {"p6_found": P6_SQL}
