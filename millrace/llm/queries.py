@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.places import map_places
 from millrace.llm.topn import readable_score, top_per_group
 
 
@@ -12,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place named in a location, by its entry in the place list."""
+    return map_places(_table(spark, sf_dir, "job_detail"), "id", "location", _table(spark, sf_dir, "place_ref"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best jobs of every user."""
     matches = _table(spark, sf_dir, "user_matched_job")
@@ -41,5 +47,5 @@ WITH cleaned AS (
 SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
 """
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
 ORACLE = {"p6_found": P6_SQL}
