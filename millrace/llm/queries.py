@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe import count_tokens, encode_texts
+from millrace.llm.packing import pack
 from millrace.llm.places import map_places
 from millrace.llm.topn import readable_score, top_per_group
 
@@ -24,6 +26,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_group(matches, "user_id", "job_id", readable_score(F.col("match_score")), F.col("update_time").try_cast("timestamp"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_texts(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2,048 tokens in which every part of a document lies."""
+    return pack(count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
+
+
 P6_SQL = """
 WITH cleaned AS (
   SELECT user_id, job_id, try_cast(update_time AS timestamptz) AS t,
@@ -47,5 +59,5 @@ WITH cleaned AS (
 SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
 """
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
 ORACLE = {"p6_found": P6_SQL}
