@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import count_tokens, encode_texts
+from millrace.llm.lookalikes import look_alike_pairs
 from millrace.llm.packing import pack
 from millrace.llm.places import map_places
 from millrace.llm.topn import readable_score, top_per_group
@@ -36,6 +37,11 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose texts differ but look the same."""
+    return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 P6_SQL = """
 WITH cleaned AS (
   SELECT user_id, job_id, try_cast(update_time AS timestamptz) AS t,
@@ -59,5 +65,5 @@ WITH cleaned AS (
 SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
 """
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 ORACLE = {"p6_found": P6_SQL}
