@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import count_tokens, encode_texts
 from millrace.llm.lookalikes import look_alike_pairs
+from millrace.llm.neardup import near_duplicate_pairs
 from millrace.llm.packing import pack
 from millrace.llm.places import map_places
 from millrace.llm.topn import readable_score, top_per_group
@@ -21,6 +22,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_places(_table(spark, sf_dir, "job_detail"), "id", "location", _table(spark, sf_dir, "place_ref"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings that are edited versions of one another."""
+    return near_duplicate_pairs(_table(spark, sf_dir, "job_detail"), "id", "title", "job_desc")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best jobs of every user."""
     matches = _table(spark, sf_dir, "user_matched_job")
@@ -65,5 +71,5 @@ WITH cleaned AS (
 SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
 """
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 ORACLE = {"p6_found": P6_SQL}
