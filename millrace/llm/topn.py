@@ -15,12 +15,13 @@ def readable_score(score: Column) -> Column:
     Understood are plain numbers, a decimal point or comma, ``x/10`` and other
     denominators, and percentages (the share of 10).
     """
-    text = F.replace(F.trim(F.regexp_replace(score, r"\s+", " ")), F.lit(","), F.lit("."))
-    parts = r"^(\d+(?:\.\d*)?|\.\d+) ?(?:(%)|(?:/|of|out of) ?(\d+(?:\.\d+)?))?$"
-    number = F.regexp_extract(text, parts, 1).try_cast("double")
-    whole = F.when(F.regexp_extract(text, parts, 2) == "%", F.lit(100.0)).otherwise(F.coalesce(F.regexp_extract(text, parts, 3).try_cast("double"), F.lit(10.0)))
+    text = F.translate(F.lower(score), ", \t\n\r\u00a0", ".")
+    text = F.replace(F.replace(text, F.lit("outof"), F.lit("/")), F.lit("of"), F.lit("/"))
+    readable = text.rlike(r"^(?:\d+\.?\d*|\.\d+)(?:%|/\d+\.?\d*)?$")
+    number = F.substring_index(F.substring_index(text, "%", 1), "/", 1).try_cast("double")
+    whole = F.when(F.endswith(text, F.lit("%")), F.lit(100.0)).otherwise(F.coalesce(F.nullif(F.split_part(text, F.lit("/"), F.lit(2)), F.lit("")), F.lit("10")).try_cast("double"))
     value = F.round(number * 10 / F.nullif(whole, F.lit(0.0)), 6)
-    return F.when(value.between(0, 10), value)
+    return F.when(readable, F.when(value.between(0, 10), value))
 
 
 def top_per_group(df: DataFrame, group: str, item: str, score: Column, time: Column, n: int = 10, subgroups: int = SUBGROUPS) -> DataFrame:
@@ -35,9 +36,10 @@ def top_per_group(df: DataFrame, group: str, item: str, score: Column, time: Col
     subgroup, where its best row is found and all but ``n`` items are dropped.
     The second stage ranks the at most ``n * subgroups`` survivors of a group.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), score.alias("s"), time.alias("t")).where("g is not null and i is not null and s is not null")
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), score.alias("s"), time.alias("t")).where("g is not null and i is not null")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(subgroups)).cast("int")).repartition("g", "salt")
-    best = salted.groupBy("g", "salt", "i").agg(F.max(F.struct("s", "t")).alias("b")).select("g", "salt", "i", "b.s", "b.t")
+    # The score is tested after the aggregation: tested before, it would be parsed twice a row.
+    best = salted.groupBy("g", "salt", "i").agg(F.max(F.struct("s", "t")).alias("b")).select("g", "salt", "i", "b.s", "b.t").where("s is not null")
     order = [F.desc("s"), F.desc_nulls_last("t"), F.asc("i")]
     kept = best.withColumn("r", F.row_number().over(Window.partitionBy("g", "salt").orderBy(*order))).where(F.col("r") <= n).drop("r", "salt")
     ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("r") <= n)
