@@ -9,6 +9,7 @@ from millrace.llm.bpe import count_tokens, encode_texts
 from millrace.llm.lookalikes import look_alike_pairs
 from millrace.llm.neardup import near_duplicate_pairs
 from millrace.llm.packing import pack
+from millrace.llm.pii import find_personal_data, redact_personal_data
 from millrace.llm.places import map_places
 from millrace.llm.topn import readable_score, top_per_group
 
@@ -17,6 +18,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of personal data in a resume, by kind and place."""
+    return find_personal_data(_table(spark, sf_dir, "user_info"), "id", "resume", "name")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every resume with its personal data replaced by placeholders."""
+    return redact_personal_data(_table(spark, sf_dir, "user_info"), "id", "resume", "name")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place named in a location, by its entry in the place list."""
     return map_places(_table(spark, sf_dir, "job_detail"), "id", "location", _table(spark, sf_dir, "place_ref"))
@@ -71,5 +82,5 @@ WITH cleaned AS (
 SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 ORACLE = {"p6_found": P6_SQL}
