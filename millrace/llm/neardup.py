@@ -30,23 +30,29 @@ from pyspark.sql import functions as F
 from millrace.operators.arrowmap import arrow_map
 from millrace.session import cut_lineage, spread
 
-SEGMENTS, WIDTH = 12, 4
+SEGMENTS, WIDTH = 14, 5
 LEAST_WORDS = 20
 THRESHOLD = 0.5
 #: Share of the records from which on a run of words counts as common.
-COMMON = 0.01
+COMMON = 0.02
 #: Runs are counted to within this share of the records (lossy counting).
 COUNT_ERROR = COMMON / 8
 #: Signatures computed at once; words and texts remembered by a task.
-CHUNK, REMEMBERED, REMEMBERED_TEXTS = 400, 1 << 18, 1 << 10
+CHUNK, REMEMBERED, REMEMBERED_TEXTS = 64, 1 << 18, 1 << 10
 
-_WORDS = re.compile(r"[^\W_]+").findall
+_ANY_WORDS, _ASCII_WORDS = re.compile(r"[^\W_]+").findall, re.compile(r"[a-z0-9]+").findall
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _SHIFT = np.uint64(33)
 
 
+def _words(text: str) -> list[str]:
+    lower = text.lower()
+    return _ASCII_WORDS(lower) if lower.isascii() else _ANY_WORDS(lower)
+
+
 def words_of(title: str | None, body: str | None) -> list[str]:
-    return _WORDS(f"{title or ''} {body or ''}".lower())
+    """Runs of letters and digits of both, in lower case."""
+    return _words(f"{title or ''} {body or ''}")
 
 
 def word_runs(words: list[str]) -> set[tuple[str, ...]]:
@@ -76,13 +82,15 @@ class _Hasher:
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        flat = []
+        flat: list[int] = []
         for words in records:
-            for w in words:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                flat.append(h)
+            hashes = list(map(known.get, words))
+            if None in hashes:
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh3_64_intdigest(w)
+                hashes = [known[w] for w in words]
+            flat += hashes
         h = np.array(flat, np.uint64)
         lengths = np.array([len(w) for w in records])
         runs = _mixed(h[:-2] * _A + _mixed(h[1:-1] * _B + h[2:]))
@@ -98,7 +106,8 @@ def _fingerprint(words: list[str]) -> tuple[int, int]:
 
 
 def _eligible(title: str | None, body: str | None) -> list[str] | None:
-    return words_of(title, body) if body and len(_WORDS(body.lower())) >= LEAST_WORDS else None
+    own = _words(body) if body else ()
+    return _words(title or "") + own if len(own) >= LEAST_WORDS else None
 
 
 def _survey_setup():
@@ -109,13 +118,8 @@ def _survey_setup():
         found = [(k, w) for k, t, b in zip(keys, titles, bodies) if k is not None and (w := _eligible(t, b))]
         if not found:
             return [], [], [], []
-        runs, starts = hasher.runs([w for _, w in found])
-        record = np.repeat(np.arange(len(found)), np.diff(np.append(starts, len(runs))))
-        order = np.lexsort((record, runs))
-        runs, record = runs[order], record[order]
-        first = np.ones(len(runs), bool)
-        first[1:] = (runs[1:] != runs[:-1]) | (record[1:] != record[:-1])
-        values, counts = np.unique(runs[first], return_counts=True)
+        runs, _ = hasher.runs([w for _, w in found])
+        values, counts = np.unique(runs, return_counts=True)
         often = counts > COUNT_ERROR * len(found)
         values, counts = values[often].view(np.int64).tolist(), counts[often].tolist()
         prints = [_fingerprint(w) for _, w in found]
@@ -132,7 +136,7 @@ def _signature_setup(common):
         hasher = _Hasher()
         hot, weights = common.value
         symbols = SEGMENTS * WIDTH
-        factors = np.array([xxhash.xxh3_64_intdigest(f"symbol {i}") | 1 for i in range(symbols)], np.uint64)
+        factors = np.array([xxhash.xxh32_intdigest(f"symbol {i}") | 1 for i in range(symbols)], np.uint32)
         seen: set[int] = set()
 
         def signatures(records):
@@ -141,8 +145,10 @@ def _signature_setup(common):
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, runs), len(hot) - 1)
                 rarity = np.where(hot[at] == runs, weights[at], np.float32(1))
-            drawn = ((runs[:, None] * factors) >> np.uint64(40)).astype(np.float32)
-            drawn += np.float32(0.5)
+            mixed = (runs >> np.uint64(32)).astype(np.uint32)[:, None] * factors
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0x85EBCA6B)
+            drawn = mixed.astype(np.float32)
             drawn *= rarity[:, None]
             return np.minimum.reduceat(drawn, starts, axis=0).view(np.uint32).astype(np.uint64)
 
@@ -178,18 +184,26 @@ def _signature_setup(common):
 
 def _verify_setup(threshold: float):
     def setup():
-        known: dict[tuple[int, int], set] = {}
+        known: dict[tuple[int, int], set | None] = {}
 
         def runs(f1, f2, title, body):
-            got = known.get((f1, f2))
-            if got is None:
-                if len(known) >= REMEMBERED_TEXTS:
-                    known.clear()
-                got = known[f1, f2] = word_runs(words_of(title, body))
-            return got
+            """None for the text of another record with the same key."""
+            if (f1, f2) in known:
+                return known[f1, f2]
+            words = _eligible(title, body)
+            if words is None or _fingerprint(words) != (f1, f2):
+                return None
+            if len(known) >= REMEMBERED_TEXTS:
+                known.clear()
+            known[f1, f2] = word_runs(words)
+            return known[f1, f2]
 
         def run(*columns):
-            kept = [r[:2] + r[4:6] for r in zip(*columns) if similarity(runs(*r[:4]), runs(*r[4:])) >= threshold]
+            kept = []
+            for row in zip(*columns):
+                a, b = runs(*row[:4]), runs(*row[4:])
+                if a and b and similarity(a, b) >= threshold:
+                    kept.append(row[:2] + row[4:6])
             return [list(c) for c in zip(*kept)] if kept else [[], [], [], []]
 
         return run
@@ -205,6 +219,21 @@ def _common_runs(counts: DataFrame, records: int) -> tuple[np.ndarray, np.ndarra
     return hashes[order], (np.array([r[1] for r in rows], np.float32) / np.float32(COMMON * max(records, 1)))[order]
 
 
+def _met(records: DataFrame, common) -> DataFrame:
+    """``(f1, g1)``, f1 < g1: fingerprints that meet in a variant."""
+    index = arrow_map(records.select("t", "b"), _signature_setup(common), "variant bigint, f1 bigint").repartition("variant")
+    other = index.select("variant", F.col("f1").alias("g1"))
+    return cut_lineage(index.join(other, "variant").where("f1 < g1").select("f1", "g1").distinct())
+
+
+def _with_shared_partners(met: DataFrame) -> DataFrame:
+    """``met`` and the pairs that both meet a third: edited versions come in
+    families, and a pair that missed each other rarely misses all its kin."""
+    both = met.union(met.select(F.col("g1"), F.col("f1"))).toDF("mid", "end")
+    shared = both.join(both.toDF("mid", "far"), "mid").where("end < far").select(F.col("end").alias("f1"), F.col("far").alias("g1"))
+    return cut_lineage(met.union(shared).distinct())
+
+
 def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD, left: str = "id_a", right: str = "id_b") -> DataFrame:
     """``(left, right)``, left < right: records with similarity ``threshold`` or more.
 
@@ -219,19 +248,19 @@ def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, thresho
     kind = df.schema[key].dataType.simpleString()
     records = spread(df.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b")))
     survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, is_record boolean, a bigint, b bigint"))
-    members = survey.where("is_record").select("k", F.col("a").alias("f1"), F.col("b").alias("f2"))
-    common = spark.sparkContext.broadcast(_common_runs(survey.where("not is_record"), members.count()))
-
-    index = arrow_map(records.select("t", "b"), _signature_setup(common), "variant bigint, f1 bigint").repartition("variant")
-    other = index.select("variant", F.col("f1").alias("g1"))
-    met = cut_lineage(index.join(other, "variant").where("f1 < g1").select("f1", "g1").distinct())
-
-    sought = met.select("f1").union(met.select("g1")).distinct()
-    classes = members.groupBy("f1", "f2").agg(F.min("k").alias("k")).join(sought, "f1", "left_semi")
-    texts = records.join(classes, "k").dropDuplicates(["f1", "f2"]).select("f1", "f2", "t", "b")
-    a, b = texts, texts.toDF("g1", "g2", "u", "c")
-    paired = met.join(a, "f1").join(b, "g1").select("f1", "f2", "t", "b", "g1", "g2", "u", "c")
-    similar = arrow_map(paired, _verify_setup(threshold), "f1 bigint, f2 bigint, g1 bigint, g2 bigint")
+    # One exchange serves every use of the members.
+    members = survey.where("is_record").select("k", F.col("a").alias("f1"), F.col("b").alias("f2")).repartition("f1", "f2")
+    common = spark.sparkContext.broadcast(_common_runs(survey.where("not is_record"), survey.where("is_record").count()))
+
+    met = _with_shared_partners(_met(records, common))
+    # Texts are moved once, by key, and that exchange serves both sides of a pair.
+    reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k"))
+    ra, rb = reps.toDF("f1", "f2", "ka"), reps.toDF("g1", "g2", "kb")
+    keyed = met.join(ra, "f1").join(rb, "g1")
+    texts = records.where("k is not null").repartition("k")
+    ta, tb = texts.toDF("ka", "t", "b"), texts.toDF("kb", "u", "c")
+    paired = keyed.join(ta, "ka").join(tb, "kb").select("f1", "f2", "t", "b", "g1", "g2", "u", "c")
+    similar = arrow_map(paired, _verify_setup(threshold), "f1 bigint, f2 bigint, g1 bigint, g2 bigint").distinct()
 
     ma, mb = members.toDF("ka", "f1", "f2"), members.toDF("kb", "g1", "g2")
     between = similar.join(ma, ["f1", "f2"]).join(mb, ["g1", "g2"]).select("ka", "kb")
