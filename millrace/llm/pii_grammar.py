@@ -86,13 +86,13 @@ _TOWN = rf"(?:, (?:\d{{4,6}} )?{_CAP}(?:[ /&\-]{{1,3}}(?:and )?{_CAP})*)?"
 _STREET = regex.compile(
     r"(?<![\w\-/.,])(?:"
     rf"(?P<first>\d{{1,5}}(?: ?[a-z])?(?: (?:bis|ter))? (?:[NSEW]\.? |North |South |East |West )?(?:{_CAP} ){{1,3}}(?:{STREET_ENDS})\b\.?)"
-    rf"|(?P<french>\d{{1,4}}(?: ?(?:bis|ter|quater|[a-z]))?,? (?:{FRENCH_STREETS}) (?:(?:de|du|des|d['’]|de la|de l['’]|la|le|les|l['’]|{_CAP})\s?){{1,5}})"
+    rf"|(?P<french>\d{{1,4}}(?: ?(?:bis|ter|quater|[a-z]))?,? (?:{FRENCH_STREETS}) (?:(?:de|du|des|d['’]|de la|de l['’]|la|le|les|l['’]|{_CAP}) ?){{1,5}}(?<! ))"
     rf"|(?P<spanish>(?:{SPANISH_STREETS}) (?:(?:de|del|de la|de los|de las|la|las|los|el|e|y|{_CAP}) )*{_CAP},? (?:n[ºo.°] ?)?\d{{1,4}}[a-z]?)"
     rf"|(?P<german>(?:\p{{Lu}}[\p{{L}}\-]*(?:{GERMAN_ENDS})|(?:{GERMAN_STARTS}) (?:{_CAP} )?{_CAP}|{_CAP}[ \-](?:Straße|Str\.|Weg|Allee|Platz|Ring|Ufer|Damm)) \d{{1,4}} ?[a-z]?)"
     rf")(?![\p{{L}}\p{{N}}])(?P<rest>{_UNIT}{_TOWN})"
 )
 # A street name that goes on is part of an account's, firm's or project's name.
-_GOES_ON = regex.compile(r"\s(?:\p{Lu}|(?:account|project|team|office|programme|program|portal|branch)\b)")
+_GOES_ON = regex.compile(r"(?<!\.) (?:\p{Lu}|(?:account|project|team|office|programme|program|portal|branch)\b)")
 
 _PIECE = r"[\p{L}][\p{L}'’]*(?:[\-‐‑][\p{L}'’]+)*"
 
@@ -115,7 +115,7 @@ class Grammar:
         )
         self._cued = regex.compile(
             rf"(?:(?<![\p{{L}}])(?:{NAME_CUES})(?: *[:\-–]? *|(?<=,)\n)(?:(?:{TITLES})\.? )*|(?<![\p{{L}}])(?:{TITLES})\. )"
-            rf"(?-i:(?P<name>(?:{initial} ){{1,2}}(?:(?:{PARTICLES}) )?\p{{Lu}}{_PIECE[5:]}|\p{{Lu}}[\p{{L}}'’\-]+(?: {initial})*(?: (?:{PARTICLES}))? \p{{Lu}}[\p{{L}}'’\-]+))(?![\w@]|\s?[@＠])",
+            rf"(?-i:(?P<name>(?:{initial} ){{1,2}}(?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+|\p{{Lu}}[\p{{L}}'’\-]+(?: {initial})*(?: (?:{PARTICLES}))? \p{{Lu}}[\p{{L}}'’\-]+))(?![\w@]|\s?[@＠])",
             regex.I,
         )
         self._lone = regex.compile(rf"(?:^|\n)\s*(?:(?:{TITLES})\. )?(?P<name>(?:\p{{Lu}}\. )+(?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+)(?=\s*(?:[\n,|·/;]|  |$))", regex.I)
