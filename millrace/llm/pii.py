@@ -25,6 +25,8 @@ from millrace.session import spread
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 #: Texts of the training sample. More change the result little and cost driver time.
 TRAINING_TEXTS = 1200
+#: Texts whose features are in memory at once.
+TOGETHER = 200
 #: Share of the names in which a word occurs to count as frequent: at most
 #: (words a name) / this many words.
 FREQUENT = 0.002
@@ -124,6 +126,10 @@ _CHECKS = {
 def find_spans(texts: list[str], grammar: Grammar, model: Model) -> list[list[Span]]:
     """The spans that hold, by text. A span takes the proposal's bounds where
     one of its kind covers it; one without must have the form of its kind."""
+    return [spans for at in range(0, len(texts), TOGETHER) for spans in _find_together(texts[at : at + TOGETHER], grammar, model)]
+
+
+def _find_together(texts: list[str], grammar: Grammar, model: Model) -> list[list[Span]]:
     proposed = [grammar.spans(t) for t in texts]
     seen = [observe(t, p, grammar.given) for t, p in zip(texts, proposed)]
     out = []
