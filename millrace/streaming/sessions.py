@@ -77,16 +77,22 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, ttl
         else:
             action = "ignored"
         actions.append(action)
-    state.update((writer, int(written), used))
-    state.setTimeoutDuration(max(1, ttl_ms))
+    until = int(written) + ttl_ms
+    if writer is None or until <= state.getCurrentWatermarkMs():
+        if state.exists:
+            state.remove()
+    else:
+        state.update((writer, int(written), used))
+        state.setTimeoutTimestamp(until)
     yield rows.assign(chat_id=key[0], action=actions)[["chat_id", "ts", "kind", "text", "action"]]
 
 
-def session_stream(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+def session_stream(events: DataFrame, ttl_ms: int = TTL_MS, lateness: str = "10 minutes") -> DataFrame:
     """``session_actions`` over a stream that brings each chat's events in order.
 
-    State expires by the events' times; what stays silent for a time to live of
-    the clock is dropped from the store.
+    Everything goes by the events' times: state expires a time to live after it
+    was written, and the watermark, ``lateness`` behind the latest event, drops
+    it from the store.
     """
-    rows = events.select("chat_id", F.col("ts").cast("timestamp").alias("ts"), "kind", "text").where("chat_id is not null and ts is not null")
-    return rows.groupBy("chat_id").applyInPandasWithState(lambda k, b, s: _advance(k, b, s, ttl_ms), ACTIONS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select("chat_id", F.col("ts").cast("timestamp").alias("ts"), "kind", "text").where("chat_id is not null and ts is not null").withWatermark("ts", lateness)
+    return rows.groupBy("chat_id").applyInPandasWithState(lambda k, b, s: _advance(k, b, s, ttl_ms), ACTIONS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
