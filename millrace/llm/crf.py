@@ -96,10 +96,10 @@ def train(sequences: list[Sequence], answers: list[list[int]], labels: list[str]
             e = examples[start : start + 4096]
             # Half of the neighbours are hidden, at random: else a neighbour's label
             # gives the answer away and the observations learn nothing.
-            left, right = (np.where(rng.random(len(e)) < 0.5, n, x[e]) for x in (before, after))
+            left, right, one, two = (np.where(rng.random(len(e)) < 0.5, n, x[e]) for x in (before, after, linked[:, 0], linked[:, 1]))
             t_full[:n], a_full[:n] = t + forbidden, (t + forbidden).T
             s_full = np.vstack([theta[groups], np.zeros((1, n), np.float32)])
-            score = w[rows[e]].sum(1) + t_full[left] + a_full[right] + s_full[linked[e, 0]] + s_full[linked[e, 1]]
+            score = w[rows[e]].sum(1) + t_full[left] + a_full[right] + s_full[one] + s_full[two]
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(e)), y[e]] -= 1
@@ -114,9 +114,9 @@ def train(sequences: list[Sequence], answers: list[list[int]], labels: list[str]
             np.add.at(u, right, p)
             step_t = d[:n] + u[:n].T + l2 * t
             step_s = np.zeros(3, np.float32)
-            for c in (0, 1):
-                has = linked[e, c] < n
-                np.add.at(step_s, groups[linked[e, c][has]], p[has])
+            for other in (one, two):
+                has = other < n
+                np.add.at(step_s, groups[other[has]], p[has])
             gw += g * g
             gt += step_t * step_t
             gs += step_s * step_s

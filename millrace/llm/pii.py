@@ -54,7 +54,7 @@ def observe(text: str, proposals: list[Span], given: frozenset[str]) -> tuple[Se
     """The observed sequence of a text, and where its tokens are."""
     places = [m.span() for m in TOKEN.finditer(text)]
     tokens = [text[a:b] for a, b in places]
-    tags = ["-"] * len(tokens)
+    tags, sure = ["-"] * len(tokens), [""] * len(tokens)
     k = 0
     for p in proposals:
         while k < len(places) and places[k][1] <= p.start:
@@ -62,6 +62,7 @@ def observe(text: str, proposals: list[Span], given: frozenset[str]) -> tuple[Se
         i = k
         while i < len(places) and places[i][0] < p.end:
             tags[i] = ("B-" if i == k else "I-") + p.kind
+            sure[i] = "!" if p.sure else "?"
             i += 1
     lower = [t.lower() for t in tokens]
     shapes = [_shape(t) for t in tokens]
@@ -75,7 +76,7 @@ def observe(text: str, proposals: list[Span], given: frozenset[str]) -> tuple[Se
         line = a < 0 or tokens[a] == "\n"
         features.append(
             [
-                "b", "w" + words[i], "s" + shapes[i], "t" + tags[i], "T" + (tags[a] if a >= 0 else "^") + tags[i] + (tags[b] if b < n else "$"),
+                "b", "w" + words[i], "s" + shapes[i], "t" + tags[i], "q" + tags[i] + sure[i], "T" + (tags[a] if a >= 0 else "^") + tags[i] + (tags[b] if b < n else "$"),
                 "e" + lower[i][-3:], "<" + before, ">" + after, "<<" + (words[i - 2] if i > 1 else "^") + " " + before,
                 "S" + (shapes[a] if a >= 0 else "^") + shapes[i] + (shapes[b] if b < n else "$"), "g" + names[i] + (names[a] if a >= 0 else "") + ("l" if line else ""),
             ]
@@ -106,9 +107,11 @@ def _answers(places: list[tuple[int, int]], proposals: list[Span]) -> list[int]:
 def fit(texts: list[str], grammar: Grammar) -> Model:
     """The model of a sample of texts, labelled by their sure proposals."""
     sequences, answers = [], []
-    for text in texts:
+    for n, text in enumerate(texts):
         proposals = grammar.spans(text)
         sequence, places = observe(text, proposals, grammar.given)
+        if n % 2:  # half of the texts don't say which proposals are sure, so the unsure ones learn from them
+            sequence.features = [[f for f in fs if f[0] != "q"] for fs in sequence.features]
         sequences.append(sequence)
         answers.append(_answers(places, proposals))
     return train(sequences, answers, LABELS)
