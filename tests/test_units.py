@@ -71,8 +71,8 @@ def test_any_text_reads_or_not(text):
 
 def test_operator(spark, rows):
     units = spark.createDataFrame([(c, k, f) for (c, k), f in FACTORS.items()], "unit_code string, unit_kind string, factor double")
-    data = [("1", "$10k", None, 1), ("2", "90000", "All pay amounts: EUR, yearly.", 1), ("3", None, None, 1), (None, "£1,000/mo", None, 1), ("5", "x" * 30_000 + " $5", None, 1), ("6", "$1", "", 1), ("6", "$1", "", 1), ("7", "5", None, 1)]
+    data = [("1", "$10k", None, 1), ("2", "90000", "All pay amounts: EUR, yearly.", 1), ("3", None, None, 1), (None, "£1,000/mo", None, 1), ("5", "x" * 30_000 + " $5", None, 1), ("6", "$1", "", 1), ("6", "$1", "", 1), ("7", "5", None, 1), ("8", "from 4 to 5", "All pay amounts: USD, yearly.", 1), ("9", "4 to 5 zł", "All pay amounts: USD, yearly.", 1)]
     df = spark.createDataFrame(data, "id string, salary string, job_desc string, low_usd int")
-    assert rows(to_usd_per_year(df, "id", "salary", "job_desc", units)) == sorted([("1", 10000, 10000), ("2", 98100, 98100), (None, 15240, 15240), ("5", 5, 5), ("6", 1, 1), ("6", 1, 1)], key=repr)
+    assert rows(to_usd_per_year(df, "id", "salary", "job_desc", units)) == sorted([("1", 10000, 10000), ("2", 98100, 98100), (None, 15240, 15240), ("5", 5, 5), ("6", 1, 1), ("6", 1, 1), ("8", 4, 5), ("9", 1, 1)], key=repr)
     assert rows(to_usd_per_year(df.limit(0), "id", "salary", "job_desc", units)) == []
     assert rows(to_usd_per_year(df, "id", "salary", "job_desc", units.limit(0))) == []
