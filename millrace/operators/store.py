@@ -92,6 +92,12 @@ class SnapshotStore:
     def _pointer(self, table: str) -> str:
         return os.path.join(self.root, table, "_CURRENT")
 
+    def create(self) -> None:
+        """Every table that doesn't exist yet, empty."""
+        for table in TABLES:
+            if not self.version(table):
+                self.write(table, self.spark.createDataFrame([], TABLES[table]))
+
     def version(self, table: str) -> int:
         try:
             with open(self._pointer(table)) as f:
@@ -111,6 +117,7 @@ class SnapshotStore:
         v = self.version(table) + 1
         columns = [F.col(f.name).cast(f.dataType) for f in TABLES[table]]
         df.select(*columns).write.mode("overwrite").parquet(os.path.join(self.root, table, f"v={v}"))
+        os.makedirs(os.path.join(self.root, table), exist_ok=True)
         draft = self._pointer(table) + f".{uuid.uuid4().hex}"
         with open(draft, "w") as f:
             json.dump({"version": v}, f)

@@ -17,6 +17,9 @@ from millrace.session import cut_lineage
 from millrace.sources.listings import to_jobs
 
 
+STAGES = ("crawl", "embed", "match", "notify")
+
+
 class Pipeline:
     """``today`` and ``now`` are given, never read from a clock."""
 
@@ -81,6 +84,41 @@ class Pipeline:
             self._replace("user_matched_job", matches.unionByName(new))
         return added
 
+    def register_users(self, users: DataFrame) -> None:
+        """Appends users whose telegram_id is new and changes no other."""
+        known = self.store.read("user_info")
+        new = insert_if_absent(known, users, ["telegram_id"], [F.asc("id")])
+        self._replace("user_info", known.unionByName(new.select(*known.columns)))
+
+    def set_expectations(self, said: DataFrame) -> None:
+        """Expectations ``(telegram_id, job_expectations)`` of known users."""
+        self._replace("user_info", update_by_key(self.store.read("user_info"), said.select("telegram_id", "job_expectations"), "telegram_id"))
+
+    def run_stage(self, name: str, *args, retries: int = 3, **kwargs):
+        """A stage by its name, repeated if it fails; all stages bear it."""
+        if name not in STAGES:
+            raise ValueError(f"no stage {name!r}; there are {', '.join(STAGES)}")
+        for left in range(retries, -1, -1):
+            try:
+                return getattr(self, name)(*args, **kwargs)
+            except Exception:
+                if not left:
+                    raise
+
+    def run_all(self, fetched: dict[str, DataFrame], deliver: Callable[[DataFrame], DataFrame]) -> dict[str, object]:
+        """One firing: every source is crawled for itself, so one that fails
+        leaves the others; then embed, match and notify."""
+        report: dict[str, object] = {}
+        for source, listings in fetched.items():
+            try:
+                report[f"crawl {source}"] = self.run_stage("crawl", listings, source, retries=0)
+            except Exception as e:
+                report[f"crawl {source}"] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+        report["embed"] = self.run_stage("embed")
+        report["match"] = self.run_stage("match")
+        report["notify"] = self.run_stage("notify", deliver)
+        return report
+
     def notify(self, deliver: Callable[[DataFrame], DataFrame]) -> int:
         """Messages to ``deliver``, which returns the ``user_id`` it reached; all
         un-notified matches of those are marked, of the others none."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.arrowmap import arrow_map
@@ -204,6 +204,12 @@ def union_with_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return outcomes.where("error is null"), outcomes.where("error is not null").select("url", "error")
 
 
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Text files of a folder as uploads; the name without its ending is the telegram_id."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return uploaded_texts(files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("telegram_id"), F.lit("text/plain").alias("mime"), "content"))
+
+
 def uploaded_texts(files: DataFrame) -> DataFrame:
     """Uploads ``(telegram_id, mime, content)`` that are text and not empty, decoded."""
     ok = files.where(F.col("mime").startswith("text/") & (F.length("content") > 0))

@@ -7,6 +7,7 @@ from millrace.plans.access import outbox
 from millrace.plans.pipeline import Pipeline
 from millrace.schemas import JOB, MATCH, USER
 from millrace.session import cut_lineage
+from millrace.sources.listings import read_uploads
 
 
 def failing():
@@ -78,3 +79,24 @@ def test_undelivered_stay_pending(spark, tmp_path):
 def test_checkpoint_folder_is_the_sessions(spark):
     df = cut_lineage(spark.range(10).withColumn("x", F.rand(1)))
     assert df.collect() == df.collect()
+
+
+def test_one_firing(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.create()
+    p = Pipeline(store, HashedWords(), KeepAll(), "2026-03-31", "now")
+    p.register_users(spark.createDataFrame([("a", "A", None, "t1", None, None, None)], USER))
+    p.register_users(spark.createDataFrame([("b", "B", None, "t1", None, None, None), ("c", "C", None, "t2", None, None, None)], USER))
+    assert sorted(r["id"] for r in store.read("user_info").collect()) == ["a", "c"]
+    p.set_expectations(spark.createDataFrame([("t1", "remote"), ("t9", "x")], "telegram_id string, job_expectations string"))
+    assert {r["id"]: r["job_expectations"] for r in store.read("user_info").collect()} == {"a": "remote", "c": None}
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "t1.txt").write_text("spark data")
+    (tmp_path / "up" / "t2.txt").write_text("")
+    p.ingest_resumes(read_uploads(spark, str(tmp_path / "up")))
+    broken = spark.range(1).select(F.raise_error(F.lit("down")).alias("title"), *[F.lit("").alias(c) for c in ("url", "description", "location", "salary", "update_time")], F.array().cast("array<string>").alias("tags"))
+    report = p.run_all({"good": listings(spark), "bad": broken}, lambda box: box.select("user_id"))
+    assert report["crawl good"] == 5 and "down" in str(report["crawl bad"]) or "Exception" in str(report["crawl bad"])
+    assert report["embed"] == {"embedded": 4, "failed": 0} and report["match"] == 3 and report["notify"] == 1
+    with pytest.raises(ValueError, match="no stage"):
+        p.run_stage("nothing")
