@@ -13,9 +13,12 @@ for short segments to tell them apart, so the symbols here are whole hashes,
 which unrelated records hardly ever share.
 
 Runs that many records have (boilerplate) would fill the index. They are
-counted over all records, and a run in more than ``COMMON`` of them is drawn
-into a signature as much more rarely. There are at most ``length / COMMON``
-such runs, so their list has a bound that doesn't grow with the table.
+counted over all records, exact copies in a task once, and a run in more than
+``COMMON`` of them is drawn into a signature as much more rarely, down to
+``RAREST_DRAW``. There are at most ``length / COMMON`` such runs, so their list
+has a bound that doesn't grow with the table. A large family of edited versions
+makes its own runs common; its members then meet directly less often, but have
+so many kin that they meet through a third.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ LEAST_WORDS = 20
 THRESHOLD = 0.5
 #: Share of the records from which on a run of words counts as common.
 COMMON = 0.02
+#: A run in no more records than this is not common, however small the table.
+COMMON_LEAST = 50
+RAREST_DRAW = 0.25
 #: Runs are counted to within this share of the records (lossy counting).
 COUNT_ERROR = COMMON / 8
 #: Signatures computed at once; words and texts remembered by a task.
@@ -43,6 +49,7 @@ CHUNK, REMEMBERED, REMEMBERED_TEXTS = 64, 1 << 18, 1 << 10
 _ANY_WORDS, _ASCII_WORDS = re.compile(r"[^\W_]+").findall, re.compile(r"[a-z0-9]+").findall
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _SHIFT = np.uint64(33)
+_RECORDS = 0  # stands where a run's hash stands
 
 
 def _words(text: str) -> list[str]:
@@ -111,18 +118,27 @@ def _eligible(title: str | None, body: str | None) -> list[str] | None:
 
 
 def _survey_setup():
-    """Per record a row with its fingerprint, per batch the counts of its runs."""
+    """Per record a row with its fingerprint, per batch the counts of its runs
+    and, as that of ``_RECORDS``, of its records."""
     hasher = _Hasher()
+    seen: set[tuple[int, int]] = set()
 
     def run(keys, titles, bodies):
         found = [(k, w) for k, t, b in zip(keys, titles, bodies) if k is not None and (w := _eligible(t, b))]
         if not found:
             return [], [], [], []
-        runs, _ = hasher.runs([w for _, w in found])
-        values, counts = np.unique(runs, return_counts=True)
-        often = counts > COUNT_ERROR * len(found)
-        values, counts = values[often].view(np.int64).tolist(), counts[often].tolist()
         prints = [_fingerprint(w) for _, w in found]
+        fresh = []
+        for p, (_, w) in zip(prints, found):
+            if p not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(p)
+                fresh.append(w)
+        runs = hasher.runs(fresh)[0] if fresh else np.zeros(0, np.uint64)
+        values, counts = np.unique(runs, return_counts=True)
+        often = counts > COUNT_ERROR * len(fresh)
+        values, counts = [_RECORDS, *values[often].view(np.int64).tolist()], [len(fresh), *counts[often].tolist()]
         n, m = len(found), len(values)
         return [k for k, _ in found] + [None] * m, [True] * n + [False] * m, [p[0] for p in prints] + values, [p[1] for p in prints] + counts
 
@@ -211,12 +227,16 @@ def _verify_setup(threshold: float):
     return setup
 
 
-def _common_runs(counts: DataFrame, records: int) -> tuple[np.ndarray, np.ndarray]:
+def _common_runs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common runs, sorted, with what their draws are multiplied by."""
-    rows = counts.groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > COMMON * records).collect()
-    hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    sums = counts.groupBy("a").agg(F.sum("b").alias("n"))
+    records = sums.where(F.col("a") == _RECORDS).first()
+    least = max(COMMON * records["n"], COMMON_LEAST) if records else 0
+    rows = sums.where((F.col("n") > least) & (F.col("a") != _RECORDS)).collect()
+    hashes = np.array([r["a"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], (np.array([r[1] for r in rows], np.float32) / np.float32(COMMON * max(records, 1)))[order]
+    rarity = np.minimum(np.array([r["n"] for r in rows]) / max(least, 1), 1 / RAREST_DRAW).astype(np.float32)
+    return hashes[order], rarity[order]
 
 
 def _met(records: DataFrame, common) -> DataFrame:
@@ -250,7 +270,7 @@ def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, thresho
     survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, is_record boolean, a bigint, b bigint"))
     # One exchange serves every use of the members.
     members = survey.where("is_record").select("k", F.col("a").alias("f1"), F.col("b").alias("f2")).repartition("f1", "f2")
-    common = spark.sparkContext.broadcast(_common_runs(survey.where("not is_record"), survey.where("is_record").count()))
+    common = spark.sparkContext.broadcast(_common_runs(survey.where("not is_record")))
 
     met = _with_shared_partners(_met(records, common))
     # Texts are moved once, by key, and that exchange serves both sides of a pair.
