@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import count_tokens, encode_texts
-from millrace.llm.lookalikes import look_alike_pairs
+from millrace.llm.groups import grouped_records
+from millrace.llm.lookalikes import canonical_texts, look_alike_pairs
 from millrace.llm.neardup import near_duplicate_pairs
 from millrace.llm.packing import pack
 from millrace.llm.pii import find_personal_data, redact_personal_data
@@ -38,6 +39,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(_table(spark, sf_dir, "job_detail"), "id", "title", "job_desc")
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every posting, and to how many postings it is linked."""
+    jobs = _table(spark, sf_dir, "job_detail")
+    return grouped_records(jobs, "id", near_duplicate_pairs(jobs, "id", "title", "job_desc"), "id_a", "id_b")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best jobs of every user."""
     matches = _table(spark, sf_dir, "user_matched_job")
@@ -59,6 +66,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one consistent form."""
+    return canonical_texts(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 P6_SQL = """
 WITH cleaned AS (
   SELECT user_id, job_id, try_cast(update_time AS timestamptz) AS t,
@@ -82,5 +94,16 @@ WITH cleaned AS (
 SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
 """
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_canonical": p10_canonical,
+}
 ORACLE = {"p6_found": P6_SQL}
