@@ -21,3 +21,33 @@ def spark():
 def rows():
     """The rows of a DataFrame as sorted tuples, in the order of its columns."""
     return lambda df, *columns: sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
+
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def agrees(spark):
+    """Checks a query against its SQL on the smallest test tables."""
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for f in os.listdir(SF_DIR):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF_DIR}/{f}'")
+
+    def check(query, sql):
+        df = query(spark, SF_DIR)
+        columns = sorted(df.columns)
+        got = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+        if sql is None:
+            assert got
+            return
+        found = con.execute(sql)
+        names = [d[0] for d in found.description]
+        assert sorted(names) == columns
+        want = sorted((tuple(r[names.index(c)] for c in columns) for r in found.fetchall()), key=repr)
+        assert got == want
+
+    return check
