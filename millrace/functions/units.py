@@ -83,7 +83,7 @@ _CURRENCY_OF = {w.lower(): code for code, ws in CURRENCY_WORDS.items() for w in
 #: Finds a currency in a text, also as a regular expression of the JVM.
 CURRENCY_WRITTEN = rf"(?i)[€£₹$]|(?<!\p{{L}})(?:{_either(w for w in _CURRENCY_OF if w.isalpha() or ' ' in w)})(?!\p{{L}})"
 _PERIOD_OF = {w.lower(): code for code, ws in PERIOD_WORDS.items() for w in ws}
-_NUMBER = r"\d{1,3}(?:[   ]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:['’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*"
+_NUMBER = r"\d{1,3}(?:[ \u00a0\u202f]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:['’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*"
 _TOKEN = re.compile(
     rf"(?P<lead>{_LEADS})(?P<led>{_either(_PERIOD_OF)})(?![^\W\d_])"
     rf"|(?P<cur>{_either(w for w in _CURRENCY_OF if not w.isalpha() and ' ' not in w)}|(?<![^\W\d_])(?:{_either(w for w in _CURRENCY_OF if w.isalpha() or ' ' in w)})(?![^\W\d_]))"
@@ -102,7 +102,7 @@ _NOT_PAY = re.compile(r"\b(?:401\s?k|equity|bonus|unpaid|trial|leave|holidays?|v
 def number(text: str) -> float | None:
     """A written number. A point or comma before exactly three digits separates
     thousands unless the number starts with 0; any other last one is decimal."""
-    s = re.sub(r"['’\s  ]", "", text)
+    s = re.sub(r"['’\s\u00a0\u202f]", "", text)
     marks = [(m.group(), m.start()) for m in re.finditer(r"[.,]", s)]
     if not marks:
         return float(s)

@@ -99,7 +99,7 @@ def parse_html(text: str) -> Node:
 
 
 def _trim(text: str) -> str:
-    return text.strip(" \t\n\r\f\v ﻿     　" + "".join(map(chr, range(0x2000, 0x200B))))
+    return text.strip(" \t\n\r\f\v\u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
 def html_text(fragment: str | None) -> str:
