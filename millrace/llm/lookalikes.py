@@ -29,9 +29,9 @@ CYRILLIC = dict(zip("асеорхуѕіјԁһԛԝАВСЕНІЈКМОРЅТХҮ
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"))
 HYPHENS = "‐‑﹣－"
 LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆĲĳ"
-BREAKS = "\r\x85  "
+BREAKS = "\r\x85\u2028\u2029"
 #: Invisible characters that change what is drawn next to them and stay.
-OVERRIDES = "‭‮"
+OVERRIDES = "\u202d\u202e"
 
 _TO_LATIN = str.maketrans(CYRILLIC | GREEK)
 _INTO = {
@@ -44,8 +44,8 @@ _TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]+")
 _FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 _SCRIPTS = (("L", regex.compile(r"\p{Latin}")), ("C", regex.compile(r"\p{Cyrillic}")), ("G", regex.compile(r"\p{Greek}")))
 # A joiner stays between pictures, and after letters that it shapes.
-_JOINERS = regex.compile(r"(?<![\p{Extended_Pictographic}️\U0001F3FB-\U0001F3FF؀-ࣿऀ-෿])[‌‍]|[‌‍](?![\p{Extended_Pictographic}؀-ࣿऀ-෿])")
-_INVISIBLE = regex.compile(rf"[\p{{Cf}}︀-️͏ᅟᅠㅤﾠ--[‌‍{OVERRIDES}؀-؅۝܏࣢\U000E0020-\U000E007F]]", regex.V1)
+_JOINERS = regex.compile(r"(?<![\p{Extended_Pictographic}\ufe0f\U0001F3FB-\U0001F3FF\u0600-\u08ff\u0900-෿])[\u200c\u200d]|[\u200c\u200d](?![\p{Extended_Pictographic}\u0600-\u08ff\u0900-෿])")
+_INVISIBLE = regex.compile(rf"[\p{{Cf}}\ufe00-\ufe0f\u034f\u115f\u1160\u3164\uffa0--[\u200c\u200d{OVERRIDES}\u0600-\u0605\u06dd\u070f\u08e2\U000E0020-\U000E007F]]", regex.V1)
 
 
 def _folds() -> dict[int, str]:
