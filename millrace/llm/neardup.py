@@ -5,7 +5,9 @@ symbols, each the smallest hash over its runs of three words. It is cut into
 few segments, so that two records that differ in fewer than ``2 * SEGMENTS``
 symbols have a segment with at most one difference. Every segment is indexed
 in ``WIDTH`` variants with one symbol left out; records that meet in a variant
-are candidates, and each candidate is verified on its words.
+are candidates. A candidate is dropped where bitmaps of the runs already differ in
+more places than the threshold allows the runs to differ (which never drops a
+similar pair), and each that is left is verified on its words.
 
 The method speaks of signatures of bits. At a similarity of one half, bits of
 similar and of unrelated records differ too little (a quarter against a half)
@@ -45,6 +47,8 @@ RAREST_DRAW = 0.25
 COUNT_ERROR = COMMON / 8
 #: Signatures computed at once; words and texts remembered by a task.
 CHUNK, REMEMBERED, REMEMBERED_TEXTS = 64, 1 << 18, 1 << 10
+#: A record's sketch marks each of its runs in so many words of 64 bits.
+SKETCH = 8
 
 _ANY_WORDS, _ASCII_WORDS = re.compile(r"[^\W_]+").findall, re.compile(r"[a-z0-9]+").findall
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
@@ -117,30 +121,41 @@ def _eligible(title: str | None, body: str | None) -> list[str] | None:
     return _words(title or "") + own if len(own) >= LEAST_WORDS else None
 
 
+def _sketches(runs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many runs each record has, and the bits they set, as columns of words."""
+    counts = np.diff(np.append(starts, len(runs)))
+    bits = np.zeros((len(starts), 64 * SKETCH), bool)
+    bits[np.repeat(np.arange(len(starts)), counts), (runs % np.uint64(64 * SKETCH)).astype(np.int64)] = True
+    return counts, np.packbits(bits, axis=1).view(np.int64).T
+
+
 def _survey_setup():
-    """Per record a row with its fingerprint, per batch the counts of its runs
-    and, as that of ``_RECORDS``, of its records."""
+    """Per record a row with its fingerprint and sketch, per batch the counts of
+    its runs and, as that of ``_RECORDS``, of its records."""
     hasher = _Hasher()
     seen: set[tuple[int, int]] = set()
 
     def run(keys, titles, bodies):
         found = [(k, w) for k, t, b in zip(keys, titles, bodies) if k is not None and (w := _eligible(t, b))]
         if not found:
-            return [], [], [], []
+            return [[] for _ in range(5 + SKETCH)]
         prints = [_fingerprint(w) for _, w in found]
         fresh = []
-        for p, (_, w) in zip(prints, found):
-            if p not in seen:
+        for p in prints:
+            fresh.append(p not in seen)
+            if fresh[-1]:
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(p)
-                fresh.append(w)
-        runs = hasher.runs(fresh)[0] if fresh else np.zeros(0, np.uint64)
-        values, counts = np.unique(runs, return_counts=True)
-        often = counts > COUNT_ERROR * len(fresh)
-        values, counts = [_RECORDS, *values[often].view(np.int64).tolist()], [len(fresh), *counts[often].tolist()]
+        runs, starts = hasher.runs([w for _, w in found])
+        sizes, words = _sketches(runs, starts)
+        values, counts = np.unique(runs[np.repeat(fresh, sizes)], return_counts=True)
+        often = counts > COUNT_ERROR * sum(fresh)
+        values, counts = [_RECORDS, *values[often].view(np.int64).tolist()], [sum(fresh), *counts[often].tolist()]
         n, m = len(found), len(values)
-        return [k for k, _ in found] + [None] * m, [True] * n + [False] * m, [p[0] for p in prints] + values, [p[1] for p in prints] + counts
+        none = np.zeros(m, np.int64)
+        sketch = [np.concatenate((c, none)) for c in (sizes, *words)]
+        return [[k for k, _ in found] + [None] * m, [True] * n + [False] * m, [p[0] for p in prints] + values, [p[1] for p in prints] + counts, *sketch]
 
     return run
 
@@ -246,6 +261,20 @@ def _met(records: DataFrame, common) -> DataFrame:
     return cut_lineage(index.join(other, "variant").where("f1 < g1").select("f1", "g1").distinct())
 
 
+def _can_be_similar(met: DataFrame, survey: DataFrame, threshold: float) -> DataFrame:
+    """``met`` without the pairs whose sketches rule the threshold out.
+
+    Sets of similarity t differ in at most (1 - t) / (1 + t) of the sum of their
+    sizes, and their bitmaps in no more places than the sets.
+    """
+    words = [f"s{i}" for i in range(SKETCH)]
+    sketches = survey.where("is_record").select(F.col("a").alias("f1"), "runs", *words).repartition("f1").distinct()
+    other = sketches.select(F.col("f1").alias("g1"), F.col("runs").alias("more"), *[F.col(w).alias(f"z{w}") for w in words])
+    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"z{w}"))) for w in words), F.lit(0))
+    allowed = (F.col("runs") + F.col("more")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    return cut_lineage(met.join(sketches, "f1").join(other, "g1").where(differ <= allowed).select("f1", "g1").distinct())
+
+
 def _with_shared_partners(met: DataFrame) -> DataFrame:
     """``met`` and the pairs that both meet a third: edited versions come in
     families, and a pair that missed each other rarely misses all its kin."""
@@ -267,12 +296,13 @@ def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, thresho
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     records = spread(df.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b")))
-    survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, is_record boolean, a bigint, b bigint"))
+    sketch = ", ".join(f"s{i} bigint" for i in range(SKETCH))
+    survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, is_record boolean, a bigint, b bigint, runs bigint, {sketch}"))
     # One exchange serves every use of the members.
     members = survey.where("is_record").select("k", F.col("a").alias("f1"), F.col("b").alias("f2")).repartition("f1", "f2")
     common = spark.sparkContext.broadcast(_common_runs(survey.where("not is_record")))
 
-    met = _with_shared_partners(_met(records, common))
+    met = _with_shared_partners(_can_be_similar(_met(records, common), survey, threshold))
     # Texts are moved once, by key, and that exchange serves both sides of a pair.
     reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k"))
     ra, rb = reps.toDF("f1", "f2", "ka"), reps.toDF("g1", "g2", "kb")
