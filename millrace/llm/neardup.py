@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from millrace.operators.arrowmap import arrow_map
 from millrace.session import cut_lineage, spread
 
-SEGMENTS, WIDTH = 12, 5
+SEGMENTS, WIDTH = 13, 5
 LEAST_WORDS = 20
 THRESHOLD = 0.5
 #: Share of the records from which on a run of words counts as common.
