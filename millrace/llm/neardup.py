@@ -14,13 +14,11 @@ similar and of unrelated records differ too little (a quarter against a half)
 for short segments to tell them apart, so the symbols here are whole hashes,
 which unrelated records hardly ever share.
 
-Runs that many records have (boilerplate) would fill the index. They are
-counted over all records, exact copies in a task once, and a run in more than
-``COMMON`` of them is drawn into a signature as much more rarely, down to
-``RAREST_DRAW``. There are at most ``length / COMMON`` such runs, so their list
-has a bound that doesn't grow with the table. A large family of edited versions
-makes its own runs common; its members then meet directly less often, but have
-so many kin that they meet through a third.
+Every run is drawn alike, boilerplate too, since the threshold counts it alike:
+whether a pair is found depends on its similarity and not on which of its runs
+are shared. Boilerplate brings unlike records together in some variants; there
+are more such candidates than similar pairs in a large table, they grow as the
+square of the records that share it, and only the bitmaps hold them back.
 """
 
 from __future__ import annotations
@@ -38,13 +36,6 @@ from millrace.session import cut_lineage, spread
 SEGMENTS, WIDTH = 13, 5
 LEAST_WORDS = 20
 THRESHOLD = 0.5
-#: Share of the records from which on a run of words counts as common.
-COMMON = 0.02
-#: A run in no more records than this is not common, however small the table.
-COMMON_LEAST = 50
-RAREST_DRAW = 0.25
-#: Runs are counted to within this share of the records (lossy counting).
-COUNT_ERROR = COMMON / 8
 #: Signatures computed at once; words and texts remembered by a task.
 CHUNK, REMEMBERED, REMEMBERED_TEXTS = 64, 1 << 18, 1 << 10
 #: A record's sketch marks each of its runs in so many words of 64 bits.
@@ -53,7 +44,6 @@ SKETCH = 8
 _ANY_WORDS, _ASCII_WORDS = re.compile(r"[^\W_]+").findall, re.compile(r"[a-z0-9]+").findall
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 _SHIFT = np.uint64(33)
-_RECORDS = 0  # stands where a run's hash stands
 
 
 def _words(text: str) -> list[str]:
@@ -130,87 +120,61 @@ def _sketches(runs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _survey_setup():
-    """Per record a row with its fingerprint and sketch, per batch the counts of
-    its runs and, as that of ``_RECORDS``, of its records."""
+    """Each record's key, fingerprint, number of runs and sketch."""
     hasher = _Hasher()
-    seen: set[tuple[int, int]] = set()
 
     def run(keys, titles, bodies):
         found = [(k, w) for k, t, b in zip(keys, titles, bodies) if k is not None and (w := _eligible(t, b))]
         if not found:
-            return [[] for _ in range(5 + SKETCH)]
+            return [[] for _ in range(4 + SKETCH)]
         prints = [_fingerprint(w) for _, w in found]
-        fresh = []
-        for p in prints:
-            fresh.append(p not in seen)
-            if fresh[-1]:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(p)
-        runs, starts = hasher.runs([w for _, w in found])
-        sizes, words = _sketches(runs, starts)
-        values, counts = np.unique(runs[np.repeat(fresh, sizes)], return_counts=True)
-        often = counts > COUNT_ERROR * sum(fresh)
-        values, counts = [_RECORDS, *values[often].view(np.int64).tolist()], [sum(fresh), *counts[often].tolist()]
-        n, m = len(found), len(values)
-        none = np.zeros(m, np.int64)
-        sketch = [np.concatenate((c, none)) for c in (sizes, *words)]
-        return [[k for k, _ in found] + [None] * m, [True] * n + [False] * m, [p[0] for p in prints] + values, [p[1] for p in prints] + counts, *sketch]
+        sizes, words = _sketches(*hasher.runs([w for _, w in found]))
+        return [[k for k, _ in found], [p[0] for p in prints], [p[1] for p in prints], sizes, *words]
 
     return run
 
 
-def _signature_setup(common):
+def _signature_setup():
     """``(variant, f1)`` for every one-wildcard variant of every segment."""
 
-    def setup():
-        hasher = _Hasher()
-        hot, weights = common.value
-        symbols = SEGMENTS * WIDTH
-        factors = np.array([xxhash.xxh32_intdigest(f"symbol {i}") | 1 for i in range(symbols)], np.uint32)
-        seen: set[int] = set()
-
-        def signatures(records):
-            runs, starts = hasher.runs(records)
-            rarity = np.ones(len(runs), np.float32)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, runs), len(hot) - 1)
-                rarity = np.where(hot[at] == runs, weights[at], np.float32(1))
-            mixed = (runs >> np.uint64(32)).astype(np.uint32)[:, None] * factors
-            mixed ^= mixed >> np.uint32(15)
-            mixed *= np.uint32(0x85EBCA6B)
-            drawn = mixed.astype(np.float32)
-            drawn *= rarity[:, None]
-            return np.minimum.reduceat(drawn, starts, axis=0).view(np.uint32).astype(np.uint64)
-
-        def run(titles, bodies):
-            out_keys, out_prints = [], []
-            todo = []
-            for t, b in zip(titles, bodies):
-                w = _eligible(t, b)
-                if w and (p := _fingerprint(w)[0]) not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()  # a copy may then be indexed again, which changes nothing
-                    seen.add(p)
-                    todo.append((p, w))
-            for at in range(0, len(todo), CHUNK):
-                part = todo[at : at + CHUNK]
-                parts = signatures([w for _, w in part]).reshape(len(part), SEGMENTS, WIDTH)
-                prints = np.array([p for p, _ in part], np.int64)
-                for left_out in range(WIDTH):
-                    key = np.broadcast_to(np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out), parts.shape[:2])
-                    for i in range(WIDTH):
-                        if i != left_out:
-                            key = _mixed(key * _A + parts[:, :, i])
-                    out_keys.append(key.reshape(-1).view(np.int64))
-                    out_prints.append(np.repeat(prints, SEGMENTS))
-            if not out_keys:
-                return [], []
-            return np.concatenate(out_keys), np.concatenate(out_prints)
-
-        return run
+    hasher = _Hasher()
+    symbols = SEGMENTS * WIDTH
+    factors = np.array([xxhash.xxh32_intdigest(f"symbol {i}") | 1 for i in range(symbols)], np.uint32)
+    seen: set[int] = set()
+
+    def signatures(records):
+        runs, starts = hasher.runs(records)
+        mixed = (runs >> np.uint64(32)).astype(np.uint32)[:, None] * factors
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x85EBCA6B)
+        return np.minimum.reduceat(mixed, starts, axis=0).astype(np.uint64)
+
+    def run(titles, bodies):
+        out_keys, out_prints = [], []
+        todo = []
+        for t, b in zip(titles, bodies):
+            w = _eligible(t, b)
+            if w and (p := _fingerprint(w)[0]) not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()  # a copy may then be indexed again, which changes nothing
+                seen.add(p)
+                todo.append((p, w))
+        for at in range(0, len(todo), CHUNK):
+            part = todo[at : at + CHUNK]
+            parts = signatures([w for _, w in part]).reshape(len(part), SEGMENTS, WIDTH)
+            prints = np.array([p for p, _ in part], np.int64)
+            for left_out in range(WIDTH):
+                key = np.broadcast_to(np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out), parts.shape[:2])
+                for i in range(WIDTH):
+                    if i != left_out:
+                        key = _mixed(key * _A + parts[:, :, i])
+                out_keys.append(key.reshape(-1).view(np.int64))
+                out_prints.append(np.repeat(prints, SEGMENTS))
+        if not out_keys:
+            return [], []
+        return np.concatenate(out_keys), np.concatenate(out_prints)
 
-    return setup
+    return run
 
 
 def _verify_setup(threshold: float):
@@ -242,21 +206,9 @@ def _verify_setup(threshold: float):
     return setup
 
 
-def _common_runs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common runs, sorted, with what their draws are multiplied by."""
-    sums = counts.groupBy("a").agg(F.sum("b").alias("n"))
-    records = sums.where(F.col("a") == _RECORDS).first()
-    least = max(COMMON * records["n"], COMMON_LEAST) if records else 0
-    rows = sums.where((F.col("n") > least) & (F.col("a") != _RECORDS)).collect()
-    hashes = np.array([r["a"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    rarity = np.minimum(np.array([r["n"] for r in rows]) / max(least, 1), 1 / RAREST_DRAW).astype(np.float32)
-    return hashes[order], rarity[order]
-
-
-def _met(records: DataFrame, common) -> DataFrame:
+def _met(records: DataFrame) -> DataFrame:
     """``(f1, g1)``, f1 < g1: fingerprints that meet in a variant."""
-    index = arrow_map(records.select("t", "b"), _signature_setup(common), "variant bigint, f1 bigint").repartition("variant")
+    index = arrow_map(records.select("t", "b"), _signature_setup, "variant bigint, f1 bigint").repartition("variant")
     other = index.select("variant", F.col("f1").alias("g1"))
     return cut_lineage(index.join(other, "variant").where("f1 < g1").select("f1", "g1").distinct())
 
@@ -268,7 +220,7 @@ def _can_be_similar(met: DataFrame, survey: DataFrame, threshold: float) -> Data
     sizes, and their bitmaps in no more places than the sets.
     """
     words = [f"s{i}" for i in range(SKETCH)]
-    sketches = survey.where("is_record").select(F.col("a").alias("f1"), "runs", *words).repartition("f1").distinct()
+    sketches = survey.select("f1", "runs", *words).repartition("f1").distinct()
     other = sketches.select(F.col("f1").alias("g1"), F.col("runs").alias("more"), *[F.col(w).alias(f"z{w}") for w in words])
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"z{w}"))) for w in words), F.lit(0))
     allowed = (F.col("runs") + F.col("more")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
@@ -293,16 +245,14 @@ def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, thresho
     copies are paired too; they are one class while candidates are sought.
     Repeated keys give no pair with themselves.
     """
-    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     records = spread(df.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b")))
     sketch = ", ".join(f"s{i} bigint" for i in range(SKETCH))
-    survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, is_record boolean, a bigint, b bigint, runs bigint, {sketch}"))
+    survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, f1 bigint, f2 bigint, runs bigint, {sketch}"))
     # One exchange serves every use of the members.
-    members = survey.where("is_record").select("k", F.col("a").alias("f1"), F.col("b").alias("f2")).repartition("f1", "f2")
-    common = spark.sparkContext.broadcast(_common_runs(survey.where("not is_record")))
+    members = survey.select("k", "f1", "f2").repartition("f1", "f2")
 
-    met = _with_shared_partners(_can_be_similar(_met(records, common), survey, threshold))
+    met = _with_shared_partners(_can_be_similar(_met(records), survey, threshold))
     # Texts are moved once, by key, and that exchange serves both sides of a pair.
     reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k"))
     ra, rb = reps.toDF("f1", "f2", "ka"), reps.toDF("g1", "g2", "kb")

@@ -80,3 +80,15 @@ def test_many_copies_are_one_class(spark, rows):
 def test_words():
     assert words_of("A-b", "c_d É2 x") == ["a", "b", "c", "d", "é2", "x"]
     assert similarity(set(), set()) == 0
+
+
+def test_pairs_that_share_mainly_boilerplate(spark, rows):
+    """Half of each short posting stands in many long, otherwise unlike ones, so
+    no third record meets both of a pair."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(200_000)}"
+    boilerplate = [" ".join(f"b{n}x{i}" for i in range(60)) for n in range(25)]
+    data = [(f"long{i:04}", "T", " ".join([*rng.sample(boilerplate, 6), *(word() for _ in range(600))])) for i in range(1000)]
+    data += [(f"short{n:02}-{v}", None, " ".join([b, *(word() for _ in range(17))])) for n, b in enumerate(boilerplate) for v in "ab"]
+    got = rows(near_duplicate_pairs(spark.createDataFrame([(*r, 0) for r in data], SCHEMA), "id", "title", "job_desc"))
+    assert got == [(f"short{n:02}-a", f"short{n:02}-b") for n in range(25)]
