@@ -1,8 +1,8 @@
 """Records that share most of their runs of words, across a whole table.
 
-Deletion-variant signatures. A record's signature has ``SEGMENTS * WIDTH``
+Deletion-variant signatures. A record's signature has ``segments * WIDTH``
 symbols, each the smallest hash over its runs of three words. It is cut into
-few segments, so that two records that differ in fewer than ``2 * SEGMENTS``
+few segments, so that two records that differ in fewer than ``2 * segments``
 symbols have a segment with at most one difference. Every segment is indexed
 in ``WIDTH`` variants with one symbol left out; records that meet in a variant
 are candidates. A candidate is dropped where bitmaps of the runs already differ in
@@ -23,6 +23,7 @@ square of the records that share it, and only the bitmaps hold them back.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from millrace.operators.arrowmap import arrow_map
 from millrace.session import cut_lineage, spread
 
-SEGMENTS, WIDTH = 13, 5
+WIDTH = 5
 LEAST_WORDS = 20
 THRESHOLD = 0.5
+#: Share of the pairs at the threshold itself that may be missed by the draws.
+MISSED = 0.01
 #: Signatures computed at once; words and texts remembered by a task.
 CHUNK, REMEMBERED, REMEMBERED_TEXTS = 64, 1 << 18, 1 << 10
 #: A record's sketch marks each of its runs in so many words of 64 bits.
@@ -66,6 +69,13 @@ def similarity(a: set, b: set) -> float:
     return shared / (len(a) + len(b) - shared) if a or b else 0.0
 
 
+def segments_for(threshold: float, missed: float = MISSED) -> int:
+    """The least number of segments of which a pair at the threshold shares no
+    variant with a chance of ``missed`` at most."""
+    meets = WIDTH * threshold ** (WIDTH - 1) * (1 - threshold) + threshold**WIDTH
+    return max(1, math.ceil(math.log(missed) / math.log1p(-meets))) if meets < 1 else 1
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _SHIFT)) * _C
     x = (x ^ (x >> _SHIFT)) * _D
@@ -134,47 +144,50 @@ def _survey_setup():
     return run
 
 
-def _signature_setup():
+def _signature_setup(segments: int):
     """``(variant, f1)`` for every one-wildcard variant of every segment."""
 
-    hasher = _Hasher()
-    symbols = SEGMENTS * WIDTH
-    factors = np.array([xxhash.xxh32_intdigest(f"symbol {i}") | 1 for i in range(symbols)], np.uint32)
-    seen: set[int] = set()
-
-    def signatures(records):
-        runs, starts = hasher.runs(records)
-        mixed = (runs >> np.uint64(32)).astype(np.uint32)[:, None] * factors
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(0x85EBCA6B)
-        return np.minimum.reduceat(mixed, starts, axis=0).astype(np.uint64)
-
-    def run(titles, bodies):
-        out_keys, out_prints = [], []
-        todo = []
-        for t, b in zip(titles, bodies):
-            w = _eligible(t, b)
-            if w and (p := _fingerprint(w)[0]) not in seen:
-                if len(seen) >= REMEMBERED:
-                    seen.clear()  # a copy may then be indexed again, which changes nothing
-                seen.add(p)
-                todo.append((p, w))
-        for at in range(0, len(todo), CHUNK):
-            part = todo[at : at + CHUNK]
-            parts = signatures([w for _, w in part]).reshape(len(part), SEGMENTS, WIDTH)
-            prints = np.array([p for p, _ in part], np.int64)
-            for left_out in range(WIDTH):
-                key = np.broadcast_to(np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out), parts.shape[:2])
-                for i in range(WIDTH):
-                    if i != left_out:
-                        key = _mixed(key * _A + parts[:, :, i])
-                out_keys.append(key.reshape(-1).view(np.int64))
-                out_prints.append(np.repeat(prints, SEGMENTS))
-        if not out_keys:
-            return [], []
-        return np.concatenate(out_keys), np.concatenate(out_prints)
+    def setup():
+        hasher = _Hasher()
+        symbols = segments * WIDTH
+        factors = np.array([xxhash.xxh32_intdigest(f"symbol {i}") | 1 for i in range(symbols)], np.uint32)
+        seen: set[int] = set()
+
+        def signatures(records):
+            runs, starts = hasher.runs(records)
+            mixed = (runs >> np.uint64(32)).astype(np.uint32)[:, None] * factors
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0x85EBCA6B)
+            return np.minimum.reduceat(mixed, starts, axis=0).astype(np.uint64)
+
+        def run(titles, bodies):
+            out_keys, out_prints = [], []
+            todo = []
+            for t, b in zip(titles, bodies):
+                w = _eligible(t, b)
+                if w and (p := _fingerprint(w)[0]) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()  # a copy may then be indexed again, which changes nothing
+                    seen.add(p)
+                    todo.append((p, w))
+            for at in range(0, len(todo), CHUNK):
+                part = todo[at : at + CHUNK]
+                parts = signatures([w for _, w in part]).reshape(len(part), segments, WIDTH)
+                prints = np.array([p for p, _ in part], np.int64)
+                for left_out in range(WIDTH):
+                    key = np.broadcast_to(np.arange(segments, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(left_out), parts.shape[:2])
+                    for i in range(WIDTH):
+                        if i != left_out:
+                            key = _mixed(key * _A + parts[:, :, i])
+                    out_keys.append(key.reshape(-1).view(np.int64))
+                    out_prints.append(np.repeat(prints, segments))
+            if not out_keys:
+                return [], []
+            return np.concatenate(out_keys), np.concatenate(out_prints)
 
-    return run
+        return run
+
+    return setup
 
 
 def _verify_setup(threshold: float):
@@ -206,9 +219,9 @@ def _verify_setup(threshold: float):
     return setup
 
 
-def _met(records: DataFrame) -> DataFrame:
+def _met(records: DataFrame, segments: int) -> DataFrame:
     """``(f1, g1)``, f1 < g1: fingerprints that meet in a variant."""
-    index = arrow_map(records.select("t", "b"), _signature_setup, "variant bigint, f1 bigint").repartition("variant")
+    index = arrow_map(records.select("t", "b"), _signature_setup(segments), "variant bigint, f1 bigint").repartition("variant")
     other = index.select("variant", F.col("f1").alias("g1"))
     return cut_lineage(index.join(other, "variant").where("f1 < g1").select("f1", "g1").distinct())
 
@@ -252,7 +265,7 @@ def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, thresho
     # One exchange serves every use of the members.
     members = survey.select("k", "f1", "f2").repartition("f1", "f2")
 
-    met = _with_shared_partners(_can_be_similar(_met(records), survey, threshold))
+    met = _with_shared_partners(_can_be_similar(_met(records, segments_for(threshold)), survey, threshold))
     # Texts are moved once, by key, and that exchange serves both sides of a pair.
     reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k"))
     ra, rb = reps.toDF("f1", "f2", "ka"), reps.toDF("g1", "g2", "kb")
