@@ -296,6 +296,12 @@ def _(t):
     return rows.select("id", S.utc_day(F.col("update_time"), TODAY).alias("day"))
 
 
+@_query("c11_all_job_days")
+def _(t):
+    """Over all rows, also those whose time has no form that the SQL above reads."""
+    return t("job_detail").select("id", S.utc_day(F.col("update_time"), TODAY).alias("day"))
+
+
 @_query("c12_cutoffs", "SELECT DISTINCT o_orderdate::DATE::VARCHAR AS day, (date_trunc('month', o_orderdate::DATE - INTERVAL (day(o_orderdate) - 1) DAY - INTERVAL 1 MONTH) + INTERVAL (day(o_orderdate) - 1) DAY)::DATE::VARCHAR AS cutoff FROM orders")
 def _(t):
     days = t("orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
