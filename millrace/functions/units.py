@@ -80,8 +80,6 @@ def _either(words: Iterable[str]) -> str:
 
 
 _CURRENCY_OF = {w.lower(): code for code, ws in CURRENCY_WORDS.items() for w in ws}
-#: Finds a currency in a text, also as a regular expression of the JVM.
-CURRENCY_WRITTEN = rf"(?i)[€£₹$]|(?<!\p{{L}})(?:{_either(w for w in _CURRENCY_OF if w.isalpha() or ' ' in w)})(?!\p{{L}})"
 _PERIOD_OF = {w.lower(): code for code, ws in PERIOD_WORDS.items() for w in ws}
 _NUMBER = r"\d{1,3}(?:[ \u00a0\u202f]\d{3})+(?:[.,]\d{1,2})?(?!\d)|\d+(?:['’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*"
 _TOKEN = re.compile(

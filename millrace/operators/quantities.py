@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.units import CURRENCY_WRITTEN, PayScale
+from millrace.functions.units import PayScale
 from millrace.operators.arrowmap import arrow_map
 from millrace.session import spread
 
@@ -17,8 +17,8 @@ def to_usd_per_year(df: DataFrame, key: str, field: str, description: str, unit_
     """``(key, low_usd, high_usd)``: one row per row whose ``field`` holds a pay figure.
 
     ``unit_ref`` is ``(unit_code, unit_kind, factor)``. A figure with neither
-    currency nor period takes both from ``description``; only for rows
-    without a written currency does that column leave the JVM. Null, blank and figureless fields and
+    currency nor period takes both from ``description``, also where a currency
+    stands in an aside (a bonus, say). Null, blank and figureless fields and
     fields whose currency is unknown give no row; a null key is kept; repeated
     rows give repeated rows.
     """
@@ -37,6 +37,6 @@ def to_usd_per_year(df: DataFrame, key: str, field: str, description: str, unit_
         return run
 
     kind = df.schema[key].dataType.simpleString()
-    bare = F.when(~F.col(field).rlike(CURRENCY_WRITTEN), F.col(description))
-    figures = df.where(F.col(field).rlike(r"\d")).select(key, field, bare.alias("stated"))
+    # Whether the figure is bare shows only once its asides are cut, so every description is sent.
+    figures = df.where(F.col(field).rlike(r"\d")).select(key, field, F.col(description).alias("stated"))
     return arrow_map(spread(figures), setup, f"`{key}` {kind}, low_usd bigint, high_usd bigint")

@@ -76,3 +76,11 @@ def test_operator(spark, rows):
     assert rows(to_usd_per_year(df, "id", "salary", "job_desc", units)) == sorted([("1", 10000, 10000), ("2", 98100, 98100), (None, 15240, 15240), ("5", 5, 5), ("6", 1, 1), ("6", 1, 1), ("8", 4, 5), ("9", 1, 1)], key=repr)
     assert rows(to_usd_per_year(df.limit(0), "id", "salary", "job_desc", units)) == []
     assert rows(to_usd_per_year(df, "id", "salary", "job_desc", units.limit(0))) == []
+
+
+def test_currency_only_in_an_aside(spark, rows):
+    units = spark.createDataFrame([(c, k, f) for (c, k), f in FACTORS.items()], "unit_code string, unit_kind string, factor double")
+    said = "All pay amounts: EUR, monthly."
+    data = [("1", "55,000 plus $5,000 bonus", said), ("2", "5,000 (up to £900 more)", said), ("3", "5,000 + 200 euros", None), ("4", "$5,000 plus €900 bonus", said)]
+    df = spark.createDataFrame(data, "id string, salary string, job_desc string")
+    assert rows(to_usd_per_year(df, "id", "salary", "job_desc", units)) == [("1", 719400, 719400), ("2", 65400, 65400), ("4", 5000, 5000)]
