@@ -4,7 +4,8 @@ Neighbouring tokens share transition potentials; a token and its previous
 occurrence share a skip potential, however far apart. The weights are trained
 by pseudo-likelihood, which is convex and needs no inference. Decoding is loopy
 belief propagation: exact forward-backward passes along the chains alternate
-with messages over the skip edges, for many sequences at once.
+with messages over the skip edges, for many sequences at once, until a
+sequence's messages settle, so that evidence reaches every occurrence.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Rounds of messages over the skip edges.
-ROUNDS = 2
+#: Messages that change by no more than this have settled.
+SETTLED = 1e-3
+#: Rounds beyond those that a message needs from end to end of the skip edges.
+#: Loops may keep messages from settling.
+MORE_ROUNDS = 4
 #: Cells (sequences x length) decoded at once.
 CELLS = 24_000
 
@@ -128,7 +132,7 @@ def train(sequences: list[Sequence], answers: list[list[int]], labels: list[str]
     return model
 
 
-def decode(model: Model, sequences: list[Sequence], rounds: int = ROUNDS) -> list[np.ndarray]:
+def decode(model: Model, sequences: list[Sequence]) -> list[np.ndarray]:
     """The label of highest belief for every token of every sequence."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sequences)
     order = sorted((i for i, s in enumerate(sequences) if s.features), key=lambda i: len(sequences[i].features))
@@ -139,13 +143,13 @@ def decode(model: Model, sequences: list[Sequence], rounds: int = ROUNDS) -> lis
             longest = len(sequences[order[end]].features)
             end += 1
         part = order[at:end]
-        for i, labels in zip(part, _decode_batch(model, [sequences[i] for i in part], longest, rounds)):
+        for i, labels in zip(part, _decode_batch(model, [sequences[i] for i in part], longest)):
             out[i] = labels
         at = end
     return out
 
 
-def _decode_batch(model: Model, sequences: list[Sequence], longest: int, rounds: int) -> list[np.ndarray]:
+def _decode_batch(model: Model, sequences: list[Sequence], longest: int) -> list[np.ndarray]:
     n, batch = len(model.labels), len(sequences)
     unary = np.zeros((longest, batch, n), np.float32)
     lengths = np.array([len(s.features) for s in sequences])
@@ -164,22 +168,41 @@ def _decode_batch(model: Model, sequences: list[Sequence], longest: int, rounds:
         return _labels(_beliefs(potential, chain), lengths)
     i, j, b = (np.array(x) for x in zip(*edges))
     shared = np.exp(np.clip(model.skip, -30, 30)).astype(np.float32)
-    to_i = to_j = np.full((len(edges), n), 1 / n, np.float32)
-    for _ in range(rounds):
-        now = potential.copy()
-        np.multiply.at(now, (i, b), to_i * n)
-        np.multiply.at(now, (j, b), to_j * n)
+    to_i, to_j = (np.full((len(edges), n), 1 / n, np.float32) for _ in range(2))
+    live, most = np.bincount(b, minlength=batch) > 0, np.array([_longest_path(s.skips) + MORE_ROUNDS for s in sequences])
+    done = 0
+    while live.any():
+        # Only the sequences whose messages still change.
+        columns, e = np.flatnonzero(live), np.flatnonzero(live[b])
+        x, y, z = i[e], j[e], (np.cumsum(live) - 1)[b[e]]
+        now = potential[:, columns]
+        np.multiply.at(now, (x, z), to_i[e] * n)
+        np.multiply.at(now, (y, z), to_j[e] * n)
         belief = _beliefs(now, chain)
-        to_j_next = (belief[i, b] / np.maximum(to_i, 1e-12)) @ shared
-        to_i_next = (belief[j, b] / np.maximum(to_j, 1e-12)) @ shared.T
-        to_j = to_j_next / to_j_next.sum(1, keepdims=True)
-        to_i = to_i_next / to_i_next.sum(1, keepdims=True)
+        to_j_next = (belief[x, z] / np.maximum(to_i[e], 1e-12)) @ shared
+        to_i_next = (belief[y, z] / np.maximum(to_j[e], 1e-12)) @ shared.T
+        to_j_next /= to_j_next.sum(1, keepdims=True)
+        to_i_next /= to_i_next.sum(1, keepdims=True)
+        change = np.maximum(np.abs(to_j_next - to_j[e]), np.abs(to_i_next - to_i[e])).max(1)
+        to_i[e], to_j[e] = to_i_next, to_j_next
+        done += 1
+        live = np.zeros(batch, bool)
+        live[b[e[change > SETTLED]]] = True
+        live &= done < most
     now = potential.copy()
     np.multiply.at(now, (i, b), to_i * n)
     np.multiply.at(now, (j, b), to_j * n)
     return _labels(_beliefs(now, chain), lengths)
 
 
+def _longest_path(skips: list[tuple[int, int]]) -> int:
+    """Edges of the longest chain of occurrences; edges are in order of their later end."""
+    upto: dict[int, int] = {}
+    for i, j in skips:
+        upto[j] = max(upto.get(j, 0), upto.get(i, 0) + 1)
+    return max(upto.values(), default=0)
+
+
 def _beliefs(potential: np.ndarray, chain: np.ndarray) -> np.ndarray:
     """Exact marginals along the chains, scaled at every step."""
     forward = np.empty_like(potential)

@@ -128,7 +128,8 @@ _CHECKS = {
 
 def find_spans(texts: list[str], grammar: Grammar, model: Model) -> list[list[Span]]:
     """The spans that hold, by text. A span takes the proposal's bounds where
-    one of its kind covers it; one without must have the form of its kind."""
+    one of its kind covers it; one without must have the form of its kind, and a
+    name of one word must be a word of another name that holds."""
     return [spans for at in range(0, len(texts), TOGETHER) for spans in _find_together(texts[at : at + TOGETHER], grammar, model)]
 
 
@@ -138,6 +139,7 @@ def _find_together(texts: list[str], grammar: Grammar, model: Model) -> list[lis
     out = []
     for text, proposals, (_, places), labels in zip(texts, proposed, seen, decode(model, [s for s, _ in seen])):
         runs: list[list] = []
+        lone: list[tuple[int, int]] = []
         for i, y in enumerate(labels):
             label = LABELS[y]
             if label == "O":
@@ -152,8 +154,14 @@ def _find_together(texts: list[str], grammar: Grammar, model: Model) -> list[lis
             covering = [p for p in proposals if p.kind == kind and p.start < end and start < p.end]
             for p in covering:
                 kept[p.start, p.end] = p
-            if not covering and _CHECKS[kind].fullmatch(text[start:end]) and not any(p.start < end and start < p.end for p in proposals):
-                kept[start, end] = Span(kind, start, end, False)
+            if not covering and not any(p.start < end and start < p.end for p in proposals):
+                if _CHECKS[kind].fullmatch(text[start:end]):
+                    kept[start, end] = Span(kind, start, end, False)
+                elif kind == "person_name" and len(text[start:end]) > 2:
+                    lone.append((start, end))
+        if lone:
+            linked = {_plain(m.group()) for s in kept.values() if s.kind == "person_name" for m in TOKEN.finditer(text[s.start : s.end])}
+            kept |= {(a, b): Span("person_name", a, b, False) for a, b in lone if _plain(text[a:b]) in linked}
         out.append(sorted(kept.values(), key=lambda s: s.start))
     return out
 

@@ -3,9 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.crf import Sequence, decode, train
-from millrace.llm.pii import LABELS, find_personal_data, fit, redact_personal_data
-from millrace.llm.pii_grammar import Grammar
+from millrace.llm.crf import Model, Sequence, decode, train
+from millrace.llm.pii import LABELS, find_personal_data, find_spans, fit, redact_personal_data
+from millrace.llm.pii_grammar import TOKEN, Grammar
 
 GIVEN = ["Petra", "Tomas", "Élodie", "Bram", "Yuki", "Oskar"]
 SURNAMES = ["Morundvar", "Brandiquist", "O'Verewell", "de Södolnova", "Lintefield-Zandumund", "Kelistein"]
@@ -98,3 +98,32 @@ def test_nothing_to_learn_from():
     model = fit([], Grammar())
     assert len(model.index) == 0 and decode(model, [Sequence([], [])])[0].size == 0
     assert set(decode(model, [Sequence([["b"]], [])])[0]) <= set(range(len(LABELS)))
+
+
+def _by_hand(*labels):
+    """A model in which "cue" asks for a name, "mention" slightly for none, and equal words agree."""
+    n = len(labels)
+    inside = [label.startswith("I-") for label in labels]
+    first = [label == "B-person_name" for label in labels]
+    weights = np.zeros((4, n), np.float32)
+    weights[0, first], weights[1, 0], weights[2, 0] = 6, 0.2, 6
+    weights[:, inside] = -20
+    weights[:3, [not f and label != "O" for f, label in zip(first, labels)]] = -20
+    return Model(list(labels), {"cue": 0, "mention": 1, "other": 2}, weights, np.zeros((n, n), np.float32), np.where(np.eye(n, dtype=bool), 3, -3).astype(np.float32))
+
+
+def test_evidence_reaches_every_occurrence():
+    features = [["other"] if i % 2 else ["mention"] for i in range(25)]
+    features[0] = ["cue"]
+    skips = [(i, i + 2) for i in range(0, 23, 2)]
+    got, alone = decode(_by_hand("O", "B-person_name"), [Sequence(features, skips), Sequence(features, [])])
+    assert list(got) == [1, 0] * 12 + [1] and list(alone) == [1] + [0] * 24
+
+
+def test_one_word_mentions_of_a_name_that_holds(monkeypatch):
+    text = "Petra Morundvar wrote it. Morundvar and Kelistein read it."
+    tokens = [m.group() for m in TOKEN.finditer(text)]
+    labels = np.array([LABELS.index("B-person_name") if t in ("Petra", "Kelistein") or (t == "Morundvar" and i > 1) else LABELS.index("I-person_name") if t == "Morundvar" else 0 for i, t in enumerate(tokens)])
+    monkeypatch.setattr("millrace.llm.pii.decode", lambda model, sequences: [labels])
+    found = find_spans([text], Grammar(frozenset({"petra"})), None)[0]
+    assert [text[s.start : s.end] for s in found] == ["Petra Morundvar", "Morundvar"]
