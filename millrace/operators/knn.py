@@ -1,4 +1,4 @@
-"""Exact and approximate nearest vectors by cosine, for many queries at once."""
+"""Exact nearest vectors by cosine, for many queries at once."""
 
 from __future__ import annotations
 
