@@ -63,6 +63,7 @@ class ValueSplitter:
         start = i = depth = 0
         qualified = False
         n = len(text)
+        last = {close: text.rfind(close) for close in BRACKETS.values()}
         while i < n:
             c = text[i]
             if i in kept:
@@ -76,7 +77,7 @@ class ValueSplitter:
             if c == "\\" and i + 1 < n:
                 i += 2
                 continue
-            if c in BRACKETS and BRACKETS[c] in text[i:]:
+            if c in BRACKETS and last[BRACKETS[c]] > i:
                 depth += 1
             elif depth and c in BRACKETS.values():
                 depth -= 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -13,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import ranked_entries, replace_first
+from millrace.functions.scalars import indented_json, ranked_entries
 from millrace.operators.arrowmap import arrow_map
 
 
@@ -26,7 +27,9 @@ class RankProvider(Protocol):
 
 
 class HashedWords:
-    """Embeds a text as signed counts of its hashed words, of unit length."""
+    """Embeds a text as signed counts of its hashed words, of unit length. Words
+    are runs without white space in lower case; the first seven digits of a
+    word's MD5 in hexadecimal give its place, the eighth its sign."""
 
     def __init__(self, width: int = 64):
         self.width = width
@@ -36,8 +39,8 @@ class HashedWords:
         for text in texts:
             v = np.zeros(self.width)
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                v[h % self.width] += 1 if h >> 63 else -1
+                h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+                v[int(h[:7], 16) % self.width] += 1 if h[7] < "8" else -1
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
         return out
@@ -47,8 +50,14 @@ class KeepAll:
     """Ranks every job of a prompt with a score from its place in the list."""
 
     def complete(self, prompt: str) -> str:
-        jobs = json.loads(prompt[prompt.rindex("JOBS:") + 5 :])
-        return json.dumps({"matched_jobs": [{"jobId": j["jobId"], "jobTitle": j["jobTitle"], "jobLink": j["jobLink"], "matchScore": str(max(0, 10 - i)), "reason": "place"} for i, j in enumerate(jobs)]})
+        start = prompt.rindex(JOBS_HEAD) + len(JOBS_HEAD)
+        jobs, _ = json.JSONDecoder().raw_decode(prompt, start)
+        return json.dumps({"matched_jobs": [{"jobId": j["jobId"], "jobTitle": j["jobTitle"], "jobLink": j.get("jobLink", ""), "matchScore": str(max(0, 10 - i)), "reason": "place"} for i, j in enumerate(jobs)]})
+
+
+#: Models by the names that a configuration gives.
+EMBEDDERS = {"hashed-words": HashedWords}
+RANKERS = {"keep-all": KeepAll}
 
 
 @dataclass(frozen=True)
@@ -67,14 +76,47 @@ class Config:
         get = lambda name, default: environment.get(f"MILLRACE_{name}") or default
         return Config(get("EMBEDDING_MODEL", d.embedding_model), get("RANK_MODEL", d.rank_model), int(get("TOP_K", d.top_k)), int(get("PAGE_SIZE", d.page_size)), int(get("SESSION_TTL_MS", d.session_ttl_ms)))
 
+    def models(self) -> tuple[EmbeddingProvider, RankProvider]:
+        return EMBEDDERS[self.embedding_model](), RANKERS[self.rank_model]()
+
+
+JOBS_HEAD = "Jobs, as JSON:\n"
+#: What is asked of a ranking model.
+PROMPT = """You advise people on their careers. Compare one resume with a list of jobs and name the jobs that suit it.
+
+Expectations come first. Where the candidate states any, each of them must be met: a job that misses one has the score "0" and is left out of the answer. Where none are stated, judge by skills and experience alone.
+
+Proceed so:
+1. From the resume take skills, qualifications, certificates, earlier roles, industries and years of experience.
+2. From each job take the required skills, qualifications and experience, its title, industry, location, pay and whether it is remote, hybrid or on site.
+3. Drop the jobs that miss an expectation (location, pay, language, way of working, title and the like).
+4. Give each job that is left a score from 0 to 10 for how well it fits, with a short reason.
+5. Answer only with the jobs whose score is 6 or more.
 
-#: The prompt's placeholders are replaced once each, in this order.
-PROMPT = "Rank the jobs for this candidate.\nRESUME:{resume}\nEXPECTATIONS:{expectations}\nJOBS:{jobs}"
+Answer with JSON alone, without any other text or markup, in this form:
+{"matched_jobs": [{"jobId": "<id>", "jobTitle": "<title>", "jobLink": "<link>", "matchScore": "<score>", "reason": "<why it fits>"}]}
+
+Resume:
+{resume}
+
+Expectations:
+{expectations}
+
+""" + JOBS_HEAD + "{jobs}\n"
 
 
 def prompt_of(resume: Column, expectations: Column, jobs_json: Column, template: str = PROMPT) -> Column:
-    out = replace_first(F.lit(template), "{resume}", resume)
-    return replace_first(replace_first(out, "{expectations}", expectations), "{jobs}", jobs_json)
+    """The template with its placeholders filled; what a resume holds that looks
+    like a placeholder stays as it is. Null counts as empty."""
+    parts = re.split(r"(\{resume\}|\{expectations\}|\{jobs\})", template)
+    values = {"{resume}": resume, "{expectations}": expectations, "{jobs}": jobs_json}
+    return F.concat(*[F.coalesce(values[p], F.lit("")) if p in values else F.lit(p) for p in parts])
+
+
+def job_entry() -> Column:
+    """A job as an entry of the list in a prompt; nulls as empty texts."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return indented_json({"jobId": F.col("job_id"), "jobTitle": empty("title"), "jobLink": empty("link"), "jobDescription": empty("job_desc"), "location": empty("location"), "salary": empty("salary")})
 
 
 def embed_texts(df: DataFrame, key: str, text: str, provider: EmbeddingProvider, batch: int = 64) -> DataFrame:

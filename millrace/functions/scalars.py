@@ -106,13 +106,29 @@ def page_count(rows: Column, size: int = 10) -> Column:
     return F.greatest(F.ceil(rows / size), F.lit(1)).cast("bigint")
 
 
-def next_page(page: int, action: str) -> int | None:
-    """The page an action leads to; None where nothing changes."""
-    if action == "next":
-        return page + 1
-    return page - 1 if action == "previous" and page > 0 else None
+def next_page(page: Column, action: Column) -> Column:
+    """The page that an action leads to, counted from 0; null where nothing changes."""
+    return F.when(action == "next", page + 1).when((action == "previous") & (page > 0), page - 1)
 
 
+def json_value(text: Column) -> Column:
+    """A text as a JSON string; null as ``null``."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def indented_json(fields: dict[str, Column]) -> Column:
+    """An object of texts as indented JSON, two spaces a level, as an entry of an array."""
+    lines = [F.concat(F.lit(f'    "{name}": '), json_value(value)) for name, value in fields.items()]
+    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
+
+
+def indented_array(rank: Column, entry: Column) -> Column:
+    """An aggregate: the entries of a group in the order of ``rank`` as an indented JSON array."""
+    return F.concat(F.lit("[\n"), joined_in_order(rank, entry, ",\n"), F.lit("\n]"))
+
+
+# The labels of a message's lines with the columns they show.
 _FIELDS = {"Title": "title", "Link": "link", "Location": "location", "Salary": "salary", "Match Score": "match_score", "Match Reason": "match_reason"}
 
 

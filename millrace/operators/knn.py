@@ -1,85 +1,224 @@
-"""Exact nearest vectors by cosine, for many queries at once."""
+"""Nearest vectors by cosine, for many queries at once: exact, or by an index.
+
+Both searches read the vectors once, whatever the number of queries.
+"""
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-#: Queries scored by a task at once; vectors of one scoring step.
+from millrace.session import cut_lineage
+
+#: Queries and vectors scored in one step.
 BLOCK, STEP = 1024, 2048
+#: Numbers in the query matrix up to which it goes to every executor (128 MB);
+#: above that, queries and vectors meet in blocks of ``MEET`` rows a side.
+MOST_BROADCAST, MEET = 1 << 24, 1 << 15
+#: Vectors on which an index is fitted, at most, and its lists.
+SAMPLE, MOST_LISTS = 50_000, 1024
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1)
+def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0, 1, norms)
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+
+
+class _Best:
+    """The ``k`` best of each query so far; all that reach the k-th score stay in,
+    so that ties at the cut keep their order by id."""
+
+    def __init__(self, names: np.ndarray, unit: np.ndarray, k: int):
+        self.names, self.unit, self.k = names, unit, k
+        blocks = range(0, len(names), BLOCK)
+        self.parts = {at: (np.empty((len(names[at : at + BLOCK]), 0)), np.empty((len(names[at : at + BLOCK]), 0), object)) for at in blocks}
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        for at, (best_s, best_i) in self.parts.items():
+            s = self.unit[at : at + BLOCK] @ rows.T
+            s, i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(ids, s.shape)])
+            if s.shape[1] > self.k:
+                cut = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k : s.shape[1] - self.k + 1]
+                width = int((s >= cut).sum(1).max())
+                order = np.argsort(-s, axis=1, kind="stable")[:, :width]
+                s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            self.parts[at] = (s, i)
+
+    def batches(self, arrow: pa.Schema):
+        for at, (s, i) in self.parts.items():
+            if s.size:
+                names = np.repeat(self.names[at : at + BLOCK], s.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), arrow.field(0).type), pa.array(i.ravel().tolist(), arrow.field(1).type), pa.array(s.ravel())], schema=arrow)
+
+
+def _names(column) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def _meet_all(best: _Best, ids, embeddings) -> None:
+    for at in range(0, len(ids), STEP):
+        best.meet(_names(ids.slice(at, STEP)), _matrix(embeddings.slice(at, STEP)))
+
+
+def _usable(df: DataFrame) -> DataFrame:
+    return df.where("id is not null and embedding is not null").select("id", "embedding")
+
+
+def _schema(queries: DataFrame, vectors: DataFrame) -> str:
+    return f"query_id {queries.schema['id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 30, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` vectors most similar to each query.
 
     Both inputs are ``(id, embedding)``. Cosine with 0 for zero vectors; ties by
     id. Null ids and vectors are left out; vectors must have one width.
 
-    The queries are cut into blocks of ``BLOCK``; every block meets every
-    partition of the vectors in matrix products that keep their local ``k``
-    best, and the best of those are ranked. Top k is decomposable, so nothing
-    but ``k`` rows a query and partition is moved.
+    Top k is decomposable: every task keeps the ``k`` best of its vectors by
+    matrix products, and only those are moved and ranked. Queries of up to
+    ``most_broadcast`` numbers go to every executor, and the vectors are read
+    once. More of them meet the vectors in blocks, each pair of blocks in a task.
     """
     spark = queries.sparkSession
-    qs = queries.where("id is not null and embedding is not null").select("id", "embedding")
-    kind = queries.schema["id"].dataType.simpleString()
-    schema = f"query_id {kind}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    qs, vs, schema = _usable(queries), _usable(vectors), _schema(queries, vectors)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    vs = vectors.where("id is not null and embedding is not null").select("id", "embedding")
-    numbered = qs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-qs.count() // BLOCK)))).cast("int"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("id", "embedding")).alias("q"))
-    found: DataFrame | None = None
-    # One job a block of queries: the driver holds a block, never all queries.
-    for row in blocks.toLocalIterator():
-        ids = [x["id"] for x in row["q"]]
-        rows = np.array([x["embedding"] for x in row["q"]], np.float64)
-        norms = np.linalg.norm(rows, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array(ids, dtype=object), rows / np.where(norms == 0, 1, norms)))
-
-        def score(batches, shared=shared):
-            names, unit = shared.value
-            best_s, best_i = np.empty((len(names), 0)), np.empty((len(names), 0), object)
-            for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
-                own = np.array(batch.column("id").to_pylist(), dtype=object)
-                s = unit @ _matrix(batch.column("embedding")).T
-                s, i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(own, s.shape)])
-                if s.shape[1] > k:
-                    # All that reach the k-th score stay in, so ties at the cut keep their order by id.
-                    cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k : s.shape[1] - k + 1]
-                    width = int((s >= cut).sum(1).max())
-                    order = np.argsort(-s, axis=1, kind="stable")[:, :width]
-                    s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-                best_s, best_i = s, i
-            n = best_s.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n).tolist(), arrow.field(0).type), pa.array(best_i.ravel().tolist(), arrow.field(1).type), pa.array(best_s.ravel())], schema=arrow)
-
-        part = vs.mapInArrow(score, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    n, numbers = qs.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], f"{schema}, rank bigint")
+    if numbers <= most_broadcast:
+        held = qs.toArrow()
+        shared = spark.sparkContext.broadcast((_names(held.column("id")), _matrix(held.column("embedding"))))
 
+        def score(batches):
+            best = _Best(*shared.value, k)
+            for batch in batches:
+                _meet_all(best, batch.column("id"), batch.column("embedding"))
+            yield from best.batches(arrow)
 
-def top_similar_expressions(queries: DataFrame, vectors: DataFrame, k: int = 30) -> DataFrame:
-    """``top_similar`` in built-in expressions only, for few queries: every query
-    row meets every vector, and each norm is computed once."""
-    unit = lambda df: df.where("id is not null and embedding is not null").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    q, v = unit(queries).toDF("query_id", "a", "na"), unit(vectors).toDF("id", "b", "nb")
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = F.col("na") * F.col("nb")
-    scored = q.join(v, how="cross").select("query_id", "id", F.when(both == 0, 0.0).otherwise(dot / both).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+        return _ranked(vs.mapInArrow(score, schema), k)
+    q_blocks, v_blocks = -(-n // MEET), max(1, -(-vs.count() // MEET))
+    left = qs.withColumn("q", _bucket(q_blocks)).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+    right = vs.withColumn("v", _bucket(v_blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return arrow.empty_table()
+        best = _Best(_names(a.column("id")), _matrix(a.column("embedding")), k)
+        _meet_all(best, b.column("id"), b.column("embedding"))
+        return pa.Table.from_batches(best.batches(arrow), schema=arrow)
+
+    return _ranked(left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(block, schema), k)
+
+
+class VectorIndex(Protocol):
+    """What a search needs of an index over ``(id, embedding)``."""
+
+    def get(self, ids: DataFrame) -> DataFrame: ...
+
+    def query(self, queries: DataFrame, k: int = 30) -> DataFrame: ...
+
+
+class ExactIndex:
+    """Every query against every vector."""
+
+    def __init__(self, vectors: DataFrame):
+        self.vectors = vectors
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        """The vectors of the column ``id``; ids without vector drop out."""
+        return self.vectors.join(ids.select("id").distinct(), "id", "left_semi")
+
+    def query(self, queries: DataFrame, k: int = 30) -> DataFrame:
+        return top_similar(queries, self.vectors, k)
+
+
+def _centres(rows: np.ndarray, lists: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Spherical k-means."""
+    rng = np.random.default_rng(seed)
+    centres = rows[rng.choice(len(rows), min(lists, len(rows)), replace=False)]
+    for _ in range(rounds):
+        own = np.argmax(rows @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
+    return centres
+
+
+class ListIndex(ExactIndex):
+    """An inverted file: every vector is in the list of its nearest centre, and a
+    query looks into its ``probes`` nearest lists.
+
+    The centres are fitted on at most ``sample`` vectors, chosen by hash; all
+    vectors are indexed. A list is cut into parts of about ``MEET`` vectors, so
+    a list that holds a third of all is many tasks. ``recall`` tells how much
+    of the exact result comes out.
+    """
+
+    def __init__(self, vectors: DataFrame, probes: int = 8, lists: int | None = None, sample: int = SAMPLE):
+        super().__init__(vectors)
+        vs = _usable(vectors)
+        n = vs.count()
+        rows = vs.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow() if n else None
+        wanted = lists or min(MOST_LISTS, max(1, int(n**0.5)))
+        self._centres = vectors.sparkSession.sparkContext.broadcast(_centres(_matrix(rows.column(0)), wanted) if n else np.zeros((0, 0)))
+        self.probes = probes
+        listed = cut_lineage(self._listed(vs, 1))
+        sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
+        self._sizes = cut_lineage(sizes)
+        self._indexed = listed.join(F.broadcast(self._sizes), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+    def _listed(self, df: DataFrame, most: int) -> DataFrame:
+        schema = f"id {df.schema['id'].dataType.simpleString()}, embedding array<float>, list int"
+        arrow, centres = to_arrow_schema(_parse_datatype_string(schema)), self._centres
+
+        def assign(batches):
+            for batch in batches:
+                if batch.num_rows and len(centres.value):
+                    near = np.argsort(-(_matrix(batch.column("embedding")) @ centres.value.T), axis=1, kind="stable")[:, :most]
+                    row = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("embedding").take(row).cast(arrow.field("embedding").type), pa.array(near.ravel().astype(np.int32))], schema=arrow)
+
+        return df.select("id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(assign, schema)
+
+    def query(self, queries: DataFrame, k: int = 30) -> DataFrame:
+        schema = _schema(queries, self.vectors)
+        arrow = to_arrow_schema(_parse_datatype_string(schema))
+        probing = self._listed(_usable(queries), self.probes).join(F.broadcast(self._sizes), "list")
+        probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return arrow.empty_table()
+            best = _Best(_names(a.column("id")), _matrix(a.column("embedding")), k)
+            _meet_all(best, b.column("id"), b.column("embedding"))
+            return pa.Table.from_batches(best.batches(arrow), schema=arrow)
+
+        return _ranked(probing.groupBy("list", "part").cogroup(self._indexed.groupBy("list", "part")).applyInArrow(meet, schema), k)
+
+    def recall(self, queries: DataFrame, k: int = 30) -> float:
+        """The share of the exact result that the index finds."""
+        exact, found = (x.select("query_id", "id") for x in (top_similar(queries, self.vectors, k), self.query(queries, k)))
+        return exact.join(found, ["query_id", "id"], "left_semi").count() / max(1, exact.count())

@@ -1,11 +1,10 @@
-"""Mutations as set operations, and tables kept as versioned snapshots."""
+"""Mutations as set operations, and tables kept as versions of parts."""
 
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,47 +78,119 @@ def delete_by_key(store: DataFrame, keys_df: DataFrame, key: str) -> DataFrame:
     return store.join(keys_df.select(key).distinct(), key, "left_anti")
 
 
-class SnapshotStore:
-    """Tables as ``root/table/v=N`` with a pointer that is replaced by renaming.
+class CommitConflict(RuntimeError):
+    """Another writer committed the version first."""
+
 
-    A reader keeps the version it opened; a writer never overwrites one. One
-    writer a table. The pointer lives on a file system with atomic rename.
+class SnapshotStore:
+    """Tables as parts and numbered lists of the parts that hold.
+
+    ``root/table/parts/<name>`` are Parquet folders; ``root/table/commits/N.json``
+    names the parts of version N. Appending writes one part and a commit; a change
+    rewrites only the parts that hold a changed key. A reader keeps the version it
+    opened, as parts are never overwritten. All access goes through Hadoop's
+    ``FileSystem``, so the root may be any storage Spark writes to. A commit is
+    created under its number and never replaced: of two writers one gets
+    ``CommitConflict``. An unreadable last commit (a writer that died) is skipped.
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def _pointer(self, table: str) -> str:
-        return os.path.join(self.root, table, "_CURRENT")
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _path(self, *names: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *names)))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _numbers(self, table: str) -> list[int]:
+        fs, folder = self._path(table, "commits")
+        if not fs.exists(folder):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(folder))
+        return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
+
+    def _current(self, table: str) -> tuple[int, list[str]]:
+        for n in self._numbers(table):
+            fs, path = self._path(table, "commits", f"{n}.json")
+            stream = fs.open(path)
+            try:
+                return n, json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["parts"]
+            except ValueError:
+                continue
+            finally:
+                stream.close()
+        return 0, []
+
+    def _commit(self, table: str, based_on: int, parts: list[str]) -> int:
+        n = max([based_on, *self._numbers(table)[:1]]) + 1
+        if n != based_on + 1 and self._current(table)[0] != based_on:
+            raise CommitConflict(f"{table} is past version {based_on}")
+        fs, path = self._path(table, "commits", f"{n}.json")
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:
+            raise CommitConflict(f"version {n} of {table} exists") from e
+        stream.write(json.dumps({"parts": parts}).encode())
+        stream.close()
+        return n
+
+    def _write_part(self, table: str, df: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.parquet(f"{self.root}/{table}/parts/{name}")
+        return name
+
+    def _read_parts(self, table: str, parts: Sequence[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/parts/{p}" for p in parts])
 
     def create(self) -> None:
         """Every table that doesn't exist yet, empty."""
         for table in TABLES:
             if not self.version(table):
-                self.write(table, self.spark.createDataFrame([], TABLES[table]))
+                self._commit(table, 0, [])
 
     def version(self, table: str) -> int:
-        try:
-            with open(self._pointer(table)) as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return 0
+        return self._current(table)[0]
+
+    def parts(self, table: str) -> list[str]:
+        return self._current(table)[1]
 
     def read(self, table: str) -> DataFrame:
         """The current version; an empty table before the first write."""
-        v = self.version(table)
-        if not v:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(os.path.join(self.root, table, f"v={v}"))
+        return self._read_parts(table, self.parts(table))
 
     def write(self, table: str, df: DataFrame) -> int:
-        """A new version; it becomes current only when it is whole."""
-        v = self.version(table) + 1
-        columns = [F.col(f.name).cast(f.dataType) for f in TABLES[table]]
-        df.select(*columns).write.mode("overwrite").parquet(os.path.join(self.root, table, f"v={v}"))
-        os.makedirs(os.path.join(self.root, table), exist_ok=True)
-        draft = self._pointer(table) + f".{uuid.uuid4().hex}"
-        with open(draft, "w") as f:
-            json.dump({"version": v}, f)
-        os.replace(draft, self._pointer(table))
-        return v
+        """A new version that holds ``df`` alone."""
+        return self._commit(table, self.version(table), [self._write_part(table, df)])
+
+    def append(self, table: str, df: DataFrame) -> int:
+        """A new version with the rows of ``df`` more; no other row is written again."""
+        version, parts = self._current(table)
+        return self._commit(table, version, [*parts, self._write_part(table, df)])
+
+    def rewrite(self, table: str, keys: DataFrame, on: Sequence[str], change: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> int:
+        """A new version in which the parts that hold a row of ``keys`` are
+        replaced by what ``change`` makes of them, and ``more`` is appended."""
+        version, parts = self._current(table)
+        found = self._read_parts(table, parts).select(*on, F.regexp_extract("_metadata.file_path", r"/parts/([0-9a-f]{32})/", 1).alias("_part")) if parts else None
+        # One row a part, however many rows change.
+        hit = {r[0] for r in found.join(keys.select(*on).distinct(), list(on), "left_semi").select("_part").distinct().collect()} if parts else set()
+        kept = [p for p in parts if p not in hit]
+        new = [self._write_part(table, change(self._read_parts(table, sorted(hit))))] if hit else []
+        if more is not None:
+            new.append(self._write_part(table, more))
+        return self._commit(table, version, kept + new) if new else version
+
+    def update(self, table: str, updates: DataFrame, key: str) -> int:
+        """``update_by_key`` on the parts that hold a key of ``updates``."""
+        return self.rewrite(table, updates, [key], lambda part: update_by_key(part, updates, key))
+
+    def replace(self, table: str, batch: DataFrame, keys: Sequence[str]) -> int:
+        """``insert_or_replace`` on the parts that hold a key of ``batch``."""
+        old = lambda part: part.join(batch.select(*keys).distinct(), list(keys), "left_anti").select(*part.columns)
+        return self.rewrite(table, batch, keys, old, more=batch)
+
+    def compact(self, table: str) -> int:
+        """A new version with all rows in one part."""
+        version, parts = self._current(table)
+        return self._commit(table, version, [self._write_part(table, self._read_parts(table, parts))]) if len(parts) > 1 else version

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
 from millrace.operators import store as K
-from millrace.operators.knn import top_similar, top_similar_expressions
+from millrace.operators.knn import top_similar
 from millrace.plans import access as A
 from millrace.streaming.sessions import session_actions
 
@@ -282,23 +282,21 @@ def _(t):
     return t("job_detail").select("id", F.coalesce("location", F.lit("")).alias("location"), S.blank_to(F.col("salary"), "not stated").alias("salary"))
 
 
-@_query(
-    "c11_job_days",
-    "SELECT id, coalesce(strftime(CASE WHEN regexp_full_match(trim(update_time, ' \n\r\t'), '\\d{4}-\\d\\d-\\d\\d') THEN try_cast(trim(update_time, ' \n\r\t') || ' 00:00:00+00' AS TIMESTAMPTZ) "
-    "WHEN regexp_full_match(trim(update_time, ' \n\r\t'), '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d(:\\d\\d(\\.\\d{1,9})?)?(Z|[+-]\\d\\d:?\\d\\d)?') "
-    "THEN try_cast(regexp_replace(regexp_replace(replace(trim(update_time, ' \n\r\t'), 'Z', '+00:00'), 'T(\\d\\d:\\d\\d)($|[+-])', 'T\\1:00\\2'), '([+-]\\d\\d):?(\\d\\d)$', '\\1:\\2') AS TIMESTAMPTZ) "
-    "ELSE coalesce(try_strptime(regexp_replace(regexp_replace(trim(update_time, ' \n\r\t'), '^[A-Za-z]{3}, *', ''), ' (GMT|UT|UTC|Z)$', ' +0000'), ['%d %b %Y %H:%M:%S %z', '%d %b %Y %H:%M %z'])) END AT TIME ZONE 'UTC', '%Y-%m-%d'), '"
-    + TODAY
-    + "') AS day FROM job_detail WHERE regexp_matches(update_time, '^\\d{4}-\\d\\d-\\d\\d|GMT$|[0-9]{2} [+-][0-9]{4}$')",
-)
-def _(t):
-    rows = t("job_detail").where(F.col("update_time").rlike(r"^\d{4}-\d\d-\d\d|GMT\z|[0-9]{2} [+-][0-9]{4}\z"))
-    return rows.select("id", S.utc_day(F.col("update_time"), TODAY).alias("day"))
+def day_sql() -> str:
+    """The UTC day of ``update_time`` in SQL; of times in other forms, ``TODAY``."""
+    t = "trim(update_time, ' \n\r\t')"
+    iso = f"regexp_replace(regexp_replace(replace({t}, 'Z', '+00:00'), 'T(\\d\\d:\\d\\d)($|[+-])', 'T\\1:00\\2'), '([+-]\\d\\d):?(\\d\\d)$', '\\1:\\2')"
+    mail = f"regexp_replace(regexp_replace({t}, '^[A-Za-z]{{3}}, *', ''), ' (GMT|UT|UTC|Z)$', ' +0000')"
+    return (
+        f"coalesce(strftime(CASE WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\d') THEN try_cast({t} || ' 00:00:00+00' AS TIMESTAMPTZ) "
+        f"WHEN regexp_full_match({t}, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d(:\\d\\d(\\.\\d{{1,9}})?)?(Z|[+-]\\d\\d:?\\d\\d)?') THEN try_cast({iso} AS TIMESTAMPTZ) "
+        f"WHEN regexp_full_match({t}, '([A-Za-z]{{3}}, *)?\\d{{1,2}} [A-Za-z]{{3}} \\d{{4}} \\d\\d:\\d\\d(:\\d\\d)? *(GMT|UT|UTC|Z|[+-]\\d{{4}})') "
+        f"THEN try_strptime({mail}, ['%d %b %Y %H:%M:%S %z', '%d %b %Y %H:%M %z']) END AT TIME ZONE 'UTC', '%Y-%m-%d'), '{TODAY}')"
+    )
 
 
-@_query("c11_all_job_days")
+@_query("c11_job_days", f"SELECT id, {day_sql()} AS day FROM job_detail")
 def _(t):
-    """Over all rows, also those whose time has no form that the SQL above reads."""
     return t("job_detail").select("id", S.utc_day(F.col("update_time"), TODAY).alias("day"))
 
 
@@ -310,7 +308,7 @@ def _(t):
 
 @_query("c15_job_tags", "SELECT id, len(CASE WHEN json_valid(job_tags) AND json_type(job_tags) = 'ARRAY' THEN from_json(job_tags, '[\"VARCHAR\"]') ELSE [] END)::BIGINT AS tags FROM job_detail")
 def _(t):
-    return t("job_detail").select("id", F.size(S.tags_of(F.when(F.col("job_tags").startswith("["), F.col("job_tags")))).cast("bigint").alias("tags"))
+    return t("job_detail").select("id", F.size(S.tags_of(F.col("job_tags"))).cast("bigint").alias("tags"))
 
 
 @_query(
@@ -348,22 +346,17 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 30
 """
 
 
-def _knn(t, operator) -> DataFrame:
+def _knn(t) -> DataFrame:
     vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return operator(vectors.where("id % 50 = 0"), vectors).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return top_similar(vectors.where("id % 50 = 0"), vectors).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @_query("j10_nearest_vectors", _KNN)
 def _(t):
-    return _knn(t, top_similar)
-
-
-@_query("j10_nearest_vectors_expressions", _KNN)
-def _(t):
-    return _knn(t, top_similar_expressions)
+    return _knn(t)
 
 
 @_query("j10_match_candidates", _KNN.replace("SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 30", "SELECT r.query_id, d.doc_id, r.rank FROM r JOIN documents d ON d.doc_id = r.id WHERE r.rank <= 30 AND coalesce(d.text, '') <> ''"))
 def _(t):
-    hits = _knn(t, top_similar).select("query_id", F.col("id").alias("doc_id"), "rank")
+    hits = _knn(t).select("query_id", F.col("id").alias("doc_id"), "rank")
     return hits.join(t("documents").where("text <> ''").select("doc_id"), "doc_id").select("query_id", "doc_id", "rank")

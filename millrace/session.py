@@ -3,10 +3,14 @@ where lineage is cut, and how far an input is spread before Python runs on it.""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "millrace", cpus: int | str = "*", **extra: str) -> SparkSession:
     """A local session with the settings the engine is tested with."""
@@ -24,26 +28,49 @@ def build_session(app: str = "millrace", cpus: int | str = "*", **extra: str) ->
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder in the one that ``spark.checkpoint.dir`` names.
+
+    It is deleted when the session's program ends. Only a session on one machine
+    (``local`` or ``local[...]``) without the setting gets a folder of its own.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    if sc.applicationId not in _FOLDERS:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _FOLDERS[sc.applicationId] = f"{(configured or tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/cuts-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, _FOLDERS[sc.applicationId])
+    return _FOLDERS[sc.applicationId]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone, and its folder is the cluster's to clear
+        pass
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder.
+    """``df`` written once as a table in the shared folder, and read from there.
 
     Used where a result is read several times, so that lost executors can't
-    cause the work before it to be repeated in every reader. The cluster names
-    the folder in ``spark.checkpoint.dir``; only a local session without that
-    setting gets a folder of its own.
+    cause the work before it to be repeated in every reader. A table is smaller
+    than a checkpoint of rows and tells the planner its size.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    cut = spark.read.schema(df.schema).parquet(path)
+    cut._cut_at = path
+    return cut
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what ``cut_lineage`` wrote for ``df``, which nothing reads any more."""
+    if hasattr(df, "_cut_at"):
+        _delete(df.sparkSession, df._cut_at)
 
 
 def spread(df: DataFrame) -> DataFrame:

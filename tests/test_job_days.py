@@ -27,6 +27,6 @@ def day(text):
 def test_every_row_has_a_day(spark, rows, tmp_path):
     data = [(f"{i:02}", t) for i, t in enumerate(TIMES)] + [(None, None), ("00", None)]
     spark.createDataFrame(data, "id string, update_time string").write.parquet(f"{tmp_path}/job_detail.parquet")
-    got = rows(QUERIES["c11_all_job_days"](spark, str(tmp_path)))
+    got = rows(QUERIES["c11_job_days"](spark, str(tmp_path)))
     assert got == sorted(((i, day(t)) for i, t in data), key=repr)
     assert sum(d == TODAY for _, d in got) == 20 and len(got) == len(data)

@@ -1,12 +1,25 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from millrace.functions.scalars import cosine
 from millrace.operators import knn
 
 SCHEMA = "id bigint, embedding array<float>"
 
 
-@pytest.mark.parametrize("operator", [knn.top_similar, knn.top_similar_expressions])
+def by_pairs(queries, vectors, k):
+    """Brute force: every query with every vector."""
+    pairs = queries.toDF("query_id", "a").crossJoin(vectors.toDF("id", "b")).select("query_id", "id", cosine(F.col("a"), F.col("b")).alias("score"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def in_blocks(queries, vectors, k=30):
+    return knn.top_similar(queries, vectors, k, most_broadcast=0)
+
+
+@pytest.mark.parametrize("operator", [knn.top_similar, in_blocks])
 def test_small(spark, operator):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (5, [0.0, 0.0]), (None, [1.0, 1.0]), (6, None)], SCHEMA)
     queries = spark.createDataFrame([(9, [5.0, 0.0]), (8, [0.0, 0.0]), (None, [1.0, 0.0])], SCHEMA)
@@ -17,12 +30,37 @@ def test_small(spark, operator):
     assert operator(queries, vectors, 30).where("query_id = 9").count() == 5
 
 
-def test_blocks_agree_with_expressions(spark, monkeypatch):
+@pytest.mark.parametrize("operator", [knn.top_similar, in_blocks])
+def test_blocks_agree_with_brute_force(spark, monkeypatch, operator):
     monkeypatch.setattr(knn, "BLOCK", 7)
     monkeypatch.setattr(knn, "STEP", 5)
+    monkeypatch.setattr(knn, "MEET", 11)
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)]  # many ties
     vectors = spark.createDataFrame(data, SCHEMA).repartition(5)
     queries = vectors.where("id % 6 = 0")
     key = lambda df: sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in df.collect())
-    assert key(knn.top_similar(queries, vectors, 9)) == key(knn.top_similar_expressions(queries, vectors, 9))
+    assert key(operator(queries, vectors, 9)) == key(by_pairs(queries, vectors, 9))
+
+
+def test_vectors_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], SCHEMA).write.parquet(str(tmp_path / "v"))
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    plan = knn.top_similar(vectors, vectors, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_list_index(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MEET", 20)  # lists are cut into parts
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(8, 16))
+    data = [(i, [float(x) for x in centres[i % 8 if i > 200 else 0] + rng.normal(size=16) / 8]) for i in range(400)]  # half of them in one list
+    vectors = spark.createDataFrame([*data, (None, [1.0] * 16), (900, None)], SCHEMA)
+    queries = vectors.where("id % 50 = 0")
+    index = knn.ListIndex(vectors, probes=3, lists=8)
+    assert index.recall(queries, 10) >= 0.9
+    assert index.query(queries, 10).where("rank <= 10").count() == 80
+    assert sorted(r["id"] for r in index.get(spark.createDataFrame([(3,), (3,), (777,)], "id bigint")).collect()) == [3]
+    assert knn.ListIndex(vectors, probes=8, lists=8).recall(queries, 10) == 1.0
+    empty = vectors.limit(0)
+    assert knn.ListIndex(empty).query(queries, 3).count() == 0

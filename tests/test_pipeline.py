@@ -1,12 +1,15 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.providers import HashedWords, KeepAll
 from millrace.operators.store import SnapshotStore
-from millrace.plans.access import outbox
-from millrace.plans.pipeline import Pipeline
+from millrace.plans.access import all_jobs_reply, outbox
+from millrace.plans.pipeline import Pipeline, match_prompts, self_test
 from millrace.schemas import JOB, MATCH, USER
 from millrace.session import cut_lineage
+from millrace.sources.http import AllSourcesFailed
 from millrace.sources.listings import read_uploads
 
 
@@ -33,7 +36,7 @@ def test_stages(spark, rows, tmp_path):
     p = Pipeline(store, failing(), KeepAll(), today="2026-03-31", now="2026-03-31T00:00:00.000Z", top_k=4)
     assert p.crawl(listings(spark), "board") == 5
     assert p.crawl(listings(spark), "board") == 0
-    assert p.embed() == {"embedded": 3, "failed": 1}
+    assert p.embed() == {"embedded": 3, "failed": 1, "skipped": 1}
     marks = {r["title"]: r["vectorize_id"] for r in store.read("job_detail").collect()}
     assert marks["Empty"] == "__no_desc__" and marks["Poison"] is None and marks["Data engineer"]
     store.write("user_info", spark.createDataFrame([("a", "A", None, "t1", None, None, None), ("b", "B", None, "", None, None, None), ("c", "C", None, "t3", None, None, None)], USER))
@@ -97,6 +100,97 @@ def test_one_firing(spark, tmp_path):
     broken = spark.range(1).select(F.raise_error(F.lit("down")).alias("title"), *[F.lit("").alias(c) for c in ("url", "description", "location", "salary", "update_time")], F.array().cast("array<string>").alias("tags"))
     report = p.run_all({"good": listings(spark), "bad": broken}, lambda box: box.select("user_id"))
     assert report["crawl good"] == 5 and "down" in str(report["crawl bad"]) or "Exception" in str(report["crawl bad"])
-    assert report["embed"] == {"embedded": 4, "failed": 0} and report["match"] == 3 and report["notify"] == 1
+    assert report["embed"] == {"embedded": 4, "failed": 0, "skipped": 1} and report["match"] == 3 and report["notify"] == 1
     with pytest.raises(ValueError, match="no stage"):
         p.run_stage("nothing")
+
+
+def small_store(spark, folder):
+    store = SnapshotStore(spark, str(folder))
+    store.create()
+    return store
+
+
+def test_an_upload_that_fails_changes_nothing(spark, tmp_path):
+    store = small_store(spark, tmp_path)
+    store.write("user_info", spark.createDataFrame([("a", "A", None, "t1", "old", None, "a"), ("b", "B", None, "t2", None, None, None)], USER))
+    p = Pipeline(store, failing(), KeepAll(), "2026-03-31", "now")
+    assert p.ingest_resumes(spark.createDataFrame([("t1", "poison"), ("t2", "good")], "telegram_id string, resume string")) == {"stored": 1, "created": 0, "failed": 1}
+    assert {r["id"]: (r["resume"], r["vectorize_id"]) for r in store.read("user_info").collect()} == {"a": ("old", "a"), "b": ("good", "b")}
+    assert [r["id"] for r in store.read("resume_vector").collect()] == ["b"]
+
+
+def test_an_upload_of_an_unknown_user_creates_one(spark, tmp_path):
+    store = small_store(spark, tmp_path)
+    p = Pipeline(store, HashedWords(), KeepAll(), "2026-03-31", "now")
+    upload = spark.createDataFrame([("t7", "spark", "Ada", None), ("t8", "soup", "Bo", "Li"), (None, "x", None, None)], "telegram_id string, resume string, first_name string, last_name string")
+    assert p.ingest_resumes(upload) == {"stored": 2, "created": 2, "failed": 0}
+    assert p.ingest_resumes(upload) == {"stored": 2, "created": 0, "failed": 0}
+    got = {r["telegram_id"]: r for r in store.read("user_info").collect()}
+    assert {t: (r["name"], r["resume"]) for t, r in got.items()} == {"t7": ("Ada", "spark"), "t8": ("Li Bo", "soup")}
+    assert sorted(r["id"] for r in store.read("resume_vector").collect()) == sorted(r["vectorize_id"] for r in got.values())
+
+
+def test_new_rows_leave_written_ones_alone(spark, tmp_path):
+    store = small_store(spark, tmp_path)
+    p = Pipeline(store, HashedWords(), KeepAll(), "2026-03-31", "now")
+    p.crawl(listings(spark), "board")
+    p.embed()
+    parts = store.parts("job_detail")
+    more = spark.createDataFrame([("New", "u9", "more", [], "", "", "2026-03-22")], LISTINGS)
+    assert p.crawl(more, "board") == 1
+    assert set(parts) < set(store.parts("job_detail"))
+    assert p.embed()["embedded"] == 1
+    assert set(parts) < set(store.parts("job_detail"))
+
+
+def test_draining(spark, tmp_path):
+    store = small_store(spark, tmp_path)
+    p = Pipeline(store, failing(), KeepAll(), "2026-03-31", "now")
+    p.crawl(listings(spark), "board")
+    assert p.drain(2)["embedded"] + p.drain(9)["embedded"] == 3
+    assert [r["title"] for r in store.read("job_detail").where("vectorize_id is null").collect()] == ["Poison"]
+
+
+def test_feeds_fail_alone_or_all_together(spark, tmp_path):
+    p = Pipeline(small_store(spark, tmp_path), HashedWords(), KeepAll(), "2026-03-31", "now")
+    feed = "<rss><channel><item><title>T</title><link>l</link><description>d</description></item></channel></rss>"
+    schema = "url string, body string, error string"
+    assert p.crawl_feeds(spark.createDataFrame([("a", feed, None), ("b", None, "down")], schema), "feeds") == {"added": 1, "failed": ["b: down"]}
+    with pytest.raises(AllSourcesFailed, match="down"):
+        p.crawl_feeds(spark.createDataFrame([("a", None, "down"), ("b", None, "gone")], schema), "feeds")
+    assert p.crawl_feeds(spark.createDataFrame([("a", "<rss><channel></channel></rss>", None)], schema), "feeds")["added"] == 0
+
+
+def test_retries_wait(spark, tmp_path):
+    p, waits = Pipeline(small_store(spark, tmp_path), HashedWords(), KeepAll(), "2026-03-31", "now"), []
+    p.notify = lambda deliver: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        p.run_stage("notify", None, wait=waits.append)
+    assert waits == [60.0] * 3
+
+
+def test_self_test_and_configuration(spark, tmp_path):
+    store = small_store(spark, tmp_path)
+    p = Pipeline.of(store, "2026-03-31", "now", {"MILLRACE_TOP_K": "2"})
+    assert p.top_k == 2
+    p.crawl(listings(spark), "board")
+    report = self_test(p, width=64)
+    assert report["embedded"] == 4 and report["matched"] == report["matches"] > 0
+    assert self_test(p, width=64)["matched"] == 0
+
+
+def test_prompt_states_the_rules(spark):
+    users = spark.createDataFrame([("u", None, None, None, "cv {jobs}", None, "u")], USER)
+    found = spark.createDataFrame([("u", 2, "j2", "T2", None, None, None, None), ("u", 1, "j1", 'T"1', "l", "d", "p", "s")], "user_id string, rank int, job_id string, title string, link string, job_desc string, location string, salary string")
+    text = match_prompts(users, found).first()["prompt"]
+    assert "6 or more" in text and "each of them must be met" in text
+    assert [e["jobId"] for e in json.loads(KeepAll().complete(text))["matched_jobs"]] == ["j1", "j2"]
+
+
+def test_replies_past_the_end(spark):
+    jobs = spark.createDataFrame([(f"j{i:02}", f"T{i}", None, None, "l", "s", None, None, f"2026-01-{i + 1:02}", None) for i in range(11)], JOB)
+    assert all_jobs_reply(jobs).first()["text"].count("Title : ") == 10
+    assert list(all_jobs_reply(jobs, 1).first()["keys"]) == ["Current Page 2", "Total Page 2", "Pre Page", "Next Page"]
+    assert all_jobs_reply(jobs, 2).first()["text"] == "No jobs available."
+    assert tuple(all_jobs_reply(jobs.limit(0)).first()) == ("No jobs available.", ["Current Page 1", "Total Page 1", "Pre Page", "Next Page"])

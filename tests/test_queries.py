@@ -1,9 +1,9 @@
 import pytest
 
-from millrace.plans import problem_queries, reference_queries
+from millrace.plans import problem_queries, reference_queries, stage_queries
 
-QUERIES = {**reference_queries.QUERIES, **problem_queries.QUERIES}
-SQL = {**reference_queries.ORACLE, **problem_queries.ORACLE}
+QUERIES = {**reference_queries.QUERIES, **stage_queries.QUERIES, **problem_queries.QUERIES}
+SQL = {**reference_queries.ORACLE, **stage_queries.ORACLE, **problem_queries.ORACLE}
 
 
 @pytest.mark.parametrize("name", QUERIES)

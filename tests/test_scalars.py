@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,11 +72,15 @@ def test_pages(spark, n, pages):
     assert one(spark, S.page_count(F.lit(n))) == pages
 
 
-def test_navigation():
-    assert S.next_page(0, "next") == 1
-    assert S.next_page(3, "previous") == 2
-    assert S.next_page(0, "previous") is None
-    assert S.next_page(1, "label") is None
+@pytest.mark.parametrize(("page", "action", "leads_to"), [(0, "next", 1), (3, "previous", 2), (0, "previous", None), (1, "label", None), (1, None, None)])
+def test_navigation(spark, page, action, leads_to):
+    assert one(spark, S.next_page(F.lit(page), F.lit(action).cast("string"))) == leads_to
+
+
+def test_indented_json(spark):
+    rows = spark.createDataFrame([(2, "b", 'say "x"\n'), (1, "a", None)], "r int, id string, t string")
+    text = rows.agg(S.indented_array(F.col("r"), S.indented_json({"id": F.col("id"), "t": F.col("t")})).alias("x")).first()[0]
+    assert text == json.dumps([{"id": "a", "t": None}, {"id": "b", "t": 'say "x"\n'}], indent=2)
 
 
 def test_config_takes_empty_for_absent():

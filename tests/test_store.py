@@ -57,12 +57,43 @@ def test_vectors_keep_the_last_and_their_width(spark, rows):
         K.upsert_vectors(store, batch, [F.desc("pos")], 3).collect()
 
 
+def users(spark, *ids, name="A"):
+    return spark.createDataFrame([(i, name, None, None, None, None, None) for i in ids], USER)
+
+
 def test_snapshots(spark, rows, tmp_path):
     s = K.SnapshotStore(spark, str(tmp_path))
-    assert rows(s.read("user_info")) == []
-    one = spark.createDataFrame([("1", "A", None, None, None, None, None)], USER)
-    assert s.write("user_info", one) == 1
+    assert rows(s.read("user_info")) == [] and s.version("user_info") == 0
+    assert s.write("user_info", users(spark, "1")) == 1
     opened = s.read("user_info")
-    assert s.write("user_info", opened.unionByName(one.withColumn("id", F.lit("2")))) == 2
+    assert s.write("user_info", opened.unionByName(users(spark, "2"))) == 2
     assert [r[0] for r in rows(opened)] == ["1"]
     assert [r[0] for r in rows(s.read("user_info"))] == ["1", "2"]
+
+
+def test_appending_and_changing_leave_other_parts_alone(spark, rows, tmp_path):
+    s = K.SnapshotStore(spark, str(tmp_path))
+    s.write("user_info", users(spark, *"abc"))
+    first = s.parts("user_info")
+    s.append("user_info", users(spark, *"de"))
+    assert s.parts("user_info")[0] == first[0] and len(s.parts("user_info")) == 2
+    s.update("user_info", spark.createDataFrame([("e", "B"), ("zz", "no")], "id string, name string"), "id")
+    assert first[0] in s.parts("user_info")
+    assert [r[:2] for r in rows(s.read("user_info"))] == [(i, "B" if i == "e" else "A") for i in "abcde"]
+    s.replace("user_info", users(spark, "a", "f", name="C"), ["id"])
+    assert {r[0]: r[1] for r in rows(s.read("user_info"))} == {"a": "C", "b": "A", "c": "A", "d": "A", "e": "B", "f": "C"}
+    version = s.version("user_info")
+    s.update("user_info", spark.createDataFrame([("zz", "no")], "id string, name string"), "id")
+    assert s.version("user_info") == version  # nothing to change, nothing written
+    s.compact("user_info")
+    assert len(s.parts("user_info")) == 1 and s.read("user_info").count() == 6
+
+
+def test_a_commit_is_never_replaced(spark, tmp_path):
+    s = K.SnapshotStore(spark, str(tmp_path))
+    s.write("user_info", users(spark, "1"))
+    with pytest.raises(K.CommitConflict):
+        s._commit("user_info", 0, [])
+    (tmp_path / "user_info" / "commits" / "2.json").write_text("")  # a writer that died
+    assert s.version("user_info") == 1 and s.read("user_info").count() == 1
+    assert s.append("user_info", users(spark, "2")) == 3
