@@ -13,17 +13,29 @@ from millrace.session import spread
 MAX_REFERENCE = 200_000
 
 
-def split_rules(place_ref: DataFrame) -> tuple[list[str], list[str]]:
-    """Names that hold a delimiter, and country spellings, of a place list.
+def _few(df: DataFrame, what: str) -> list[str]:
+    """The one column of ``df``, if it has no more than ``MAX_REFERENCE`` rows."""
+    rows = df.limit(MAX_REFERENCE + 1).collect()
+    if len(rows) > MAX_REFERENCE:
+        raise ValueError(f"the reference has more than {MAX_REFERENCE} {what}")
+    return sorted(r[0] for r in rows if r[0])
 
-    Only the names with a delimiter and the distinct codes leave the cluster.
-    """
+
+def country_codes(place_ref: DataFrame) -> list[str]:
+    """The distinct country codes of a place list."""
+    return _few(place_ref.select("country_code").distinct(), "country codes")
+
+
+def names_with_delimiters(place_ref: DataFrame) -> list[str]:
+    """The names of a place list that hold a delimiter; only they leave the cluster."""
     names = place_ref.select(F.explode(F.concat(F.array("place_name"), F.coalesce("alt_names", F.array().cast("array<string>")))).alias("name"))
-    marked = names.where(F.col("name").rlike(r"[,;|/&•·\n\r\t、，；｜]|(?i) (and|or) ")).distinct().limit(MAX_REFERENCE + 1).collect()
-    if len(marked) > MAX_REFERENCE:
-        raise ValueError(f"the reference has more than {MAX_REFERENCE} names with delimiters")
-    codes = [r[0] for r in place_ref.select("country_code").distinct().collect() if r[0]]
-    return sorted(r[0] for r in marked if contains_delimiter(r[0])), sorted(country_spellings(codes))
+    marked = names.where(F.col("name").rlike(r"[,;|/&•·\n\r\t、，；｜]|(?i) (and|or) ")).distinct()
+    return [n for n in _few(marked, "names with delimiters") if contains_delimiter(n)]
+
+
+def split_rules(place_ref: DataFrame) -> tuple[list[str], list[str]]:
+    """Names that hold a delimiter, and country spellings, of a place list."""
+    return names_with_delimiters(place_ref), sorted(country_spellings(country_codes(place_ref)))
 
 
 def split_values(df: DataFrame, key: str, field: str, place_ref: DataFrame, least: int = 2) -> DataFrame:
