@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Subgroups into which every group is hashed for the first ranking.
-SUBGROUPS = 32
+from millrace.session import cut_lineage
+
+#: Rows of a group that are ranked in one place, about; larger groups are hashed into subgroups.
+TOGETHER = 100_000
 
 
 def readable_score(score: Column) -> Column:
@@ -24,23 +26,33 @@ def readable_score(score: Column) -> Column:
     return F.when(readable, F.when(value.between(0, 10), value))
 
 
-def top_per_group(df: DataFrame, group: str, item: str, score: Column, time: Column, n: int = 10, subgroups: int = SUBGROUPS) -> DataFrame:
+def top_per_group(df: DataFrame, group: str, item: str, score: Column, time: Column, n: int = 10, together: int = TOGETHER) -> DataFrame:
     """``(group, item, rank_no)``: the ``n`` best items of each group.
 
     Order: higher score, later time (null last), smaller item. An item counts
     once in its group, by its best row. Rows with a null group, item or score
     are left out. An empty input gives no row; equal rows count once.
 
-    Two stages: each group is hashed by item into ``subgroups``, so a group of
-    any size is spread over that many tasks; an item's rows meet in one
-    subgroup, where its best row is found and all but ``n`` items are dropped.
-    The second stage ranks the at most ``n * subgroups`` survivors of a group.
+    Two stages: a group is hashed by item into as many subgroups as it has times
+    ``together`` rows, so a group of any size is spread over tasks of that size;
+    an item's rows meet in one subgroup, where its best row is found and all but
+    ``n`` items are dropped. The second stage ranks the survivors of a group. A
+    group of one subgroup has its ranks after the first stage, so its rows are
+    moved once. The sizes are counted first, from the column ``group`` alone.
     """
     rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), score.alias("s"), time.alias("t")).where("g is not null and i is not null")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(subgroups)).cast("int")).repartition("g", "salt")
-    # The score is tested after the aggregation: tested before, it would be parsed twice a row.
-    best = salted.groupBy("g", "salt", "i").agg(F.max(F.struct("s", "t")).alias("b")).select("g", "salt", "i", "b.s", "b.t").where("s is not null")
+    large = cut_lineage(rows.groupBy("g").count().where(F.col("count") > together).select("g", F.ceil(F.col("count") / together).cast("int").alias("subgroups")))
     order = [F.desc("s"), F.desc_nulls_last("t"), F.asc("i")]
-    kept = best.withColumn("r", F.row_number().over(Window.partitionBy("g", "salt").orderBy(*order))).where(F.col("r") <= n).drop("r", "salt")
-    ranked = kept.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("r") <= n)
-    return ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("r").cast("bigint").alias("rank_no"))
+
+    def best(part: DataFrame, *by: str) -> DataFrame:
+        # The score is tested after the aggregation: tested before, it would be parsed twice a row.
+        items = part.repartition(*by).groupBy(*by, "i").agg(F.max(F.struct("s", "t")).alias("b")).select(*by, "i", "b.s", "b.t").where("s is not null")
+        return ranked(items, *by)
+
+    def ranked(items: DataFrame, *by: str) -> DataFrame:
+        return items.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n)
+
+    salted = rows.join(large, "g").withColumn("salt", F.pmod(F.xxhash64("i"), F.col("subgroups")).cast("int"))
+    of_large = ranked(best(salted, "g", "salt").drop("r", "salt"), "g")
+    of_others = best(rows.join(large, "g", "left_anti"), "g")
+    return of_others.unionByName(of_large).select(F.col("g").alias(group), F.col("i").alias(item), F.col("r").cast("bigint").alias("rank_no"))

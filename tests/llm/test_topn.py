@@ -39,10 +39,12 @@ def test_against_sorting(spark, rows):
     data = [(rng.choice(["hot", "hot", "b", "c", None]), rng.choice([None, *[f"j{i:02}" for i in range(40)]]), rng.choice(["1", "2", "9", "n/a"]), rng.choice(times)) for _ in range(1500)]
     df = spark.createDataFrame([(*r, 0) for r in data], SCHEMA).repartition(6)
     assert rows(top(df)) == sorted(brute(data, 10), key=repr)
-    assert rows(top(df, n=3, subgroups=2)) == sorted(brute(data, 3), key=repr)
+    assert rows(top(df, together=50)) == sorted(brute(data, 10), key=repr)  # every group in subgroups
+    assert rows(top(df, n=3, together=400)) == sorted(brute(data, 3), key=repr)
 
 
 def test_edges(spark, rows):
     df = spark.createDataFrame([("u", "b", "9", None, 0), ("u", "a", "9", None, 0), ("u", "a", "9", None, 0), ("u", "c", "9", "2026-01-01T00:00:00.000Z", 0), ("u", "d", None, None, 0), ("v", "a", "high", None, 0)], SCHEMA)
     assert rows(top(df)) == [("u", "a", 2), ("u", "b", 3), ("u", "c", 1)]
     assert rows(top(df.limit(0))) == []
+
