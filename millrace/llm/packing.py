@@ -1,9 +1,12 @@
 """Items of varying length packed into containers of fixed capacity.
 
-Hierarchical residual packing. Every partition packs its items by best fit,
-largest first, and closes the containers that are nearly full. The rest go up
-a level as items of their own, several partitions to one, and are packed again,
-until one partition is left. A container carries its members (at most
+Hierarchical residual packing. Items are spread by hash, so that every partition
+has a like mixture of sizes; it packs them by best fit, largest first, and emits
+the containers that are nearly full. The others go up
+a level as items of their own, several partitions to one, and are packed again.
+Once a partition holds as many as a task packs together, further rounds mix the
+underfull containers of all partitions anew, until they fit in one task or a
+round saves next to nothing. A container carries its members (at most
 ``capacity`` of them, as no item is empty), so no level joins back.
 """
 
@@ -11,7 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +30,12 @@ CAPACITY = 2048
 NEARLY_FULL = 0.998
 #: Partitions packed together at the next level.
 FAN_IN = 8
-#: Most open containers a partition sends up; with more, its fullest are closed.
-MOST_OPEN = 20_000
+#: Items and members of items that a task packs together, about. It bounds the
+#: memory of a task, not what is packed: further items are a further block, and
+#: what either leaves open meets again.
+TOGETHER, MEMBERS = 50_000, 500_000
+#: Rounds at one number of partitions end when one saves a smaller share of the containers.
+LEAST_GAIN = 0.001
 
 _BINS = "container string, fill int, open boolean, members array<struct<k:{0},part:int,start:bigint,n:int>>"
 
@@ -62,32 +71,50 @@ def best_fit(items: Iterable[tuple[int, list]], capacity: int) -> list[tuple[int
     return list(zip(fills, filled))
 
 
-def _level(bins: DataFrame, schema: str, level: int, capacity: int, last: bool) -> DataFrame:
+def _pack_block(batches: list[pa.RecordBatch], arrow: pa.Schema, name: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    fills, members = table.column("fill").to_numpy(), table.column("members").combine_chunks().cast(arrow.field("members").type)
+    first = members.values.take(members.offsets[:-1])
+    keys = np.array([xxhash.xxh3_64_intdigest(str(k)) for k in first.field("k").to_pylist()], np.uint64)
+    # A fixed order makes a repeated task give the same containers.
+    order = np.lexsort((first.field("part").to_numpy(), keys, -fills))
+    packed = best_fit(((fill, [i]) for fill, i in zip(fills[order].tolist(), order.tolist())), capacity)
+    for at in range(0, len(packed), 5000):
+        part = packed[at : at + 5000]
+        taken = members.take(pa.array([i for _, items in part for i in items]))
+        ends = taken.offsets.to_numpy()[np.cumsum([0, *(len(items) for _, items in part)])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([f"{name}-{at + i}" for i in range(len(part))]),
+                pa.array([f for f, _ in part], pa.int32()),
+                pa.array([f < capacity * NEARLY_FULL for f, _ in part]),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.flatten(), type=arrow.field("members").type),
+            ],
+            schema=arrow,
+        )
+
+
+def _level(bins: DataFrame, schema: str, level: int, capacity: int, together: int) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [(fill, members) for b in batches for fill, members in zip(b.column("fill").to_pylist(), b.column("members").to_pylist())]
-        # A fixed order makes a repeated task give the same containers.
-        items.sort(key=lambda x: (-x[0], str(x[1][0]["k"]), x[1][0]["part"]))
-        packed = best_fit(items, capacity)
-        packed.sort(key=lambda x: x[0])
-        least, split = capacity * NEARLY_FULL, TaskContext.get().partitionId()
-        for at in range(0, len(packed), 5000):
-            part = packed[at : at + 5000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"{level}-{split}-{at + i}" for i in range(len(part))]),
-                    pa.array([f for f, _ in part], pa.int32()),
-                    pa.array([not last and f < least and at + i < MOST_OPEN for i, (f, _) in enumerate(part)]),
-                    pa.array([m for _, m in part], arrow.field("members").type),
-                ],
-                schema=arrow,
-            )
+        split, block = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        items = members = 0
+        for batch in (b.slice(at, together) for b in batches for at in range(0, b.num_rows, together)):
+            size = len(batch.column("members").flatten())
+            if held and (items + batch.num_rows > together or members + size > MEMBERS):
+                yield from _pack_block(held, arrow, f"{level}-{split}-{block}", capacity)
+                held, block, items, members = [], block + 1, 0, 0
+            held.append(batch)
+            items, members = items + batch.num_rows, members + size
+        if held:
+            yield from _pack_block(held, arrow, f"{level}-{split}-{block}", capacity)
 
     return bins.select("fill", "members").mapInArrow(run, schema)
 
 
-def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, together: int = TOGETHER) -> DataFrame:
     """``(container, key, part, start_at, n_tokens)``: where every unit of every item lies.
 
     An item larger than ``capacity`` is cut: its full parts fill containers of
@@ -103,14 +130,21 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     pieces = items.where("n > 0").select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}"))).alias("part"), "n")
     pieces = pieces.select("k", F.col("part").cast("int").alias("part"), (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("int").alias("n"))
     level0 = pieces.select(F.col("n").alias("fill"), F.array(F.struct("k", "part", "start", "n")).alias("members"))
-    done, level, partitions = [], 0, level0.rdd.getNumPartitions()
-    bins = cut_lineage(_level(level0, schema, level, capacity, partitions == 1))
+    done, level, partitions = [], 0, max(1, -(-level0.count() // together))
+    # Items are spread by hash: sizes that lie together in the input would be packed with their like.
+    spread_out = level0.repartition(partitions, F.xxhash64("members"))
+    bins, before = cut_lineage(_level(spread_out, schema, level, capacity, together)), None
     while True:
-        done.append(bins.where("not open"))
-        if partitions == 1:
+        containers, left, blocks = bins.agg(F.count("*"), F.coalesce(F.count_if(F.col("open")), F.lit(0)), F.count_distinct(F.regexp_extract("container", r"^(\d+-\d+-\d+)-", 1))).first()
+        least = -(-left // together)
+        if blocks <= 1 or left <= 1 or (before is not None and partitions <= least and before - containers <= before * LEAST_GAIN):
+            done.append(bins)
             break
-        level, partitions = level + 1, max(1, -(-partitions // FAN_IN))
-        bins = cut_lineage(_level(bins.where("open").coalesce(partitions), schema, level, capacity, partitions == 1))
+        done.append(bins.where("not open"))
+        level, before, partitions = level + 1, left, max(least, -(-partitions // FAN_IN))
+        # Hashed anew at every level, so that other containers meet.
+        mixed = bins.where("open").repartition(partitions, F.xxhash64(F.lit(level), "container"))
+        bins = cut_lineage(_level(mixed, schema, level, capacity, together))
     closed = done[0]
     for more in done[1:]:
         closed = closed.unionByName(more)

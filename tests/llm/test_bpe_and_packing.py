@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from millrace.llm.bpe import BYTE_BPE_50K, PATTERN, TOKENIZER_DIR, Encoder, encode_texts, merge_piece, read_ranks
 from millrace.llm.packing import best_fit, pack
 
@@ -93,3 +95,16 @@ def test_pack(spark):
     pieces = [p for _, n in sizes for p in [100] * (max(0, n or 0) // 100) + [max(0, n or 0) % 100] if p]
     assert len(filled) <= 1.005 * len(best_fit([(p, [0]) for p in sorted(pieces, reverse=True)], 100)) + 1  # as one partition would
     assert pack(df.limit(0), "doc_id", "n").count() == 0
+
+
+def test_many_open_containers_meet_from_other_partitions(spark):
+    """25,000 items of 60 and 25,000 of 40 in other partitions, packed 2,000 at a time."""
+    items = spark.range(0, 50_000, numPartitions=10).selectExpr("id AS doc_id", "IF(id < 25000, 60, 40) AS n")
+    fills = pack(items, "doc_id", "n", capacity=100, together=2000).groupBy("container").agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("n"))
+    n, most, items_in = fills.agg(F.count("*"), F.max("fill"), F.sum("n")).first()
+    assert (most, items_in) == (100, 50_000) and n <= 25_000 * 1.02, n
+
+
+def test_containers_that_fit_nothing_end_at_once(spark):
+    items = spark.range(0, 5000, numPartitions=5).selectExpr("id AS doc_id", "60 AS n")
+    assert pack(items, "doc_id", "n", capacity=100, together=100).select("container").distinct().count() == 5000
