@@ -1,27 +1,28 @@
 """Freely written places mapped to a list of canonical ones.
 
-The values are split by the core's tokenizer; everything after that is SQL.
-Distinct values are matched once each: by equal keys first, and the rest by a
-pigeonhole join. A reference key is cut into ``EDITS + 1`` segments; a value
-within ``EDITS`` edits of it must hold one segment unchanged, at a position
-that the edits before and after it allow. Those substrings are joined by
-equality and verified with ``levenshtein``. What no candidate survives for is
-found by anti-join and reported as ``UNMATCHED``.
+SQL alone. A field is split by one regular expression, an alternation of
+delimiters and values. Distinct values are matched once each: by equal keys
+first, and the rest by a pigeonhole join. A reference key that may differ in k
+edits is cut into k + 1 segments; a value within k edits of it must hold one
+segment unchanged, at a position that the edits before and after it allow. Those
+substrings are joined by equality and verified with ``levenshtein``. What no
+candidate survives for is found by anti-join and reported as ``UNMATCHED``.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import DataFrame
 
-from millrace.functions.multivalue import country_spellings
-from millrace.operators.splitting import split_values
+from millrace.functions.multivalue import BRACKETS, MARKS, QUOTES, WORDS, contains_delimiter, country_spellings
+from millrace.operators.splitting import country_codes, names_with_delimiters
 from millrace.session import cut_lineage
 
-#: Most edits between a value and a reference, for keys of at least this length.
-EDITS = 2
-LEAST_FUZZY = 6
+#: Edits allowed between a value and a reference key, by the least length of the
+#: key: up to a third of it. One edit turns a shorter key into another word.
+EDITS = {6: 2, 5: 1}
 UNMATCHED = -1
 
 # Words around a place that don't belong to its name, and short forms.
@@ -40,7 +41,17 @@ def _plain_letters() -> tuple[str, str]:
 
 
 def _lit(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A text as a literal of the SQL that ``spark.sql`` formats."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'"
+
+
+#: White space of any kind, in a class of a regular expression and for ``trim``.
+_SPACES = r"\s\u00A0\u2000-\u200A\u202F\u3000"
+_WHITE = "' \\t\\n\\r\\u000C\\u000B\\u00A0\\u2002\\u2003\\u2009\\u202F\\u3000'"
+
+
+def _edits(length: str) -> str:
+    return "CASE " + " ".join(f"WHEN {length} >= {least} THEN {k}" for least, k in sorted(EDITS.items(), reverse=True)) + " END"
 
 
 def _letters_only(expr: str) -> str:
@@ -68,6 +79,39 @@ def _stripped(expr: str) -> str:
     return f"regexp_replace(regexp_replace(trim({bare}), '(?i)^(?:(?:{before})\\\\s+)+', ''), '(?i)(?:\\\\s+(?:{after})\\\\b)+\\\\W*$', '')"
 
 
+def value_pattern(protected: list[str], qualifiers: list[str]) -> str:
+    """A regular expression whose second group is a value of a field; its first
+    matches what stands between values.
+
+    A quote counts where a value begins and only if it is closed; brackets hold
+    their delimiters back, nested up to three deep; a backslash makes the next
+    character ordinary; ``protected`` names are never cut; a comma with one of
+    ``qualifiers`` (a country) belongs to the value before it, once a value.
+    """
+    quote = lambda text: re.sub(r"([^\w\s])", r"\\\1", text)
+    marks, word = f"[{quote(MARKS)}]", r"[\pL\pN_]"
+    words, white, black = "|".join(WORDS), f"[{_SPACES}]", f"[^{_SPACES}]"
+    names = "|".join(f"{white}+".join(map(quote, n.split())) for n in sorted({n.strip() for n in protected if contains_delimiter(n)}, key=lambda n: (-len(n), n)))
+    name = rf"(?<!{word})(?iu:{names})(?!{word})" if names else r"(?!)"
+    opening, closing = (f"[{quote(''.join(x))}]" for x in (BRACKETS, BRACKETS.values()))
+    plain, nested = f"[^{opening[1:-1]}{closing[1:-1]}]", "(?!)"
+    for _ in range(3):
+        nested = f"{opening}(?:{plain}++|{nested})*+{closing}"
+    quoted = []
+    for first, last in QUOTES.items():
+        inside = [quote(last) * 2] * (first == last) + [f"[^{quote(last)}]"] + [rf"{quote(last)}(?=[\pL\pN])"] * (last in "'’")
+        quoted.append(f"{quote(first)}(?:{'|'.join(inside)})*+{quote(last)}")
+    part = rf"(?:\\.|{name}|{nested}|{word}++|(?!{white}+(?:{words}){white})[^{marks[1:-1]}])"
+    spelled = "|".join(quote(q) for q in sorted(qualifiers, key=lambda q: (-len(q), q)))
+    country = rf"(?iu:,{white}*+(?!{name})(?:{spelled})(?={white}*(?:\z|{marks}|{white}(?:{words}){white})))" if spelled else "(?!)"
+    value = rf"(?:{'|'.join(quoted)}|(?!{white}){part}){part}*+(?:{country}{part}*+)?"
+    return f"(?s)({marks}|{white}+(?:{words})(?={white})|{white}+(?!{black}))|(?:{white}*+({value}))"
+
+
+#: A value in quotes, which are no part of it.
+_ENCLOSED = "(?s)" + "|".join(f"^{first}(.*){last}$" for first, last in QUOTES.items())
+
+
 def map_places(df: DataFrame, key: str, field: str, place_ref: DataFrame) -> DataFrame:
     """``(key, place_id)``: one row per row key and distinct place its field names.
 
@@ -78,8 +122,13 @@ def map_places(df: DataFrame, key: str, field: str, place_ref: DataFrame) -> Dat
     unmatched. Only ``key`` and ``field`` of ``df`` are read.
     """
     spark = df.sparkSession
-    pieces = cut_lineage(split_values(df, key, field, place_ref, least=1).selectExpr(f"`{key}` AS k", "piece").distinct())
-    countries = country_spellings(r[0] for r in place_ref.selectExpr("country_code").distinct().collect() if r[0])
+    countries = country_spellings(country_codes(place_ref))
+    pattern = value_pattern(names_with_delimiters(place_ref), sorted(countries))
+    split = f"""
+        SELECT DISTINCT k, trim({_WHITE}, regexp_replace(trim({_WHITE}, piece), {_lit(_ENCLOSED)}, '$1$2$3$4$5$6')) AS piece
+        FROM {{rows}} LATERAL VIEW explode(regexp_extract_all(field, {_lit(pattern)}, 2)) AS piece WHERE trim({_WHITE}, piece) <> ''
+    """
+    pieces = cut_lineage(spark.sql(split, rows=df.selectExpr(f"`{key}` AS k", f"`{field}` AS field")))
     spelled = "|".join(sorted(countries, key=lambda c: (-len(c), c))) or "-"
     tail = f"'(?i)\\\\s*(?:,\\\\s*({spelled})|\\\\(\\\\s*({spelled})\\\\s*\\\\))[\\\\s.*]*$'"
     codes = ", ".join(f"{_lit(s)}, {_lit(c)}" for s, c in sorted(countries.items())) or "'-', '-'"
@@ -123,27 +172,28 @@ def map_places(df: DataFrame, key: str, field: str, place_ref: DataFrame) -> Dat
         WITH open AS (
           SELECT piece, country, form, plain_key, length(plain_key) AS n
           FROM {{values}} v LEFT ANTI JOIN {{equal}} e ON v.piece = e.piece
-        ), segments AS (
-          SELECT place_id, country_code, plain_key AS ref_key, length(plain_key) AS m, i,
-                 length(plain_key) * i div {EDITS + 1} AS at, length(plain_key) * (i + 1) div {EDITS + 1} - length(plain_key) * i div {EDITS + 1} AS width
-          FROM {{refs}} LATERAL VIEW explode(sequence(0, {EDITS})) AS i WHERE length(plain_key) >= {LEAST_FUZZY}
-        ), built AS (SELECT *, substring(ref_key, at + 1, width) AS part FROM segments
+        ), keys AS (SELECT place_id, country_code, plain_key AS ref_key, length(plain_key) AS m, {_edits("length(plain_key)")} AS k FROM {{refs}}
+        ), built AS (
+          SELECT place_id, country_code, ref_key, m, i, substring(ref_key, m * i div (k + 1) + 1, m * (i + 1) div (k + 1) - m * i div (k + 1)) AS part
+          FROM keys LATERAL VIEW explode(sequence(0, k)) AS i WHERE k IS NOT NULL
         ), lengths AS (
-          SELECT *, n - m AS longer, m * i div {EDITS + 1} AS at, m * (i + 1) div {EDITS + 1} - m * i div {EDITS + 1} AS width
-          FROM open LATERAL VIEW explode(sequence(greatest({LEAST_FUZZY}, n - {EDITS}), greatest({LEAST_FUZZY}, n + {EDITS}))) AS m LATERAL VIEW explode(sequence(0, {EDITS})) AS i
+          SELECT *, {_edits("m")} AS k FROM open LATERAL VIEW explode(sequence(greatest(1, n - {max(EDITS.values())}), n + {max(EDITS.values())})) AS m
+        ), cuts AS (
+          SELECT *, n - m AS longer, m * i div (k + 1) AS at, m * (i + 1) div (k + 1) - m * i div (k + 1) AS width
+          FROM lengths LATERAL VIEW explode(sequence(0, k)) AS i WHERE k IS NOT NULL AND abs(n - m) <= k
         ), shifts AS (
-          SELECT *, greatest(-i, longer - ({EDITS} - i)) AS least_shift, least(i, longer + ({EDITS} - i)) AS most_shift FROM lengths
+          SELECT *, greatest(-i, longer - (k - i)) AS least_shift, least(i, longer + (k - i)) AS most_shift FROM cuts
         ), probes AS (
-          SELECT DISTINCT piece, country, form, plain_key, m, i, substring(plain_key, at + shift + 1, width) AS part
+          SELECT DISTINCT piece, country, form, plain_key, m, k, i, substring(plain_key, at + shift + 1, width) AS part
           FROM shifts LATERAL VIEW explode(sequence(least_shift, most_shift)) AS shift
           WHERE least_shift <= most_shift AND at + shift >= 0 AND at + shift + width <= n
         ), candidates AS (
-          SELECT DISTINCT p.piece, p.country, p.form, p.plain_key, b.place_id, b.country_code, b.ref_key
+          SELECT DISTINCT p.piece, p.country, p.form, p.plain_key, p.k, b.place_id, b.country_code, b.ref_key
           FROM probes p JOIN built b ON p.m = b.m AND p.i = b.i AND p.part = b.part
         ), verified AS (
-          SELECT piece, place_id, country <=> country_code AS same_country, form, levenshtein(plain_key, ref_key) AS edits FROM candidates
+          SELECT piece, place_id, country <=> country_code AS same_country, form, k, levenshtein(plain_key, ref_key) AS edits FROM candidates
         )
-        SELECT piece, place_id, same_country, 4 AS level, edits FROM verified WHERE edits <= {EDITS}
+        SELECT piece, place_id, same_country, 4 AS level, edits FROM verified WHERE edits <= k
         """,
         values=values,
         equal=equal,
