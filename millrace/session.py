@@ -6,10 +6,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+#: Bytes of rows that a task of a large shuffle reads, about.
+PARTITION = 32 << 20
 
 
 def build_session(app: str = "millrace", cpus: int | str = "*", **extra: str) -> SparkSession:
@@ -67,6 +71,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return cut
 
 
+@contextmanager
+def room_for(spark: SparkSession, size: int, each: int = PARTITION) -> Iterator[None]:
+    """Shuffles run inside have at least a partition for every ``each`` bytes of
+    ``size``, so that a task's share doesn't grow with the table. Adaptive
+    execution still merges small ones and splits hot ones, which it wouldn't do
+    after an explicit repartition."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), -(-size // each))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(df: DataFrame) -> None:
     """Deletes what ``cut_lineage`` wrote for ``df``, which nothing reads any more."""
     if hasattr(df, "_cut_at"):
