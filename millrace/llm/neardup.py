@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.groups import group_of
 from millrace.operators.arrowmap import arrow_map
-from millrace.session import cut_lineage, spread
+from millrace.session import cut_lineage, release, room_for, spread
 
 WIDTH = 5
 LEAST_WORDS = 20
@@ -41,6 +42,8 @@ THRESHOLD = 0.5
 MISSED = 0.01
 #: Signatures computed at once; words and texts remembered by a task.
 CHUNK, REMEMBERED, REMEMBERED_TEXTS = 64, 1 << 18, 1 << 10
+#: Bytes of an entry of the index in a shuffle.
+ENTRY = 28
 #: A record's sketch marks each of its runs in so many words of 64 bits.
 SKETCH = 8
 
@@ -219,33 +222,68 @@ def _verify_setup(threshold: float):
     return setup
 
 
-def _met(records: DataFrame, segments: int) -> DataFrame:
+def _met(records: DataFrame, segments: int, distinct: int) -> DataFrame:
     """``(f1, g1)``, f1 < g1: fingerprints that meet in a variant."""
-    index = arrow_map(records.select("t", "b"), _signature_setup(segments), "variant bigint, f1 bigint").repartition("variant")
-    other = index.select("variant", F.col("f1").alias("g1"))
-    return cut_lineage(index.join(other, "variant").where("f1 < g1").select("f1", "g1").distinct())
+    index = arrow_map(records.select("t", "b"), _signature_setup(segments), "variant bigint, p bigint")
+    # Both sides rename, so that one exchange serves both.
+    left, right = index.select("variant", F.col("p").alias("f1")), index.select("variant", F.col("p").alias("g1"))
+    with room_for(records.sparkSession, distinct * segments * WIDTH * ENTRY):
+        return cut_lineage(left.join(right, "variant").where("f1 < g1").select("f1", "g1").distinct())
 
 
-def _can_be_similar(met: DataFrame, survey: DataFrame, threshold: float) -> DataFrame:
+def _can_be_similar(met: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """``met`` without the pairs whose sketches rule the threshold out.
 
     Sets of similarity t differ in at most (1 - t) / (1 + t) of the sum of their
     sizes, and their bitmaps in no more places than the sets.
     """
     words = [f"s{i}" for i in range(SKETCH)]
-    sketches = survey.select("f1", "runs", *words).repartition("f1").distinct()
     other = sketches.select(F.col("f1").alias("g1"), F.col("runs").alias("more"), *[F.col(w).alias(f"z{w}") for w in words])
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"z{w}"))) for w in words), F.lit(0))
     allowed = (F.col("runs") + F.col("more")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
-    return cut_lineage(met.join(sketches, "f1").join(other, "g1").where(differ <= allowed).select("f1", "g1").distinct())
+    return met.join(sketches, "f1").join(other, "g1").where(differ <= allowed).select("f1", "g1").distinct()
 
 
-def _with_shared_partners(met: DataFrame) -> DataFrame:
-    """``met`` and the pairs that both meet a third: edited versions come in
-    families, and a pair that missed each other rarely misses all its kin."""
-    both = met.union(met.select(F.col("g1"), F.col("f1"))).toDF("mid", "end")
-    shared = both.join(both.toDF("mid", "far"), "mid").where("end < far").select(F.col("end").alias("f1"), F.col("far").alias("g1"))
-    return cut_lineage(met.union(shared).distinct())
+def _with_kin(met: DataFrame) -> DataFrame:
+    """``met`` and the pairs whose least partner is the same: edited versions come
+    in families, and a pair that missed each other rarely misses the least of its
+    family. A record has one least partner, so a family of m adds at most the
+    m * m / 2 pairs that it has."""
+    both = met.union(met.select("g1", "f1")).toDF("f", "g")
+    least = both.groupBy("f").agg(F.min("g").alias("g")).select("f", F.least("f", "g").alias("hub"))
+    a, b = least.select("hub", F.col("f").alias("f1")), least.select("hub", F.col("f").alias("g1"))
+    return met.union(a.join(b, "hub").where("f1 < g1").select("f1", "g1")).distinct()
+
+
+def near_duplicate_classes(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal words, and which of them are similar.
+
+    ``(k, f1, f2)``: the class of every record with a key and at least
+    ``LEAST_WORDS`` words in its body, and ``(f1, f2, g1, g2)``, f1 < g1: the
+    pairs of classes with similarity ``threshold`` or more.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    records = spread(df.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b")))
+    sketch = ", ".join(f"s{i} bigint" for i in range(SKETCH))
+    survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, f1 bigint, f2 bigint, runs bigint, {sketch}"))
+    members = survey.select("k", "f1", "f2")
+    # The number of distinct texts only sizes the shuffles.
+    distinct = survey.agg(F.approx_count_distinct("f1")).first()[0]
+
+    met = _met(records, segments_for(threshold), distinct)
+    with room_for(spark, distinct * 1024):
+        one_each = survey.drop("k", "f2").distinct()
+        candidates = cut_lineage(_with_kin(cut_lineage(_can_be_similar(met, one_each, threshold))))
+        release(met)
+        # Texts move once, only those of candidates, and one exchange serves both sides of a pair.
+        reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k"))
+        keyed = cut_lineage(candidates.join(reps.toDF("f1", "f2", "ka"), "f1").join(reps.toDF("g1", "g2", "kb"), "g1"))
+        wanted = keyed.select(F.col("ka").alias("k")).union(keyed.select("kb")).distinct()
+        texts = records.join(wanted, "k", "left_semi")
+        ta, tb = texts.select(F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("b").alias("ba")), texts.select(F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("b").alias("bb"))
+        paired = keyed.join(ta, "ka").join(tb, "kb").select("f1", "f2", "ta", "ba", "g1", "g2", "tb", "bb")
+        similar = cut_lineage(arrow_map(paired, _verify_setup(threshold), "f1 bigint, f2 bigint, g1 bigint, g2 bigint").distinct())
+    return members, similar
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD, left: str = "id_a", right: str = "id_b") -> DataFrame:
@@ -258,24 +296,34 @@ def near_duplicate_pairs(df: DataFrame, key: str, title: str, body: str, thresho
     copies are paired too; they are one class while candidates are sought.
     Repeated keys give no pair with themselves.
     """
-    kind = df.schema[key].dataType.simpleString()
-    records = spread(df.select(F.col(key).alias("k"), F.col(title).alias("t"), F.col(body).alias("b")))
-    sketch = ", ".join(f"s{i} bigint" for i in range(SKETCH))
-    survey = cut_lineage(arrow_map(records, _survey_setup, f"k {kind}, f1 bigint, f2 bigint, runs bigint, {sketch}"))
-    # One exchange serves every use of the members.
-    members = survey.select("k", "f1", "f2").repartition("f1", "f2")
-
-    met = _with_shared_partners(_can_be_similar(_met(records, segments_for(threshold)), survey, threshold))
-    # Texts are moved once, by key, and that exchange serves both sides of a pair.
-    reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k"))
-    ra, rb = reps.toDF("f1", "f2", "ka"), reps.toDF("g1", "g2", "kb")
-    keyed = met.join(ra, "f1").join(rb, "g1")
-    texts = records.where("k is not null").repartition("k")
-    ta, tb = texts.toDF("ka", "t", "b"), texts.toDF("kb", "u", "c")
-    paired = keyed.join(ta, "ka").join(tb, "kb").select("f1", "f2", "t", "b", "g1", "g2", "u", "c")
-    similar = arrow_map(paired, _verify_setup(threshold), "f1 bigint, f2 bigint, g1 bigint, g2 bigint").distinct()
-
+    members, similar = near_duplicate_classes(df, key, title, body, threshold)
     ma, mb = members.toDF("ka", "f1", "f2"), members.toDF("kb", "g1", "g2")
     between = similar.join(ma, ["f1", "f2"]).join(mb, ["g1", "g2"]).select("ka", "kb")
     within = ma.join(members.toDF("kb", "f1", "f2"), ["f1", "f2"]).where("ka < kb").select("ka", "kb")
     return between.union(within).where("ka <> kb").select(F.least("ka", "kb").alias(left), F.greatest("ka", "kb").alias(right)).distinct()
+
+
+def near_duplicate_groups(df: DataFrame, key: str, title: str, body: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``(key, group_id, links)``: one row a distinct key.
+
+    Records linked by ``near_duplicate_pairs``, directly or through others, are a
+    group, named by its least key; ``links`` is the number of records that a
+    record is paired with. One without partner is its own group. Groups and links
+    come from the classes of equal words and their sizes; copies are never
+    expanded into pairs. A key that is repeated with other words has the links of
+    each and the least of their groups. Null keys are left out.
+    """
+    members, similar = near_duplicate_classes(df, key, title, body, threshold)
+    members = members.distinct()
+    sizes = cut_lineage(members.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min("k").alias("least")))
+    name = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    edges = similar.select(name("f1", "f2").alias("x"), name("g1", "g2").alias("y"))
+    groups = group_of(edges, "x", "y").select(F.col("id.a").alias("f1"), F.col("id.b").alias("f2"), "group_id")
+    both = similar.union(similar.select("g1", "g2", "f1", "f2"))
+    linked = both.join(sizes.toDF("g1", "g2", "n", "least"), ["g1", "g2"]).groupBy("f1", "f2").agg(F.sum("n").alias("links"))
+    of_class = sizes.join(groups, ["f1", "f2"], "left").withColumn("group_id", F.coalesce("group_id", name("f1", "f2")))
+    least = of_class.groupBy("group_id").agg(F.min("least").alias("group"))
+    of_class = of_class.join(least, "group_id").join(linked, ["f1", "f2"], "left").select("f1", "f2", "group", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    found = members.join(of_class, ["f1", "f2"]).groupBy("k").agg(F.min("group").alias("group"), F.sum("links").alias("links"))
+    ids = df.select(F.col(key).alias("k")).where("k is not null").distinct()
+    return ids.join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("group", "k").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import count_tokens, encode_texts
-from millrace.llm.groups import grouped_records
 from millrace.llm.lookalikes import canonical_texts, look_alike_pairs
-from millrace.llm.neardup import near_duplicate_pairs
+from millrace.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from millrace.llm.packing import pack
 from millrace.llm.pii import find_personal_data, redact_personal_data
 from millrace.llm.places import map_places
@@ -41,8 +40,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every posting, and to how many postings it is linked."""
-    jobs = _table(spark, sf_dir, "job_detail")
-    return grouped_records(jobs, "id", near_duplicate_pairs(jobs, "id", "title", "job_desc"), "id_a", "id_b")
+    return near_duplicate_groups(_table(spark, sf_dir, "job_detail"), "id", "title", "job_desc")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +92,21 @@ WITH cleaned AS (
 SELECT user_id, job_id, rank_no FROM ranked WHERE rank_no <= 10
 """
 
+_PAIRS_SQL = r"""
+w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || job_desc), '[\p{L}\p{N}]+') AS ws FROM job_detail WHERE len(regexp_extract_all(lower(job_desc), '[\p{L}\p{N}]+')) >= 20),
+r AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run FROM w, generate_series(1, len(ws) - 2) s(i)),
+n AS (SELECT id, count(*) AS n FROM r GROUP BY id),
+shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM r a JOIN r b ON a.run = b.run AND a.id < b.id GROUP BY ALL),
+pairs AS (SELECT id_a, id_b FROM shared s JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE 2 * s.n >= a.n + b.n - s.n)
+"""
+P4_SQL = f"WITH {_PAIRS_SQL} SELECT id_a, id_b FROM pairs"
+P4_GROUPS_SQL = f"""
+WITH RECURSIVE {_PAIRS_SQL},
+both_ways AS MATERIALIZED (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b)
+SELECT j.id, least(j.id, coalesce((SELECT min(b) FROM reach WHERE a = j.id), j.id)) AS group_id, (SELECT count(*) FROM both_ways WHERE a = j.id) AS links FROM job_detail j
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -106,4 +119,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_canonical": p10_canonical,
 }
-ORACLE = {"p6_found": P6_SQL}
+ORACLE = {"p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, "p6_found": P6_SQL}

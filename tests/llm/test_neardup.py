@@ -1,7 +1,8 @@
 import itertools
 import random
 
-from millrace.llm.neardup import WIDTH, near_duplicate_pairs, segments_for, similarity, word_runs, words_of
+from millrace.llm.groups import grouped_records
+from millrace.llm.neardup import WIDTH, near_duplicate_classes, near_duplicate_groups, near_duplicate_pairs, segments_for, similarity, word_runs, words_of
 
 SCHEMA = "id string, title string, job_desc string, id_a int"
 
@@ -114,3 +115,44 @@ def test_pairs_without_kin_at_the_threshold(spark, rows):
     want = {(f"{n:04}-a", f"{n:04}-b") for n in range(1000)}
     got = set(rows(near_duplicate_pairs(spark.createDataFrame([(*r, 0) for r in data], SCHEMA), "id", "title", "job_desc")))
     assert got <= want and len(want - got) <= 20
+
+
+def test_a_family_in_a_large_share_of_the_table(spark, rows):
+    """A fifth of the records share 92 words and have 41 of their own: similarity 0.52."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(92)]
+    data = [(f"f{i:03}", None, " ".join([*base, *(word() for _ in range(41))])) for i in range(200)]
+    data += [(f"o{i:03}", None, " ".join(word() for _ in range(100))) for i in range(800)]
+    got = near_duplicate_pairs(spark.createDataFrame([(*r, 0) for r in data], SCHEMA).repartition(4), "id", "title", "job_desc")
+    assert got.count() == 200 * 199 // 2
+
+
+def test_groups_are_those_of_the_pairs(spark, rows):
+    data = corpus(3, families=25, size=4)
+    data += [(f"copy{i}", *data[5][1:]) for i in range(12)] + [(None, "T", "x"), ("short", None, "few words"), ("short", None, "few words")]
+    df = spark.createDataFrame([(*r, 0) for r in data], SCHEMA).repartition(5)
+    want = grouped_records(df, "id", near_duplicate_pairs(df, "id", "title", "job_desc"), "id_a", "id_b")
+    assert rows(near_duplicate_groups(df, "id", "title", "job_desc")) == rows(want)
+    assert rows(near_duplicate_groups(df.limit(0), "id", "title", "job_desc")) == []
+
+
+def test_no_exchange_that_adaptive_execution_may_not_split(spark):
+    """A tenth of all rows under one key: the join is split, as nothing repartitions before it."""
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64KB")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = " ".join(f"word{i}" for i in range(30))
+        data = [(f"{i:06}" + "k" * 40, "T", base if i % 10 < 3 else f"{base} {' '.join(f'x{i}y{j}' for j in range(90))}") for i in range(3000)]
+        members, _ = near_duplicate_classes(spark.createDataFrame([(*r, 0) for r in data], SCHEMA), "id", "title", "job_desc")
+        a, b = members.toDF("ka", "f1", "f2"), members.toDF("kb", "f1", "f2")
+        joined = a.join(b, ["f1", "f2"]).where("ka < kb")
+        joined.write.format("noop").mode("overwrite").save()
+        assert joined.count() == 900 * 899 // 2
+        plan = joined._jdf.queryExecution().executedPlan()
+        joined._jdf.queryExecution().toRdd().count()
+        assert "REPARTITION" not in plan.toString()
+    finally:
+        for name in ("adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.advisoryPartitionSizeInBytes", "autoBroadcastJoinThreshold"):
+            spark.conf.unset(f"spark.sql.{name}")
