@@ -241,7 +241,7 @@ def _can_be_similar(met: DataFrame, sketches: DataFrame, threshold: float) -> Da
     other = sketches.select(F.col("f1").alias("g1"), F.col("runs").alias("more"), *[F.col(w).alias(f"z{w}") for w in words])
     differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"z{w}"))) for w in words), F.lit(0))
     allowed = (F.col("runs") + F.col("more")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
-    return met.join(sketches, "f1").join(other, "g1").where(differ <= allowed).select("f1", "g1").distinct()
+    return met.join(sketches.hint("merge"), "f1").join(other.hint("merge"), "g1").where(differ <= allowed).select("f1", "g1").distinct()
 
 
 def _with_kin(met: DataFrame) -> DataFrame:
@@ -275,13 +275,13 @@ def near_duplicate_classes(df: DataFrame, key: str, title: str, body: str, thres
         one_each = survey.drop("k", "f2").distinct()
         candidates = cut_lineage(_with_kin(cut_lineage(_can_be_similar(met, one_each, threshold))))
         release(met)
-        # Texts move once, only those of candidates, and one exchange serves both sides of a pair.
-        reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k"))
-        keyed = cut_lineage(candidates.join(reps.toDF("f1", "f2", "ka"), "f1").join(reps.toDF("g1", "g2", "kb"), "g1"))
-        wanted = keyed.select(F.col("ka").alias("k")).union(keyed.select("kb")).distinct()
-        texts = records.join(wanted, "k", "left_semi")
+        # Texts move once, as one exchange serves both sides of a pair. Without the
+        # hints, small tables would be joined in another way than large ones.
+        reps = members.groupBy("f1", "f2").agg(F.min("k").alias("k")).hint("merge")
+        keyed = candidates.join(reps.toDF("f1", "f2", "ka"), "f1").join(reps.toDF("g1", "g2", "kb"), "g1")
+        texts = records.where("k is not null")
         ta, tb = texts.select(F.col("k").alias("ka"), F.col("t").alias("ta"), F.col("b").alias("ba")), texts.select(F.col("k").alias("kb"), F.col("t").alias("tb"), F.col("b").alias("bb"))
-        paired = keyed.join(ta, "ka").join(tb, "kb").select("f1", "f2", "ta", "ba", "g1", "g2", "tb", "bb")
+        paired = keyed.join(ta.hint("merge"), "ka").join(tb.hint("merge"), "kb").select("f1", "f2", "ta", "ba", "g1", "g2", "tb", "bb")
         similar = cut_lineage(arrow_map(paired, _verify_setup(threshold), "f1 bigint, f2 bigint, g1 bigint, g2 bigint").distinct())
     return members, similar
 
