@@ -1,7 +1,7 @@
-"""A skip-chain conditional random field over token sequences.
+"""A skip-chain conditional random field over sequences of tokens or mentions.
 
-Neighbouring tokens share transition potentials; a token and its previous
-occurrence share a skip potential, however far apart. The weights are trained
+Neighbouring nodes share transition potentials; linked nodes share a skip
+potential, however far apart. The weights are trained
 by pseudo-likelihood, which is convex and needs no inference. Decoding is loopy
 belief propagation: exact forward-backward passes along the chains alternate
 with messages over the skip edges, for many sequences at once, until a
@@ -26,10 +26,21 @@ CELLS = 24_000
 
 @dataclass
 class Sequence:
-    """Features of each token, and pairs of positions that share a skip edge."""
+    """Features of each node, pairs of positions that share a skip edge, and the
+    labels that a node may have (all of them where none are given)."""
 
     features: list[list[str]]
     skips: list[tuple[int, int]]
+    may: list[list[int]] | None = None
+
+    def barred(self, labels: int) -> np.ndarray:
+        """Nodes x labels: -60 for what a node can't be."""
+        out = np.zeros((len(self.features), labels), np.float32)
+        if self.may is not None:
+            out[:] = -60
+            for i, ys in enumerate(self.may):
+                out[i, ys] = 0
+        return out
 
 
 @dataclass
@@ -46,7 +57,7 @@ class Model:
 
 
 def kind_of(label: str) -> str:
-    return label[2:] if label != "O" else "O"
+    return label[2:] if label[:2] in ("B-", "I-") else label
 
 
 def allowed(labels: list[str]) -> np.ndarray:
@@ -64,10 +75,11 @@ def train(sequences: list[Sequence], answers: list[list[int]], labels: list[str]
     ok = allowed(labels)
     # One more label stands for "no neighbour" or "not known"; its potentials stay 0.
     width = max((len(fs) for s in sequences for fs in s.features), default=1)
-    rows, y, before, after, skips, at = [], [], [], [], [], 0
+    rows, y, before, after, skips, barred, at = [], [], [], [], [], [], 0
     for s, a in zip(sequences, answers):
         k = len(a)
         rows.append(model.encode(s.features, width))
+        barred.append(s.barred(n))
         known = [n if v < 0 else v for v in a]
         y += a
         before += [n, *known[:-1]] if k else []
@@ -76,15 +88,16 @@ def train(sequences: list[Sequence], answers: list[list[int]], labels: list[str]
         at += k
     if not at:
         return model
-    rows, y, before, after = np.concatenate(rows), np.array(y), np.array(before), np.array(after)
+    rows, barred, y, before, after = np.concatenate(rows), np.concatenate(barred), np.array(y), np.array(before), np.array(after)
     neighbours: list[list[int]] = [[] for _ in range(at)]
     for i, j in skips:
         if y[i] >= 0 and y[j] >= 0:
             neighbours[i].append(y[j])
             neighbours[j].append(y[i])
-    linked = np.full((at, 2), n)
+    most = max(1, *map(len, neighbours))
+    linked = np.full((at, most), n)
     for i, v in enumerate(neighbours):
-        linked[i, : min(2, len(v))] = v[:2]
+        linked[i, : len(v)] = v
     examples = np.flatnonzero(y >= 0)
     same = np.array([[a == b or kind_of(a) == kind_of(b) for b in labels] for a in labels])
     groups = np.where(same, np.where(np.array([kind_of(a) == "O" for a in labels])[:, None], 0, 1), 2)
@@ -100,10 +113,10 @@ def train(sequences: list[Sequence], answers: list[list[int]], labels: list[str]
             e = examples[start : start + 4096]
             # Half of the neighbours are hidden, at random: else a neighbour's label
             # gives the answer away and the observations learn nothing.
-            left, right, one, two = (np.where(rng.random(len(e)) < 0.5, n, x[e]) for x in (before, after, linked[:, 0], linked[:, 1]))
+            left, right, *others = (np.where(rng.random(len(e)) < 0.5, n, x[e]) for x in (before, after, *linked.T))
             t_full[:n], a_full[:n] = t + forbidden, (t + forbidden).T
             s_full = np.vstack([theta[groups], np.zeros((1, n), np.float32)])
-            score = w[rows[e]].sum(1) + t_full[left] + a_full[right] + s_full[one] + s_full[two]
+            score = barred[e] + w[rows[e]].sum(1) + t_full[left] + a_full[right] + sum(s_full[o] for o in others)
             p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(e)), y[e]] -= 1
@@ -118,7 +131,7 @@ def train(sequences: list[Sequence], answers: list[list[int]], labels: list[str]
             np.add.at(u, right, p)
             step_t = d[:n] + u[:n].T + l2 * t
             step_s = np.zeros(3, np.float32)
-            for other in (one, two):
+            for other in others:
                 has = other < n
                 np.add.at(step_s, groups[other[has]], p[has])
             gw += g * g
@@ -155,7 +168,7 @@ def _decode_batch(model: Model, sequences: list[Sequence], longest: int) -> list
     lengths = np.array([len(s.features) for s in sequences])
     for b, s in enumerate(sequences):
         width = max(len(fs) for fs in s.features)
-        unary[: len(s.features), b] = model.weights[model.encode(s.features, width)].sum(1)
+        unary[: len(s.features), b] = model.weights[model.encode(s.features, width)].sum(1) + s.barred(n)
     unary -= unary.max(2, keepdims=True)
     potential = np.exp(np.maximum(unary, -60))
     padding = np.arange(longest)[:, None] >= lengths

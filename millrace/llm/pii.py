@@ -1,180 +1,188 @@
 """Personal data in free text, found by a skip-chain CRF and replaced.
 
-Grammars propose spans, and the model decides. Its observations are each
-token's form and neighbours, the proposals, and frequent words of the name
-column. It is trained on a bounded sample of the table's own texts: proposals
-that are sure (an address with an at sign, a number after its label, a given
-name with a surname) are the labels, unsure ones are left out of the training,
-all other tokens are outside. Tokens that occur again in a text are linked, so
-that an occurrence with evidence carries over to one without.
+Wide grammars propose mentions (``pii_grammar``), and the model decides which of
+them are personal data and of what kind. Its nodes are a text's mentions in
+order; neighbours share transition potentials, and mentions with a word or a
+number in common share a skip potential, however far apart, so that evidence for
+one carries over to the others. It is trained on texts labelled by hand
+(``pii_examples``), which are the same for every table; what a table adds are
+frequent words of its names and of its texts, as observations.
 """
 
 from __future__ import annotations
 
-import unicodedata
+from functools import lru_cache
 
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.crf import Model, Sequence, decode, train
-from millrace.llm.pii_grammar import KINDS, TOKEN, Grammar, Span
+from millrace.llm.pii_examples import EXAMPLES, GIVEN, KINDS_BY_LETTER
+from millrace.llm.pii_grammar import CUES, KINDS, NOT_NAMES, PARTICLES, THINGS, Candidate, Grammar, plain, words_of
 from millrace.operators.arrowmap import arrow_map
 from millrace.session import spread
 
-LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-#: Texts of the training sample. More change the result little and cost driver time.
-TRAINING_TEXTS = 1200
-#: Texts whose features are in memory at once.
-TOGETHER = 200
-#: Share of the names in which a word occurs to count as frequent: at most
-#: (words a name) / this many words.
-FREQUENT = 0.002
+LABELS = ["O", *KINDS]
+#: Texts decoded at once.
+TOGETHER = 500
+#: Shares of names and of texts in which a word occurs to count as frequent, and
+#: texts at least. There are at most (words each) / share of such words.
+FREQUENT, COMMON, COMMON_LEAST = 0.002, 0.002, 5
 # The placeholder of each kind.
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
-_LOWER = regex.compile(r"^[\p{Ll}’'\-]+$")
-
-
-def _shape(token: str) -> str:
-    if token.isdigit():
-        return f"d{min(len(token), 12)}"
-    if not token[0].isalpha():
-        return token
-    if _LOWER.match(token):
-        return "x"
-    return "X" if len(token) == 1 else "XX" if token.isupper() else "Xx" if token[0].isupper() else "xX"
-
-
-def _plain(token: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", token.lower()) if not unicodedata.combining(c))
-
-
-def observe(text: str, proposals: list[Span], given: frozenset[str]) -> tuple[Sequence, list[tuple[int, int]]]:
-    """The observed sequence of a text, and where its tokens are."""
-    places = [m.span() for m in TOKEN.finditer(text)]
-    tokens = [text[a:b] for a, b in places]
-    tags, sure = ["-"] * len(tokens), [""] * len(tokens)
-    k = 0
-    for p in proposals:
-        while k < len(places) and places[k][1] <= p.start:
-            k += 1
-        i = k
-        while i < len(places) and places[i][0] < p.end:
-            tags[i] = ("B-" if i == k else "I-") + p.kind
-            sure[i] = "!" if p.sure else "?"
-            i += 1
-    lower = [t.lower() for t in tokens]
-    shapes = [_shape(t) for t in tokens]
-    words = [w if len(w) < 14 else w[:14] for w in lower]
-    names = ["g" if w in given else "" for w in lower]
-    n = len(tokens)
-    features = []
-    for i in range(n):
-        a, b = i - 1, i + 1
-        before, after = (words[a] if a >= 0 else "^"), (words[b] if b < n else "$")
-        line = a < 0 or tokens[a] == "\n"
-        features.append(
-            [
-                "b", "w" + words[i], "s" + shapes[i], "t" + tags[i], "q" + tags[i] + sure[i], "T" + (tags[a] if a >= 0 else "^") + tags[i] + (tags[b] if b < n else "$"),
-                "e" + lower[i][-3:], "<" + before, ">" + after, "<<" + (words[i - 2] if i > 1 else "^") + " " + before,
-                "S" + (shapes[a] if a >= 0 else "^") + shapes[i] + (shapes[b] if b < n else "$"), "g" + names[i] + (names[a] if a >= 0 else "") + ("l" if line else ""),
-            ]
-        )
+_PIECES = regex.compile(r"[\p{L}][\p{L}'’]*(?:[\-‐‑][\p{L}'’]+)*\.?|,")
+_JOB, _THING, _PARTICLE = (regex.compile(rf"(?:{x})", regex.I) for x in (NOT_NAMES, THINGS, PARTICLES))
+
+
+# Words before a mention that tell people from firms and places.
+_LEADS = frozenset("at of from by with in for to and near the".split())
+_LAST_WORD = regex.compile(r"\p{L}+$")
+
+
+def _class_of(word: str, given: frozenset[str], common: frozenset[str]) -> str:
+    """What kind of word a piece of a name is, in one letter."""
+    lower = word.lower().rstrip(".")
+    if lower in given:
+        return "g"
+    if word == ",":
+        return ","
+    if len(lower) == 1:
+        return "i"
+    if _PARTICLE.fullmatch(word):
+        return "p"
+    if _JOB.fullmatch(lower):
+        return "j"
+    if _THING.fullmatch(lower):
+        return "t"
+    if lower in common:
+        return "c"
+    return "x" if word[0].islower() else "u"
+
+
+def _around(text: str, start: int, end: int) -> list[str]:
+    """Observations of what stands before and after."""
+    i, j = start - 1, end
+    while i >= 0 and text[i] == " ":
+        i -= 1
+    while j < len(text) and text[j] == " ":
+        j += 1
+    shown = lambda c: "9" if c.isdigit() else "w" if c.isalpha() else c
+    before = "^" if i < 0 or text[i] == "\n" else shown(text[i])
+    after = "$" if j >= len(text) or text[j] == "\n" else shown(text[j])
+    gap = "wide" if j - end > 1 else ""
+    if before == "w" and (word := _LAST_WORD.search(text, max(0, i - 12), i + 1)) and word.group() in _LEADS:
+        before = word.group()
+    return ["<" + before, ">" + after + gap, "<>" + before + after]
+
+
+def observe(text: str, mentions: list[list[Candidate]], given: frozenset[str], common: frozenset[str]) -> Sequence:
+    """The observed sequence of a text's mentions."""
+    features, may, keys = [], [], []
+    previous: Candidate | None = None
+    for mention in mentions:
+        start, end = mention[0].start, max(c.end for c in mention)
+        around = _around(text, start, end)
+        fs = ["b", *(f"{c.kind}:{c.form}" for c in mention), *around]
+        if previous and start - previous.end <= 14 and "\n" not in text[previous.end : start]:
+            fs.append(f"{previous.kind}~{mention[0].kind}")
+        previous = mention[-1]
+        own: set[str] = set()
+        first = mention[0]
+        if first.kind == "person_name":
+            before = text[max(0, start - 40) : start]
+            cue = "name" if CUES["name"].search(before) else ""
+            pieces = _PIECES.findall(text[start:end])
+            classes = "".join(_class_of(w, given, common) for w in pieces)
+            capital = "A" if text[start:end].isupper() else "a"
+            kinds = "".join(sorted(set(classes)))
+            fs += ["W" + classes + capital, "k" + kinds, f"{first.form}+{cue}", f"k{kinds}+{cue}", f"k{kinds}{around[0]}", f"k{kinds}{around[1]}", *("h" + c for c in set(classes))]
+            if text.find("\n", 0, start) < 0:
+                fs.append("head" + around[0])
+            own = {"n" + w for w in words_of(text[start:end]) if len(w) > 2}
+        elif first.kind in ("phone", "id_number"):
+            before = text[max(0, start - 40) : start]
+            cue = next((name for name in ("id", "phone", "not") if CUES[name].search(before)), "")
+            forms = "/".join(c.form for c in mention)
+            fs += ["c" + cue, f"{forms}+{cue}", f"both+{cue}" if len(mention) > 1 else f"{first.kind}+{cue}"]
+            own = {"d" + "".join(c for c in text[start:end] if c.isdigit())}
+        else:
+            own = {first.kind[0] + text[start:end].lower()}
+        features.append(fs)
+        may.append([0, *(LABELS.index(c.kind) for c in mention)])
+        keys.append(own)
     last: dict[str, int] = {}
     skips = []
-    for i, t in enumerate(tokens):
-        if len(t) > 2 and (tags[i] != "-" or not _LOWER.match(t)):
-            key = _plain(t)
-            if key in last and i - last[key] > 1:
-                skips.append((last[key], i))
-            last[key] = i
-    return Sequence(features, skips), places
-
-
-def _answers(places: list[tuple[int, int]], proposals: list[Span]) -> list[int]:
-    out, k = [0] * len(places), 0
-    for p in proposals:
-        while k < len(places) and places[k][1] <= p.start:
-            k += 1
-        i = k
-        while i < len(places) and places[i][0] < p.end:
-            out[i] = LABELS.index(("B-" if i == k else "I-") + p.kind) if p.sure else -1
-            i += 1
-    return out
-
-
-def fit(texts: list[str], grammar: Grammar) -> Model:
-    """The model of a sample of texts, labelled by their sure proposals."""
+    for i, own in enumerate(keys):
+        # "Sandgren" goes with "Ulla Sandgren", but "Sandgren Works" with neither.
+        skips += sorted({(last[k], i) for k in own if k in last and (own <= keys[last[k]] or keys[last[k]] <= own)})
+        last |= dict.fromkeys(own, i)
+    return Sequence(features, skips, may)
+
+
+def read_example(marked: str) -> tuple[str, list[Candidate]]:
+    """A labelled text without its marks, and the items that they mark."""
+    text, items = "", []
+    for part in regex.split(r"(\[[nepis]:(?:[^\[\]]|\[[^\[\]]*\])*\])", marked):
+        if part[:1] == "[" and part[2:3] == ":" and part[1] in KINDS_BY_LETTER:
+            items.append(Candidate(KINDS_BY_LETTER[part[1]], len(text), len(text) + len(part) - 4, ""))
+            part = part[3:-1]
+        text += part
+    return text, items
+
+
+def common_in(read: list[tuple[str, list[Candidate]]]) -> frozenset[str]:
+    """The words of labelled texts outside their items, which stand for frequent
+    ones; some are part of a name elsewhere."""
+    return frozenset(m.group().lower() for text, items in read for m in regex.finditer(r"[\p{L}’']+", text) if not any(i.start <= m.start() < i.end for i in items))
+
+
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of the labelled texts. Each is seen with given names known and not."""
+    read = [read_example(x) for x in EXAMPLES]
+    common = common_in(read)
     sequences, answers = [], []
-    for n, text in enumerate(texts):
-        proposals = grammar.spans(text)
-        sequence, places = observe(text, proposals, grammar.given)
-        if n % 2:  # half of the texts don't say which proposals are sure, so the unsure ones learn from them
-            sequence.features = [[f for f in fs if f[0] != "q"] for fs in sequence.features]
-        sequences.append(sequence)
-        answers.append(_answers(places, proposals))
-    return train(sequences, answers, LABELS)
-
-
-_CHECKS = {
-    "email": regex.compile(r"\S.*\S"),
-    "phone": regex.compile(r"(?:\D*\d){8,15}\D*"),
-    "id_number": regex.compile(r"(?:[^\d]*\d){7,12}.?"),
-    "street_address": regex.compile(r".*\d.*\p{Lu}.*|.*\p{Lu}.*\d.*", regex.S),
-    "person_name": regex.compile(r"\p{L}[\p{L}.'’\-]*(?:,? [\p{L}.'’\-]+){1,4}"),
-}
-
-
-def find_spans(texts: list[str], grammar: Grammar, model: Model) -> list[list[Span]]:
-    """The spans that hold, by text. A span takes the proposal's bounds where
-    one of its kind covers it; one without must have the form of its kind, and a
-    name of one word must be a word of another name that holds."""
-    return [spans for at in range(0, len(texts), TOGETHER) for spans in _find_together(texts[at : at + TOGETHER], grammar, model)]
-
-
-def _find_together(texts: list[str], grammar: Grammar, model: Model) -> list[list[Span]]:
-    proposed = [grammar.spans(t) for t in texts]
-    seen = [observe(t, p, grammar.given) for t, p in zip(texts, proposed)]
+    for text, items in read:
+        for given in (GIVEN, frozenset()):
+            mentions = Grammar(given).mentions(text)
+            seen = observe(text, mentions, given, common)
+            answer = [next((LABELS.index(i.kind) for i in items for c in m if c.kind == i.kind and c.start < i.end and i.start < c.end), 0) for m in mentions]
+            sequences.append(seen)
+            answers.append(answer)
+            # Mentions whose observations are hidden are known by their links alone.
+            for hidden in ({i for i, _ in seen.skips}, {j for _, j in seen.skips}):
+                if hidden:
+                    sequences.append(Sequence([["hidden"] if i in hidden else fs for i, fs in enumerate(seen.features)], seen.skips, seen.may))
+                    answers.append([a if i in hidden else -1 for i, a in enumerate(answer)])
+    return train(sequences, answers, LABELS, epochs=60, l2=1e-4)
+
+
+def find_spans(texts: list[str], grammar: Grammar, common: frozenset[str], model: Model) -> list[list[Candidate]]:
+    """The mentions that the model takes for personal data, by text."""
     out = []
-    for text, proposals, (_, places), labels in zip(texts, proposed, seen, decode(model, [s for s, _ in seen])):
-        runs: list[list] = []
-        lone: list[tuple[int, int]] = []
-        for i, y in enumerate(labels):
-            label = LABELS[y]
-            if label == "O":
-                continue
-            kind = label[2:]
-            if label[0] == "I" and runs and runs[-1][0] == kind and runs[-1][3] == i - 1:
-                runs[-1][2], runs[-1][3] = places[i][1], i
-            else:
-                runs.append([kind, places[i][0], places[i][1], i])
-        kept: dict[tuple[int, int], Span] = {}
-        for kind, start, end, _ in runs:
-            covering = [p for p in proposals if p.kind == kind and p.start < end and start < p.end]
-            for p in covering:
-                kept[p.start, p.end] = p
-            if not covering and not any(p.start < end and start < p.end for p in proposals):
-                if _CHECKS[kind].fullmatch(text[start:end]):
-                    kept[start, end] = Span(kind, start, end, False)
-                elif kind == "person_name" and len(text[start:end]) > 2:
-                    lone.append((start, end))
-        if lone:
-            linked = {_plain(m.group()) for s in kept.values() if s.kind == "person_name" for m in TOKEN.finditer(text[s.start : s.end])}
-            kept |= {(a, b): Span("person_name", a, b, False) for a, b in lone if _plain(text[a:b]) in linked}
-        out.append(sorted(kept.values(), key=lambda s: s.start))
+    for at in range(0, len(texts), TOGETHER):
+        part = texts[at : at + TOGETHER]
+        mentions = [grammar.mentions(t) for t in part]
+        decoded = decode(model, [observe(t, m, grammar.given, common) for t, m in zip(part, mentions)])
+        out += [[c for m, y in zip(ms, ys) for c in m if c.kind == LABELS[y]] for ms, ys in zip(mentions, decoded)]
     return out
 
 
-def _prepared(df: DataFrame, key: str, text: str, name: str):
-    spark = df.sparkSession
-    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(name)), F.lit(r"([\p{L}]+(?:['’\-][\p{L}]+)*)"), F.lit(1)))).alias("w"))
-    names = df.where(F.col(name).rlike(r"\p{L}")).count()
-    frequent = words.where(F.length("w") > 2).groupBy("w").count().where(F.col("count") >= max(1.0, FREQUENT * names)).select("w")
-    given = frozenset(r[0] for r in frequent.collect()) - {"van", "von", "del", "der", "den", "dos"}
-    sample = df.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).orderBy("h", "t").limit(TRAINING_TEXTS).collect()
-    grammar = Grammar(given)
-    return spark.sparkContext.broadcast((given, fit([r[0] for r in sample], grammar)))
+def _frequent(df: DataFrame, text: str, least_share: float, least: int) -> frozenset[str]:
+    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}]+(?:['’\-][\p{L}]+)*)"), F.lit(1)))).alias("w"))
+    n = df.where(F.col(text).rlike(r"\p{L}")).count()
+    found = words.where(F.length("w") > 1).groupBy("w").count().where(F.col("count") >= max(least, least_share * n)).select("w")
+    return frozenset(r[0] for r in found.collect())
+
+
+def _prepared(df: DataFrame, text: str, name: str) -> Broadcast:
+    """The words that matter and the model, for all executors. How many words
+    there can be is bounded by the shares, not by the table."""
+    given = frozenset(w for w in _frequent(df, name, FREQUENT, 1) if len(w) > 2) - {"van", "von", "del", "der", "den", "dos"}
+    return df.sparkSession.sparkContext.broadcast((given, _frequent(df, text, COMMON, COMMON_LEAST) - given, trained()))
 
 
 def find_personal_data(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
@@ -185,14 +193,14 @@ def find_personal_data(df: DataFrame, key: str, text: str, name: str) -> DataFra
     give no row; null keys are kept; texts are read whole; repeated rows give
     repeated rows; other columns aren't read.
     """
-    prepared = _prepared(df, key, text, name)
+    prepared = _prepared(df, text, name)
 
     def setup():
-        given, model = prepared.value
+        given, common, model = prepared.value
         grammar = Grammar(given)
 
         def run(keys, texts):
-            found = [(k, s.kind, s.start + 1) for k, spans in zip(keys, find_spans(texts, grammar, model)) for s in spans]
+            found = [(k, s.kind, s.start + 1) for k, spans in zip(keys, find_spans(texts, grammar, common, model)) for s in spans]
             return [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
 
         return run
@@ -205,15 +213,15 @@ def find_personal_data(df: DataFrame, key: str, text: str, name: str) -> DataFra
 def redact_personal_data(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """``(key, text)``: every text with its personal data replaced by
     placeholders of its kind and the rest as it was; null stays null."""
-    prepared = _prepared(df, key, text, name)
+    prepared = _prepared(df, text, name)
 
     def setup():
-        given, model = prepared.value
+        given, common, model = prepared.value
         grammar = Grammar(given)
 
         def run(keys, texts):
             out = []
-            for t, spans in zip(texts, find_spans([t or "" for t in texts], grammar, model)):
+            for t, spans in zip(texts, find_spans([t or "" for t in texts], grammar, common, model)):
                 for s in reversed(spans):
                     t = t[: s.start] + PLACEHOLDERS[s.kind] + t[s.end :]
                 out.append(t)

@@ -1,11 +1,14 @@
-"""What personal data looks like: tokens, and grammars that propose spans.
+"""What personal data looks like: grammars that propose mentions.
 
-The grammars only propose. Which proposals hold, and what holds without one, is
-decided by the sequence model that takes them as observations.
+The grammars only propose, and widely: every number of a phone's or a card's
+form, every street, every run of capitalised words. Which of them hold is decided
+by the sequence model that takes form and surroundings as observations.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import regex
@@ -13,13 +16,13 @@ import regex
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
 
-class Span(NamedTuple):
-    """``sure`` proposals label the training sample; the others are left open."""
+class Candidate(NamedTuple):
+    """A kind that the text from ``start`` to ``end`` may be, and what makes it so."""
 
     kind: str
     start: int
     end: int
-    sure: bool
+    form: str
 
 
 # Words around personal data and around what looks like it.
@@ -45,6 +48,12 @@ TITLES = r"dr|prof|mr|mrs|ms|mx|herr|frau|señor|señora|sr|sra|mme|m|ing|dipl|p
 NOT_NAMES = r"engineer|developer|manager|analyst|designer|lead|administrator|architect|scientist|writer|marketer|coach|advocate|consultant|specialist|officer|researcher|tester"
 UNITS = r"Flat|Apt\.?|Apartment|Unit|Suite|Ste\.?|Floor|Room|#|No\.|Wohnung|Whg\.?|App\.?|Piso|Bât\.?|Esc\."
 
+# Words that end the names of firms, projects and other things.
+THINGS = (
+    r"systems?|labs?|software|studios?|group|partners|analytics|logistics|collective|media|works|capital|foods|company|gmbh|ltd|inc|llc|ag|services|solutions|project|programm?e?|team|account|conference|"
+    r"cooperative|union|institute|university|college|school|council|agency|association|foundation|society|club|bank|hospital|street|road|avenue|harbou?r|bridge|release|portal|cluster|service|talk|days|handbook|cloud|language|learning|assurance|translation|boot|relic"
+)
+
 TOKEN = regex.compile(r"[^\W\d_]+(?:['’\-‐‑][^\W\d_]+)*|\d+|[^\s]|\n")
 
 _AT = r"(?:\s?[@＠]\s?|\s?[\[\(\{]\s?(?:at|AT|@)\s?[\]\)\}]\s?)"
@@ -81,7 +90,7 @@ _NOT_CUE = regex.compile(rf"(?:^|(?<![\p{{L}}]))(?:{NOT_NUMBERS})\s*[:#.\-–]?\
 _ABROAD = regex.compile(r"\+\d{1,3}[ \-.]?$")
 
 _CAP = r"\p{Lu}[\p{L}'’\-]*"
-_UNIT = rf"(?:, (?:(?:{UNITS}) ?\w+|\d+\.?[ºª°]\s?(?:izq\.?|dcha\.?|\w{{1,2}})))?"
+_UNIT = rf"(?: #\w+|, (?:(?:{UNITS}) ?\w+|\d+\.?[ºª°]\s?(?:izq\.?|dcha\.?|\w{{1,2}})))?"
 _TOWN = rf"(?:, (?:\d{{4,6}} )?{_CAP}(?:[ /&\-]{{1,3}}(?:and )?{_CAP})*)?"
 _STREET = regex.compile(
     r"(?<![\w\-/.,])(?:"
@@ -95,68 +104,105 @@ _STREET = regex.compile(
 _GOES_ON = regex.compile(r"(?<!\.) (?:\p{Lu}|(?:account|project|team|office|programme|program|portal|branch)\b)")
 
 _PIECE = r"[\p{L}][\p{L}'’]*(?:[\-‐‑][\p{L}'’]+)*"
+_WORD = regex.compile(rf"(?<![\w@.\-'’]){_PIECE}")
+_INITIAL = r"\p{Lu}\."
+_CAPS = regex.compile(rf"(?<![\w@.\-'’&/])\p{{Lu}}[\p{{L}}'’\-]*(?: {_INITIAL})*(?: (?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+){{1,3}}(?![\w@]|\s?[@＠])")
+_CUED = regex.compile(
+    rf"(?:(?<![\p{{L}}])(?:{NAME_CUES})(?: *[:\-–]? *|(?<=,)\n)(?:(?:{TITLES})\.? )*|(?<![\p{{L}}])(?:{TITLES})\. )"
+    rf"(?-i:(?P<name>(?:{_INITIAL} ){{1,2}}(?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+|\p{{Lu}}[\p{{L}}'’\-]+(?: {_INITIAL})*(?: (?:{PARTICLES}))? \p{{Lu}}[\p{{L}}'’\-]+))(?![\w@]|\s?[@＠])",
+    regex.I,
+)
+_LONE = regex.compile(rf"(?:^|\n)\s*(?:(?:{TITLES})\. )?(?P<name>(?:\p{{Lu}}\. )+(?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+)(?=\s*(?:[\n,|·/;]|  |$))", regex.I)
+_NAME_CUE = regex.compile(rf"(?:(?<![\p{{L}}])(?:{NAME_CUES})(?: *[:\-–]? *|(?<=,)\n)|(?<![\p{{L}}])(?:{TITLES})\. )(?:(?:{TITLES})\.? )*$", regex.I)
+_SINGLE = regex.compile(r"(?<![\w@.\-'’])\p{Lu}[\p{L}'’\-]{2,}(?![\w@]|\s?[@＠])")
+#: Where an address can be: a line with one of these.
+_MAIL_LINE = regex.compile(r"[^\n]*(?:[@＠]|[\[({ ]\s?(?:at|AT)\s?[\])} ])[^\n]*")
+
+CUES = {"phone": _PHONE_CUE, "id": _ID_CUE, "not": _NOT_CUE, "name": _NAME_CUE}
 
 
 class Grammar:
-    """Proposes spans; ``given`` holds frequent words of people's names in lower case."""
+    """Proposes mentions; ``given`` holds frequent words of people's names in lower case."""
 
     def __init__(self, given: frozenset[str] | set[str] = frozenset()):
         self.given = given
-        words = "|".join(sorted(map(regex.escape, given), key=lambda w: (-len(w), w)))
         surname = rf"(?:(?:{PARTICLES}) )?{_PIECE}"
-        initial = r"\p{Lu}\."
-        self._name = (
-            regex.compile(
-                rf"(?<![\w@.\-'’])(?:(?P<order>(?:{words})(?: {initial})*(?: {initial} | ){surname})|(?P<turned>{surname}, (?:{words})(?: {initial})?))(?![\w@]|\s?[@＠])",
-                regex.I,
-            )
-            if words
-            else None
-        )
-        self._cued = regex.compile(
-            rf"(?:(?<![\p{{L}}])(?:{NAME_CUES})(?: *[:\-–]? *|(?<=,)\n)(?:(?:{TITLES})\.? )*|(?<![\p{{L}}])(?:{TITLES})\. )"
-            rf"(?-i:(?P<name>(?:{initial} ){{1,2}}(?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+|\p{{Lu}}[\p{{L}}'’\-]+(?: {initial})*(?: (?:{PARTICLES}))? \p{{Lu}}[\p{{L}}'’\-]+))(?![\w@]|\s?[@＠])",
-            regex.I,
-        )
-        self._lone = regex.compile(rf"(?:^|\n)\s*(?:(?:{TITLES})\. )?(?P<name>(?:\p{{Lu}}\. )+(?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+)(?=\s*(?:[\n,|·/;]|  |$))", regex.I)
-        self._job = regex.compile(rf"\b(?:{NOT_NAMES})\b", regex.I)
-
-    def spans(self, text: str) -> list[Span]:
-        """Proposals without overlap; a longer kind list order decides."""
-        found: list[Span] = []
+        self._order = regex.compile(rf"{_PIECE}(?: {_INITIAL})*(?: {_INITIAL} | ){surname}(?![\w@]|\s?[@＠])", regex.I)
+        self._turned = regex.compile(rf"(?<![\w@.\-'’]){surname}, (?P<given>{_PIECE})(?: {_INITIAL})?(?![\w@]|\s?[@＠])", regex.I)
+
+    def _given_names(self, text: str) -> Iterator[tuple[int, int, str]]:
+        given = self.given
+        for m in _WORD.finditer(text):
+            if m.group().lower() in given:
+                a, b = m.span()
+                o = self._order.match(text, a)
+                if text[a - 2 : a] == ", " and not (o and text[b + 1 : b + 2].isupper()):
+                    for t in self._turned.finditer(text, max(0, text.rfind("\n", 0, a), a - 80), len(text)):
+                        if t.start("given") >= a:
+                            if t.start("given") == a:
+                                yield t.start(), t.end(), "turned"
+                            break
+                if o:
+                    yield o.start(), o.end(), "order"
+
+    def mentions(self, text: str) -> list[list[Candidate]]:
+        """What may be personal data, in order; a mention's candidates are of
+        different kinds and overlap, mentions don't."""
         taken = bytearray(len(text) + 1)
+        found: list[list[Candidate]] = []
 
-        def add(kind: str, start: int, end: int, sure: bool) -> None:
+        def add(kind: str, start: int, end: int, form: str) -> None:
             if end > start and not any(taken[start:end]):
                 taken[start:end] = b"\x01" * (end - start)
-                found.append(Span(kind, start, end, sure))
+                found.append([Candidate(kind, start, end, form)])
 
-        for m in _EMAIL.finditer(text):
-            add("email", m.start(), m.end(), True)
+        for line in _MAIL_LINE.finditer(text):
+            for m in _EMAIL.finditer(text, line.start(), line.end()):
+                add("email", m.start(), m.end(), "at" if "@" in m.group() else "spelled")
         for m in _STREET.finditer(text):
-            core = m.start("rest")
-            if not (m["first"] and _GOES_ON.match(text, core)):
-                add("street_address", m.start(), m.end(), True)
-        for m in _ID.finditer(text):
-            before = text[max(0, m.start() - 40) : m.start()]
-            cued = bool(_ID_CUE.search(before))
-            if _ABROAD.search(before):
-                continue  # the rest of a number that begins with a plus sign
-            if cued or not (_NOT_CUE.search(before) or _PHONE_CUE.search(before)):
-                if cued or not (m["grouped"] or m["bare"]) or not _PHONE.match(text, m.start()):
-                    add("id_number", m.start(), m.end(), cued or bool(m["ssn"] or m["nino"]))
+            goes_on = m["first"] and _GOES_ON.match(text, m.start("rest"))
+            add("street_address", m.start(), m.start("rest") if goes_on else m.end(), "goes_on" if goes_on else m.lastgroup if m.lastgroup != "rest" else next(k for k in ("first", "french", "spanish", "german") if m[k]))
+        numbers: list[Candidate] = [Candidate("id_number", m.start(), m.end(), m.lastgroup) for m in _ID.finditer(text) if not _ABROAD.search(text, max(0, m.start() - 6), m.start())]
         for m in _PHONE.finditer(text):
-            before = text[max(0, m.start() - 40) : m.start()]
-            if not _NOT_CUE.search(before):
-                digits = sum(c.isdigit() for c in m.group())
-                cued = bool(_PHONE_CUE.search(before))
-                if 8 <= digits <= 20:
-                    add("phone", m.start(), m.end(), cued or bool(m["intl"] or m["area"] or m["local"] or m["nanp"]))
-        if self._name:
-            for m in self._name.finditer(text):
-                if not self._job.search(m.group()):
-                    add("person_name", m.start(), m.end(), True)
-        for m in (*self._cued.finditer(text), *self._lone.finditer(text)):
-            if not self._job.search(m["name"]):
-                add("person_name", m.start("name"), m.end("name"), False)
-        return sorted(found, key=lambda s: s.start)
+            if 8 <= sum(c.isdigit() for c in m.group()) <= 20:
+                numbers.append(Candidate("phone", m.start(), m.end(), m.lastgroup))
+        group: list[Candidate] = []
+        for c in sorted((c for c in numbers if not any(taken[c.start : c.end])), key=lambda c: (c.start, c.end)):
+            if group and c.start >= max(x.end for x in group):
+                found.append(group)
+                group = []
+            if all(x.kind != c.kind for x in group):
+                group.append(c)
+        if group:
+            found.append(group)
+        for g in found:
+            for c in g:
+                taken[c.start : c.end] = b"\x01" * (c.end - c.start)
+        for start, end, form in self._given_names(text):
+            add("person_name", start, end, form)
+        for form, pattern in (("cued", _CUED), ("lone", _LONE)):
+            for m in pattern.finditer(text):
+                add("person_name", m.start("name"), m.end("name"), form)
+        for m in _CAPS.finditer(text):
+            add("person_name", m.start(), m.end(), "caps")
+        # A word of a longer name may be a mention by itself.
+        words = {w for g in found for c in g if c.kind == "person_name" for w in words_of(text[c.start : c.end]) if len(w) > 2}
+        if words:
+            for m in _SINGLE.finditer(text):
+                if not taken[m.start()] and plain(m.group()) in words:
+                    add("person_name", m.start(), m.end(), "single")
+        return sorted(found, key=lambda g: g[0].start)
+
+
+def plain(text: str) -> str:
+    """In lower case and without accents."""
+    if text.isascii():
+        return text.lower()
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
+def words_of(name: str) -> list[str]:
+    return [plain(w) for w in _WORDS.findall(name)]
+
+
+_WORDS = regex.compile(r"\p{L}+")

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pii_held_out import HELD_OUT
 
 from millrace.llm.crf import Model, Sequence, decode, train
-from millrace.llm.pii import LABELS, find_personal_data, find_spans, fit, redact_personal_data
-from millrace.llm.pii_grammar import TOKEN, Grammar
+from millrace.llm.pii import LABELS, common_in, find_personal_data, find_spans, observe, read_example, redact_personal_data, trained
+from millrace.llm.pii_examples import EXAMPLES
+from millrace.llm.pii_grammar import Grammar
 
 GIVEN = ["Petra", "Tomas", "Élodie", "Bram", "Yuki", "Oskar"]
 SURNAMES = ["Morundvar", "Brandiquist", "O'Verewell", "de Södolnova", "Lintefield-Zandumund", "Kelistein"]
@@ -95,9 +97,56 @@ def test_skip_edges_carry_evidence():
 
 
 def test_nothing_to_learn_from():
-    model = fit([], Grammar())
+    model = train([], [], LABELS)
     assert len(model.index) == 0 and decode(model, [Sequence([], [])])[0].size == 0
-    assert set(decode(model, [Sequence([["b"]], [])])[0]) <= set(range(len(LABELS)))
+    assert list(decode(model, [Sequence([["b"]], [], [[0, 2]])])[0]) in ([0], [2])
+
+
+def test_a_node_is_only_what_it_may_be():
+    model = train([Sequence([["a"]], [], [[0, 3]])] * 20, [[3]] * 20, LABELS, epochs=5)
+    assert [int(decode(model, [Sequence([["a"]], [], [may])])[0][0]) for may in ([0, 3], [0], [0, 1, 2])] != [3, 3, 3]
+    assert int(decode(model, [Sequence([["a"]], [], [[0, 3]])])[0][0]) == 3 and int(decode(model, [Sequence([["a"]], [], [[0]])])[0][0]) == 0
+
+
+KNOWN = common_in([read_example(x) for x in EXAMPLES])
+
+
+def found_in(text, links=True, given=frozenset()):
+    """The mentions that hold in a text, with or without the skip edges."""
+    mentions = Grammar(given).mentions(text)
+    seen = observe(text, mentions, given, KNOWN | {"rose"})
+    labels = decode(trained(), [seen if links else Sequence(seen.features, [], seen.may)])[0]
+    return [text[c.start : c.end] for m, y in zip(mentions, labels) for c in m if c.kind == LABELS[y]]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Name: Rose Marlind\n\nHe ran 4 teams. Praise came from partners of Rose Marlind in winter, and Rose Marlind went on.",
+        "Dr. Rose Marlind led 9 teams. Presented the index to 12 partners of Rose Marlind; certified in Rose Marlind.",
+    ],
+)
+def test_one_clear_mention_decides_the_others(text):
+    assert found_in(text) == ["Rose Marlind"] * 3
+    assert len(found_in(text, links=False)) < 3
+
+
+def test_a_word_of_a_name_in_a_firm_is_not_linked():
+    assert found_in("Name: Ulla Sandgren\n\nBuilt the index at Sandgren Works, and Sandgren ran it.") == ["Ulla Sandgren", "Sandgren"]
+
+
+def test_names_that_no_list_has_are_found_by_what_stands_around():
+    assert found_in("My name is Qorvin Thalgast. Reported to Dr. Zelm Okvist-Tarn from Amber Labs.") == ["Qorvin Thalgast", "Zelm Okvist-Tarn"]
+
+
+def test_held_out_texts():
+    """No given name is known to the model here."""
+    right = found = true = 0
+    for marked in HELD_OUT:
+        text, items = read_example(marked)
+        got, want = ({(c.kind, c.start) for c in cs} for cs in (find_spans([text], Grammar(), KNOWN, trained())[0], items))
+        right, found, true = right + len(got & want), found + len(got), true + len(want)
+    assert right / found >= 0.85 and right / true >= 0.95
 
 
 def _by_hand(*labels):
@@ -118,12 +167,3 @@ def test_evidence_reaches_every_occurrence():
     skips = [(i, i + 2) for i in range(0, 23, 2)]
     got, alone = decode(_by_hand("O", "B-person_name"), [Sequence(features, skips), Sequence(features, [])])
     assert list(got) == [1, 0] * 12 + [1] and list(alone) == [1] + [0] * 24
-
-
-def test_one_word_mentions_of_a_name_that_holds(monkeypatch):
-    text = "Petra Morundvar wrote it. Morundvar and Kelistein read it."
-    tokens = [m.group() for m in TOKEN.finditer(text)]
-    labels = np.array([LABELS.index("B-person_name") if t in ("Petra", "Kelistein") or (t == "Morundvar" and i > 1) else LABELS.index("I-person_name") if t == "Morundvar" else 0 for i, t in enumerate(tokens)])
-    monkeypatch.setattr("millrace.llm.pii.decode", lambda model, sequences: [labels])
-    found = find_spans([text], Grammar(frozenset({"petra"})), None)[0]
-    assert [text[s.start : s.end] for s in found] == ["Petra Morundvar", "Morundvar"]
