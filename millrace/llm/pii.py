@@ -101,7 +101,8 @@ def observe(text: str, mentions: list[list[Candidate]], given: frozenset[str], c
             fs += ["W" + classes + capital, "k" + kinds, f"{first.form}+{cue}", f"k{kinds}+{cue}", f"k{kinds}{around[0]}", f"k{kinds}{around[1]}", *("h" + c for c in set(classes))]
             if text.find("\n", 0, start) < 0:
                 fs.append("head" + around[0])
-            own = {"n" + w for w in words_of(text[start:end]) if len(w) > 2}
+            # A firm named after a person is linked with itself alone.
+            own = {"t" + plain(text[start:end])} if {"t", "j"} & set(classes) else {"n" + w for w in words_of(text[start:end]) if len(w) > 2}
         elif first.kind in ("phone", "id_number"):
             before = text[max(0, start - 40) : start]
             cue = next((name for name in ("id", "phone", "not") if CUES[name].search(before)), "")
@@ -116,7 +117,7 @@ def observe(text: str, mentions: list[list[Candidate]], given: frozenset[str], c
     last: dict[str, int] = {}
     skips = []
     for i, own in enumerate(keys):
-        # "Sandgren" goes with "Ulla Sandgren", but "Sandgren Works" with neither.
+        # "Sandgren" goes with "Ulla Sandgren", but "Bo Sandgren" doesn't.
         skips += sorted({(last[k], i) for k in own if k in last and (own <= keys[last[k]] or keys[last[k]] <= own)})
         last |= dict.fromkeys(own, i)
     return Sequence(features, skips, may)
