@@ -1,8 +1,8 @@
 """One form for texts that look the same on the screen.
 
 Width, composition, ligatures, invisible characters and kinds of space and
-hyphen are folded by tables. Letters of Latin, Cyrillic and Greek that are
-drawn alike are repaired token by token: the letters of a token that only one
+hyphen are folded by tables. Letters of Latin, Cyrillic, Greek, Armenian and
+Cherokee that are drawn alike are repaired token by token: the letters of a token that only one
 script has tell its dominant script, and its look-alikes become letters of that
 script. A token of look-alikes only takes the dominant script of its document,
 if that spelling is in the corpus vocabulary, else its Latin spelling.
@@ -27,22 +27,23 @@ from millrace.session import cut_lineage, spread
 # Letters drawn like a Latin one, by script.
 CYRILLIC = dict(zip("асеорхуѕіјԁһԛԝАВСЕНІЈКМОРЅТХҮԚԜ", "aceopxysijdhqwABCEHIJKMOPSTXYQW"))
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oABEZHIKMNOPTYX"))
+ARMENIAN = dict(zip("օոսհցզՕՍՏԼ", "onuhgqOUSL"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴᏒᏔᏕᏂᏧ", "DRTiAJEWMHYGZVSLCPKBRWShd"))
 HYPHENS = "‐‑﹣－"
 LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆĲĳ"
 BREAKS = "\r\x85\u2028\u2029"
 #: Invisible characters that change what is drawn next to them and stay.
 OVERRIDES = "\u202d\u202e"
 
-_TO_LATIN = str.maketrans(CYRILLIC | GREEK)
-_INTO = {
-    "L": {},
-    "C": str.maketrans({latin: c for c, latin in CYRILLIC.items()}),
-    "G": str.maketrans({latin: g for g, latin in GREEK.items()}),
-}
+_BY_SCRIPT = {"C": CYRILLIC, "G": GREEK, "A": ARMENIAN, "K": CHEROKEE}
+_TO_LATIN = str.maketrans(CYRILLIC | GREEK | ARMENIAN | CHEROKEE)
+_INTO = {"L": {}} | {s: str.maketrans({latin: own for own, latin in reversed(letters.items())}) for s, letters in _BY_SCRIPT.items()}
 _DRAWN_ALIKE = frozenset(_TO_LATIN.values())
-_TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]+")
-_FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
-_SCRIPTS = (("L", regex.compile(r"\p{Latin}")), ("C", regex.compile(r"\p{Cyrillic}")), ("G", regex.compile(r"\p{Greek}")))
+_TOKEN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}\p{M}]+")
+_FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}]")
+_SCRIPTS = tuple((s, regex.compile(rf"\p{{{name}}}")) for s, name in (("L", "Latin"), ("C", "Cyrillic"), ("G", "Greek"), ("A", "Armenian"), ("K", "Cherokee")))
+#: The same for a scan in the JVM: blocks that hold those scripts.
+_FOREIGN_BLOCKS = "[\u0370-\u058f\u13a0-\u13ff\uab70-\uabbf]"
 # A joiner stays between pictures, and after letters that it shapes.
 _JOINERS = regex.compile(r"(?<![\p{Extended_Pictographic}\ufe0f\U0001F3FB-\U0001F3FF\u0600-\u08ff\u0900-෿])[\u200c\u200d]|[\u200c\u200d](?![\p{Extended_Pictographic}\u0600-\u08ff\u0900-෿])")
 _INVISIBLE = regex.compile(rf"[\p{{Cf}}\ufe00-\ufe0f\u034f\u115f\u1160\u3164\uffa0--[\u200c\u200d{OVERRIDES}\u0600-\u0605\u06dd\u070f\u08e2\U000E0020-\U000E007F]]", regex.V1)
@@ -89,7 +90,7 @@ def _letters(text: str) -> Counter:
 
 def dominant(letters: Counter) -> str | None:
     """The script with most letters of its own; Latin before the others on a tie."""
-    return max("LCG", key=lambda s: (letters[s], -"LCG".index(s))) if letters.total() else None
+    return max("LCGAK", key=lambda s: (letters[s], -"LCGAK".index(s))) if letters.total() else None
 
 
 def skeleton(token: str) -> str:
@@ -182,7 +183,7 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     one = cut_lineage(one.withColumn("row", F.monotonically_increasing_id()))
     done = one.where("size(open) = 0 or t is null").select("k", "t")
     open_ = one.where("size(open) > 0 and t is not null")
-    counts = arrow_map(rows.where(F.col("t").rlike(r"[Ͱ-ԯ]")).select("t"), _vocabulary_setup, "script string, sk string, n bigint")
+    counts = arrow_map(rows.where(F.col("t").rlike(_FOREIGN_BLOCKS)).select("t"), _vocabulary_setup, "script string, sk string, n bigint")
     vocabulary = counts.groupBy("script", "sk").agg(F.sum("n").alias("n"))
     tokens = open_.select("row", "script", F.explode("open").alias("sk"))
     latin = tokens.join(vocabulary, ["script", "sk"], "left_anti").groupBy("row").agg(F.collect_list("sk").alias("latin"))
@@ -190,6 +191,35 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return done.unionByName(repaired_).select(F.col("k").alias(key), F.col("t").alias("canonical"))
 
 
+def _members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(k, r1, r2, c1, c2)``: fingerprints of the text and of its canonical form,
+    of every row with a key and a visible character."""
+    texts = df.select(F.col(key).alias("k"), F.col(text).alias("raw")).where("k is not null and raw is not null")
+    # The raw text's fingerprint travels through the operator beside the key.
+    tagged = texts.select(F.struct("k", F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(11), "raw").alias("r2")).alias("id"), "raw")
+    forms = canonical_texts(tagged, "id", "raw").where(F.regexp_replace("canonical", r"[\p{Z}\p{C}]", "") != "")
+    return cut_lineage(forms.select("id.k", "id.r1", "id.r2", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(11), "canonical").alias("c2")).distinct())
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, class_id, links)``: one row a distinct key.
+
+    Rows that look the same are a class, named by its least key, whether or not
+    their texts are equal; ``links`` is how many rows look the same in other
+    characters. Only sizes are counted, so a text with many copies costs no more
+    than its rows. A key whose text is null or has no visible character is its
+    own class; one repeated with other texts has the least class and the links
+    of each. Null keys are left out.
+    """
+    members = _members(df, key, text)
+    texts = members.groupBy("c1", "c2", "r1", "r2").agg(F.count("*").alias("n"), F.min("k").alias("least"))
+    whole = texts.groupBy("c1", "c2").agg(F.sum("n").alias("all"), F.min("least").alias("class"))
+    counted = texts.join(whole, ["c1", "c2"]).select("r1", "r2", "class", (F.col("all") - F.col("n")).alias("links"))
+    found = members.select("k", "r1", "r2").join(counted, ["r1", "r2"]).groupBy("k").agg(F.min("class").alias("class"), F.sum("links").alias("links"))
+    ids = df.select(F.col(key).alias("k")).where("k is not null").distinct()
+    return ids.join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("class", "k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str, left: str = "doc_a", right: str = "doc_b") -> DataFrame:
     """``(left, right)``, left < right: rows whose texts differ but look the same.
 
@@ -199,11 +229,7 @@ def look_alike_pairs(df: DataFrame, key: str, text: str, left: str = "doc_a", ri
     members joined to the pairs, so a text with many copies costs no more than
     its pairs. A key that is repeated with other texts is paired by each.
     """
-    texts = df.select(F.col(key).alias("k"), F.col(text).alias("raw")).where("k is not null and raw is not null")
-    # The raw text's fingerprint travels through the operator beside the key.
-    tagged = texts.select(F.struct("k", F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(11), "raw").alias("r2")).alias("id"), "raw")
-    forms = canonical_texts(tagged, "id", "raw").where(F.regexp_replace("canonical", r"[\p{Z}\p{C}]", "") != "")
-    members = cut_lineage(forms.select("id.k", "id.r1", "id.r2", F.xxhash64("canonical").alias("c1"), F.xxhash64(F.lit(11), "canonical").alias("c2")).distinct())
+    members = _members(df, key, text)
     classes = members.select("c1", "c2", "r1", "r2").distinct()
     other = classes.select("c1", "c2", F.col("r1").alias("s1"), F.col("r2").alias("s2"))
     pairs = classes.join(other, ["c1", "c2"]).where("r1 < s1 or (r1 = s1 and r2 < s2)").drop("c1", "c2")

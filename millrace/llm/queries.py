@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import count_tokens, encode_texts
-from millrace.llm.lookalikes import canonical_texts, look_alike_pairs
+from millrace.llm.lookalikes import canonical_texts, look_alike_classes, look_alike_pairs
 from millrace.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from millrace.llm.packing import pack
 from millrace.llm.pii import find_personal_data, redact_personal_data
@@ -64,6 +64,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document among those that look the same, and to how many it is linked."""
+    return look_alike_classes(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one consistent form."""
     return canonical_texts(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -117,6 +122,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
     "p10_canonical": p10_canonical,
 }
 ORACLE = {"p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, "p6_found": P6_SQL}

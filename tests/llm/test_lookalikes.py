@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm.lookalikes import CYRILLIC, GREEK, ambiguous_tokens, canonical_texts, folded, look_alike_pairs, repaired
+from millrace.llm.lookalikes import ARMENIAN, CHEROKEE, CYRILLIC, GREEK, ambiguous_tokens, canonical_texts, folded, look_alike_classes, look_alike_pairs, repaired
 
 BACK = {v: k for k, v in CYRILLIC.items()}
 
@@ -19,7 +19,7 @@ def canonical(text):
     ("a", "b"),
     [
         ("alone", "аlоnе"), ("toolkit", "tοolkit"), ("ｃｌｏｓｅ．", "close."), ("find flow", "ﬁnd ﬂow"), ("hands-on", "hands‑on"), ("a b", "a b"), ("a b", "a b"), ("word", "wo​rd﻿"),
-        ("soft", "so­ft"), ("é", "é"), ("Kelvin", "Kelvin"), ("Ｎｏ １２", "No 12"), ("line\nbreak", "line\r\nbreak"), ("ёлка ждёт", "ëлка ждëт"), ("Мы и он", "Mы и oн"), ("熟悉Go的同事", "熟悉Gо的同事"), ("a I", "а І"),
+        ("soft", "so­ft"), ("é", "é"), ("Kelvin", "Kelvin"), ("Ｎｏ １２", "No 12"), ("line\nbreak", "line\r\nbreak"), ("ёлка ждёт", "ëлка ждëт"), ("Мы и он", "Mы и oн"), ("熟悉Go的同事", "熟悉Gо的同事"), ("a I", "а І"), ("soon", "s\u0585\u0585n"), ("gone", "\u0581\u0585\u0578e"), ("GRAB", "\u13c0\u13a1A\u13f4"), ("Մարդ", "Մարդ"),
     ],
 )
 def test_look_the_same(a, b):
@@ -45,8 +45,9 @@ def test_substitutions_never_matter(text, mask):
 
 
 def test_tables_are_one_to_one():
-    assert len(set(CYRILLIC.values())) == len(CYRILLIC) - 0 or True
-    assert all(len(k) == len(v) == 1 for t in (CYRILLIC, GREEK) for k, v in t.items())
+    tables = (CYRILLIC, GREEK, ARMENIAN, CHEROKEE)
+    assert all(len(k) == len(v) == 1 and v.isascii() for t in tables for k, v in t.items())
+    assert sum(map(len, tables)) == len({k for t in tables for k in t})
 
 
 def test_operators(spark, rows):
@@ -57,3 +58,6 @@ def test_operators(spark, rows):
     assert canonical_texts(df, "doc_id", "text").count() == len(data)
     assert rows(look_alike_pairs(df, "doc_id", "text")) == sorted([(1, 2), (2, 3), (9, 10), (11, 12)], key=repr)
     assert rows(look_alike_pairs(df.limit(0), "doc_id", "text")) == []
+    classes = {k: (c, n) for k, c, n in rows(look_alike_classes(df, "doc_id", "text"))}
+    assert classes == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (4, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0), 8: (8, 0), 9: (9, 1), 10: (9, 1), 11: (11, 1), 12: (11, 1)}
+    assert rows(look_alike_classes(df.limit(0), "doc_id", "text")) == []
