@@ -178,8 +178,14 @@ def read_figure(text: str | None) -> Figure | None:
 
 _ANY_CURRENCY = re.compile(rf"(?<![^\W\d_])(?:{_either(w for w in _CURRENCY_OF if w.isalpha() or ' ' in w)})(?![^\W\d_])|[€£₹$]", re.I)
 _ANY_PERIOD = re.compile(rf"(?<![^\W\d_])(?:{_either(w for w in _PERIOD_OF if len(w) > 2 and w not in ('hour','days'))}|hour)(?![^\W\d_])", re.I)
+# A statement of units is a sentence: subject [place] verb ... currency [period].
+# What such a sentence is about, where that stands, and what is said of it.
+_SUBJECT = r"(?:pay|salary|salaries|wages?|remuneration|compensation)"
+_THING = r"(?:figures?|amounts?|numbers?|values?|ranges?|bands?|rates?)"
+_PLACE = r"(?:above|below|here|range|for this (?:post|role|job|position)|in th(?:e|is) (?:posting|ad|field))"
+_SAID = r"(?:stated|quoted|paid|given|listed|shown|expressed|meant|measured|denominated)"
 _STATEMENT = re.compile(
-    r"[^.\n]*\b(?:remuneration is|compensation for this (?:post|role|job|position) is|(?:the )?salary above is|pay figures are|all pay amounts|numbers in the pay field|(?:pay|salary|salaries|wages|remuneration|compensation)(?: (?:is|are|range is))? (?:stated|quoted|paid|given|listed|shown|in))\b[^.\n]*",
+    rf"[^.\n]*\b(?:{_THING} in the {_SUBJECT} field|{_SUBJECT} {_THING}|{_SUBJECT})(?: {_PLACE})*(?: ?:| (?:is|are|means?)\b| {_SAID}\b| in\b)[^.\n]*",
     re.I,
 )
 
