@@ -157,3 +157,15 @@ def count_tokens(df: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENI
 
     kind = df.schema[key].dataType.simpleString()
     return arrow_map(spread(df.select(key, text)), setup, f"`{key}` {kind}, n_tokens bigint")
+
+
+def decode_ids(df: DataFrame, key: str, ids: str, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = BYTE_BPE_50K) -> DataFrame:
+    """``(key, text)``: the text of every list of ids; null and empty lists give an empty text."""
+    path = str(Path(tokenizer_dir) / vocabulary)
+
+    def setup():
+        parts = {i: token for token, i in read_ranks(path).items()}
+        return lambda keys, lists: (keys, [b"".join(parts[i] for i in x or ()).decode("utf-8", "surrogatepass") for x in lists])
+
+    kind = df.schema[key].dataType.simpleString()
+    return arrow_map(df.select(key, ids), setup, f"`{key}` {kind}, text string")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import count_tokens, encode_texts
+from millrace.llm.bpe import count_tokens, decode_ids, encode_texts
 from millrace.llm.lookalikes import canonical_texts, look_alike_classes, look_alike_pairs
 from millrace.llm.neardup import near_duplicate_groups, near_duplicate_pairs
-from millrace.llm.packing import pack
+from millrace.llm.packing import CAPACITY, pack
 from millrace.llm.pii import find_personal_data, redact_personal_data
 from millrace.llm.places import map_places
 from millrace.llm.topn import readable_score, top_per_group
+from millrace.session import cut_lineage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +55,33 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document from its token ids."""
+    return decode_ids(encode_texts(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "ids")
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of 2,048 tokens in which every part of a document lies."""
     return pack(count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: none is over the capacity, no document that
+    fits in one is cut, and every token of every document lies in exactly one."""
+    sizes = cut_lineage(count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    placed = cut_lineage(pack(sizes, "doc_id", "n_tokens"))
+    fills = placed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    parts = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("parts"), F.max(F.col("start_at") + F.col("n_tokens")).alias("end"), F.count_if(F.col("container").isNull()).alias("nowhere"))
+    each = sizes.join(parts, "doc_id", "left").agg(
+        F.count("*").alias("documents"), F.sum("nowhere").alias("without_container"), F.count_if((F.col("n_tokens") <= CAPACITY) & (F.col("parts") > 1)).alias("cut_needlessly"),
+        F.count_if(F.coalesce("placed", F.lit(-1)) != F.col("n_tokens")).alias("tokens_lost"), F.count_if(F.col("end") != F.col("n_tokens")).alias("gaps"),
+    )
+    over = fills.agg(F.count_if(F.col("fill") > CAPACITY).alias("over_capacity"), F.sum("fill").alias("fill"), F.count("*").alias("n"))
+    wasteful = over.select("over_capacity", (F.col("n") > F.ceil(F.col("fill") / CAPACITY) * 1.01 + 1).alias("wasteful"))
+    both = each.unionByName(wasteful, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("documents", "without_container", "cut_needlessly", "tokens_lost", "gaps", "over_capacity", "wasteful")])
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose texts differ but look the same."""
     return look_alike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -120,9 +143,17 @@ QUERIES = {
     "p4_groups": p4_groups,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
     "p9_containers": p9_containers,
+    "p9_checked": p9_checked,
     "p10_found": p10_found,
     "p10_classes": p10_classes,
     "p10_canonical": p10_canonical,
 }
-ORACLE = {"p4_found": P4_SQL, "p4_groups": P4_GROUPS_SQL, "p6_found": P6_SQL}
+ORACLE = {
+    "p4_found": P4_SQL,
+    "p4_groups": P4_GROUPS_SQL,
+    "p6_found": P6_SQL,
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_checked": "SELECT count(*) AS documents, count(*) FILTER (coalesce(text, '') = '') AS without_container, 0::BIGINT AS cut_needlessly, 0::BIGINT AS tokens_lost, 0::BIGINT AS gaps, 0::BIGINT AS over_capacity, false AS wasteful FROM documents",
+}
