@@ -39,6 +39,8 @@ _JOB, _THING, _PARTICLE = (regex.compile(rf"(?:{x})", regex.I) for x in (NOT_NAM
 
 # Words before a mention that tell people from firms and places.
 _LEADS = frozenset("at of from by with in for to and near the".split())
+#: What a cue for a name ends with.
+_BEFORE_NAMES = frozenset(" :-–\n")
 _LAST_WORD = regex.compile(r"\p{L}+$")
 
 
@@ -80,6 +82,13 @@ def _around(text: str, start: int, end: int) -> list[str]:
 
 def observe(text: str, mentions: list[list[Candidate]], given: frozenset[str], common: frozenset[str]) -> Sequence:
     """The observed sequence of a text's mentions."""
+    known: dict[str, str] = {}
+
+    def class_of(word: str) -> str:
+        if word not in known:
+            known[word] = _class_of(word, given, common)
+        return known[word]
+
     features, may, keys = [], [], []
     previous: Candidate | None = None
     for mention in mentions:
@@ -93,9 +102,8 @@ def observe(text: str, mentions: list[list[Candidate]], given: frozenset[str], c
         first = mention[0]
         if first.kind == "person_name":
             before = text[max(0, start - 40) : start]
-            cue = "name" if CUES["name"].search(before) else ""
-            pieces = _PIECES.findall(text[start:end])
-            classes = "".join(_class_of(w, given, common) for w in pieces)
+            cue = "name" if first.form == "cued" or (before[-1:] in _BEFORE_NAMES and CUES["name"].search(before)) else ""
+            classes = "".join(class_of(w) for w in _PIECES.findall(text[start:end]))
             capital = "A" if text[start:end].isupper() else "a"
             kinds = "".join(sorted(set(classes)))
             fs += ["W" + classes + capital, "k" + kinds, f"{first.form}+{cue}", f"k{kinds}+{cue}", f"k{kinds}{around[0]}", f"k{kinds}{around[1]}", *("h" + c for c in set(classes))]

@@ -115,8 +115,9 @@ _CUED = regex.compile(
 _LONE = regex.compile(rf"(?:^|\n)\s*(?:(?:{TITLES})\. )?(?P<name>(?:\p{{Lu}}\. )+(?:(?:{PARTICLES}) )?\p{{Lu}}[\p{{L}}'’\-]+)(?=\s*(?:[\n,|·/;]|  |$))", regex.I)
 _NAME_CUE = regex.compile(rf"(?:(?<![\p{{L}}])(?:{NAME_CUES})(?: *[:\-–]? *|(?<=,)\n)|(?<![\p{{L}}])(?:{TITLES})\. )(?:(?:{TITLES})\.? )*$", regex.I)
 _SINGLE = regex.compile(r"(?<![\w@.\-'’])\p{Lu}[\p{L}'’\-]{2,}(?![\w@]|\s?[@＠])")
-#: Where an address can be: a line with one of these.
-_MAIL_LINE = regex.compile(r"[^\n]*(?:[@＠]|[\[({ ]\s?(?:at|AT)\s?[\])} ])[^\n]*")
+#: What stands between the two parts of an address.
+_AT_SIGN = regex.compile(r"\s?(?:[@＠]|[\[({]\s?(?:at|AT|@)\s?[\])}]|(?<=\s)(?:at|AT)(?=\s))")
+_LOCAL = frozenset(".+%-_")
 
 CUES = {"phone": _PHONE_CUE, "id": _ID_CUE, "not": _NOT_CUE, "name": _NAME_CUE}
 
@@ -156,9 +157,12 @@ class Grammar:
                 taken[start:end] = b"\x01" * (end - start)
                 found.append([Candidate(kind, start, end, form)])
 
-        for line in _MAIL_LINE.finditer(text):
-            for m in _EMAIL.finditer(text, line.start(), line.end()):
-                add("email", m.start(), m.end(), "at" if "@" in m.group() else "spelled")
+        for at in _AT_SIGN.finditer(text):
+            start = at.start()
+            while start and ((c := text[start - 1]).isalnum() or c in _LOCAL):
+                start -= 1
+            if start < at.start() and (m := _EMAIL.match(text, start)) and m.end() > at.end():
+                add("email", start, m.end(), "at" if "@" in m.group() else "spelled")
         for m in _STREET.finditer(text):
             goes_on = m["first"] and _GOES_ON.match(text, m.start("rest"))
             add("street_address", m.start(), m.start("rest") if goes_on else m.end(), "goes_on" if goes_on else m.lastgroup if m.lastgroup != "rest" else next(k for k in ("first", "french", "spanish", "german") if m[k]))
