@@ -40,8 +40,12 @@ def top_per_group(df: DataFrame, group: str, item: str, score: Column, time: Col
     group of one subgroup has its ranks after the first stage, so its rows are
     moved once. The sizes are counted first, from the column ``group`` alone.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), score.alias("s"), time.alias("t")).where("g is not null and i is not null")
-    large = cut_lineage(rows.groupBy("g").count().where(F.col("count") > together).select("g", F.ceil(F.col("count") / together).cast("int").alias("subgroups")))
+    named = df.where(F.col(group).isNotNull() & F.col(item).isNotNull())
+    sizes = named.groupBy(F.col(group).alias("_large_group")).count().where(F.col("count") > together)
+    large = cut_lineage(sizes.select("_large_group", F.ceil(F.col("count") / together).cast("int").alias("_large_subgroups")))
+    is_large = F.col(group) == F.col("_large_group")
+    # Scores are read after the groups are told apart, so each is read once.
+    wanted = [F.col(group).alias("g"), F.col(item).alias("i"), score.alias("s"), time.alias("t")]
     order = [F.desc("s"), F.desc_nulls_last("t"), F.asc("i")]
 
     def best(part: DataFrame, *by: str) -> DataFrame:
@@ -52,7 +56,7 @@ def top_per_group(df: DataFrame, group: str, item: str, score: Column, time: Col
     def ranked(items: DataFrame, *by: str) -> DataFrame:
         return items.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n)
 
-    salted = rows.join(large, "g").withColumn("salt", F.pmod(F.xxhash64("i"), F.col("subgroups")).cast("int"))
-    of_large = ranked(best(salted, "g", "salt").drop("r", "salt"), "g")
-    of_others = best(rows.join(large, "g", "left_anti"), "g")
+    salt = F.pmod(F.xxhash64(F.col(item)), F.col("_large_subgroups")).cast("int").alias("salt")
+    of_large = ranked(best(named.join(large, is_large).select(*wanted, salt), "g", "salt").drop("r", "salt"), "g")
+    of_others = best(named.join(large, is_large, "left_anti").select(*wanted), "g")
     return of_others.unionByName(of_large).select(F.col("g").alias(group), F.col("i").alias(item), F.col("r").cast("bigint").alias("rank_no"))
