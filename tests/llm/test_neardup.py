@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -137,22 +138,20 @@ def test_groups_are_those_of_the_pairs(spark, rows):
     assert rows(near_duplicate_groups(df.limit(0), "id", "title", "job_desc")) == []
 
 
-def test_no_exchange_that_adaptive_execution_may_not_split(spark):
-    """A tenth of all rows under one key: the join is split, as nothing repartitions before it."""
-    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64KB")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_a_hot_class_is_split(spark):
+    """A third of all rows are copies: adaptive execution splits their join, as
+    nothing is repartitioned before it."""
+    small = {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB", "adaptive.skewJoin.skewedPartitionFactor": "1.2", "adaptive.advisoryPartitionSizeInBytes": "4KB", "autoBroadcastJoinThreshold": "-1", "files.maxPartitionBytes": "16KB", "files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(f"spark.sql.{name}") for name in small}
     try:
+        for name, value in small.items():
+            spark.conf.set(f"spark.sql.{name}", value)
         base = " ".join(f"word{i}" for i in range(30))
-        data = [(f"{i:06}" + "k" * 40, "T", base if i % 10 < 3 else f"{base} {' '.join(f'x{i}y{j}' for j in range(90))}") for i in range(3000)]
-        members, _ = near_duplicate_classes(spark.createDataFrame([(*r, 0) for r in data], SCHEMA), "id", "title", "job_desc")
-        a, b = members.toDF("ka", "f1", "f2"), members.toDF("kb", "f1", "f2")
-        joined = a.join(b, ["f1", "f2"]).where("ka < kb")
-        joined.write.format("noop").mode("overwrite").save()
-        assert joined.count() == 900 * 899 // 2
-        plan = joined._jdf.queryExecution().executedPlan()
-        joined._jdf.queryExecution().toRdd().count()
-        assert "REPARTITION" not in plan.toString()
+        data = [(hashlib.sha256(str(i).encode()).hexdigest(), "T", base if i % 3 == 0 else f"{base} {' '.join(f'x{i}y{j}' for j in range(90))}") for i in range(600)]
+        members, _ = near_duplicate_classes(spark.createDataFrame([(*r, 0) for r in data], SCHEMA).repartition(6), "id", "title", "job_desc")
+        joined = members.toDF("ka", "f1", "f2").join(members.toDF("kb", "f1", "f2"), ["f1", "f2"]).where("ka < kb").select("ka")
+        assert len(joined.collect()) == 200 * 199 // 2
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        for name in ("adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.advisoryPartitionSizeInBytes", "autoBroadcastJoinThreshold"):
-            spark.conf.unset(f"spark.sql.{name}")
+        for name, value in before.items():
+            spark.conf.set(f"spark.sql.{name}", value)
