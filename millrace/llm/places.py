@@ -25,10 +25,11 @@ from millrace.session import cut_lineage
 EDITS = {6: 2, 5: 1}
 UNMATCHED = -1
 
-# Words around a place that don't belong to its name, and short forms.
+# Words around a place that don't belong to its name.
 BEFORE = ("the", "greater", "downtown", "near", "on-site", "onsite", "on site", "central", "hybrid", "metro")
 AFTER = ("area", "metro", "metro area", "metropolitan area", "region", "hq", "headquarters", "city centre", "city center", "hybrid", "on-site", "onsite", "office", "site")
-SHORT = {"st": "saint", "mt": "mount", "pt": "port", "prt": "port", "upr": "upper", "n": "new", "nw": "new", "lk": "lake"}
+# Words that begin many names and are written short.
+LEADING = ("saint", "mount", "port", "fort", "upper", "lower", "lake", "new", "north", "south", "east", "west")
 
 _LETTERS = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
 
@@ -58,8 +59,20 @@ def _letters_only(expr: str) -> str:
     return f"regexp_replace({expr}, '[^\\\\pL\\\\pN]', '')"
 
 
+def short_forms(words: tuple[str, ...] = LEADING) -> dict[str, str]:
+    """How words are written short: their first letter with the consonants after it
+    (``prt``, ``upr``), with the last of them alone (``pt``, ``lk``), and ``n`` for new."""
+    out = {"n": "new"}
+    for word in words:
+        after = re.sub(r"(.)\1", r"\1", re.sub("[aeiou]", "", word[1:]))
+        for short in (word[0] + after, word[0] + after[-1:]):
+            if 1 < len(short) < len(word):
+                out.setdefault(short, word)
+    return out
+
+
 def _spelled_out(expr: str) -> str:
-    for short, long in SHORT.items():
+    for short, long in short_forms().items():
         expr = f"regexp_replace({expr}, '(?i)^{short}(?:\\\\.\\\\s*|\\\\s+)(?=\\\\S)', '{long} ')"
     return expr
 
