@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import count_tokens, decode_ids, encode_texts
-from millrace.llm.lookalikes import canonical_texts, look_alike_classes, look_alike_pairs
+from millrace.llm.lookalikes import ARMENIAN, BREAKS, CHEROKEE, CYRILLIC, GREEK, HYPHENS, LIGATURES, canonical_texts, look_alike_classes, look_alike_pairs
 from millrace.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from millrace.llm.packing import CAPACITY, pack
 from millrace.llm.pii import find_personal_data, redact_personal_data
@@ -135,6 +137,35 @@ reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN bot
 SELECT j.id, least(j.id, coalesce((SELECT min(b) FROM reach WHERE a = j.id), j.id)) AS group_id, (SELECT count(*) FROM both_ways WHERE a = j.id) AS links FROM job_detail j
 """
 
+
+
+def _skeleton_sql(text: str) -> str:
+    """A text with all look-alikes as Latin letters, in SQL. Without regard to
+    scripts this is no readable form, but it is equal for texts that look the same."""
+    pairs = {chr(c): "-" if chr(c) in HYPHENS else " " for c in (*map(ord, HYPHENS), *(c for c in range(0x80, 0x3400) if unicodedata.category(chr(c)) == "Zs"))}
+    pairs |= {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)} | dict.fromkeys(BREAKS, "\n") | {"\uff0d": "-"}
+    latin = CYRILLIC | GREEK | ARMENIAN | CHEROKEE
+    for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))):
+        apart = unicodedata.normalize("NFD", c)
+        if len(apart) > 1 and apart[0] in latin and len(whole := unicodedata.normalize("NFC", latin[apart[0]] + apart[1:])) == 1:
+            latin = latin | {c: whole}
+    lit = lambda t: "'" + "".join(f"' || chr({ord(c)}) || '" if not c.isascii() or c in "'\\\n\r" else c for c in t) + "'"
+    out = f"replace({text}, chr(13) || chr(10), chr(10))"
+    out = f"regexp_replace({out}, '[\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}\\x{{034F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FFA0}}]', '', 'g')"
+    for c in LIGATURES:
+        out = f"replace({out}, chr({ord(c)}), '{unicodedata.normalize('NFKC', c)}')"
+    for table in (pairs, latin):
+        out = f"nfc_normalize(translate({out}, {lit(''.join(table))}, {lit(''.join(table.values()))}))"
+    return out
+
+
+_LOOKS = f"s AS (SELECT doc_id, text, {_skeleton_sql('text')} AS look FROM documents WHERE text IS NOT NULL), v AS (SELECT * FROM s WHERE regexp_replace(look, '[\\p{{Z}}\\p{{C}}]', '', 'g') <> '')"
+P10_SQL = f"WITH {_LOOKS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM v a JOIN v b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"
+P10_CLASSES_SQL = f"""
+WITH {_LOOKS}, n AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY look) AS class_id, count(*) OVER (PARTITION BY look) - count(*) OVER (PARTITION BY look, text) AS links FROM v)
+SELECT d.doc_id, coalesce(n.class_id, d.doc_id) AS class_id, coalesce(n.links, 0) AS links FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -155,5 +186,7 @@ ORACLE = {
     "p4_groups": P4_GROUPS_SQL,
     "p6_found": P6_SQL,
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p10_found": P10_SQL,
+    "p10_classes": P10_CLASSES_SQL,
     "p9_checked": "SELECT count(*) AS documents, count(*) FILTER (coalesce(text, '') = '') AS without_container, 0::BIGINT AS cut_needlessly, 0::BIGINT AS tokens_lost, 0::BIGINT AS gaps, 0::BIGINT AS over_capacity, false AS wasteful FROM documents",
 }
