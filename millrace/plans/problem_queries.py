@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.multivalue import COUNTRY_NAMES, MARKS, QUOTES
 from millrace.operators.instants import to_instants
 from millrace.operators.quantities import to_usd_per_year
 from millrace.operators.splitting import split_values
@@ -28,5 +31,42 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_instants(_table(spark, sf_dir, "job_detail"), "id", "update_time", "source", _table(spark, sf_dir, "board_ref"))
 
 
+# The SQL splits in another way than the operator: what must not be cut is first
+# rewritten with stand-ins for its delimiters, one replacement for names of the
+# place list, one for quotes, one for brackets and one for countries; then the
+# rest is cut at every delimiter, and the stand-ins are turned back.
+_HELD = "".join(chr(0xE000 + i) for i in range(len(MARKS)))
+_BREAK = "\uf8ff"
+
+
+def _sql(text: str) -> str:
+    """A text as SQL, with characters that are hard to see by their number."""
+    return "'" + "".join(f"' || chr({ord(c)}) || '" if c in "'\n\r\t" or not c.isascii() else c for c in text) + "'"
+
+
+def values_sql(least: int) -> str:
+    """``cut``: ``(id, pos, piece)`` of locations that hold at least ``least`` values."""
+    marks = "[" + "".join("\\" + c if c.isascii() and c.isprintable() else c for c in MARKS) + "]"
+    between = rf"(?:{marks}|\s(?:and|or)\s)"
+    quoted = "|".join(rf"{a}(?:{b}{b}|[^{b}]" + (rf"|{b}[\pL\pN]" if b in "'’" else "") + rf")*{b}" if a == b else rf"{a}[^{b}]*{b}" for a, b in QUOTES.items())
+    spelled = "|".join(sorted((re.escape(x) for code, names in COUNTRY_NAMES.items() for x in (code, *names)), key=lambda x: (-len(x), x)))
+    hold = lambda x: f"regexp_replace(translate({x}, {_sql(MARKS)}, {_sql(_HELD)}), ' (and|or) ', ' ' || {_sql(_BREAK)} || '\\1 ', 'g')"
+    inside = lambda x: f"(CASE WHEN length({x}) = 1 THEN {x} ELSE regexp_extract({x}, {_sql(f'^(?s:{between}?)')}) || {hold(f'regexp_replace({x}, {_sql(f"^(?s:{between}?)")}, $$$$)')} END)"
+    enclosed = " ".join(f"WHEN starts_with(x, {_sql(a)}) AND ends_with(x, {_sql(b)}) AND length(x) > 1 THEN replace(x[2:-2], {_sql(b + b)}, {_sql(b if a == b else b + b)})" for a, b in QUOTES.items())
+    pieces = lambda pattern, change, of: f"array_to_string(list_transform(regexp_extract_all({of}, {_sql('(?s)' + pattern + '|.')}), lambda x: {change}), '')"
+    return f"""
+names AS (SELECT list(n ORDER BY length(n) DESC, n) AS ns FROM (SELECT DISTINCT unnest(list_prepend(place_name, coalesce(alt_names, []))) AS n FROM place_ref) WHERE regexp_matches(n, {_sql(marks + '| (and|or) ')})),
+c0 AS (SELECT id, location AS t FROM job_detail WHERE regexp_matches(location, '\\S')),
+c1 AS (SELECT id, list_reduce(list_prepend(t, coalesce((SELECT ns FROM names), [])), lambda a, n: regexp_replace(a, '(?i)\\b(' || regexp_replace(regexp_replace(regexp_escape(n), {_sql('(\\\\)?(' + marks + ')')}, ')(\\1\\2)(', 'g'), '(\\\\ | )(and|or)(\\\\ | )', ' )(\\2)( ', 'g') || ')\\b',
+    '\\1' || CASE WHEN regexp_matches(n, ' (and|or) ') THEN {_sql(_BREAK)} || '\\2' ELSE translate(regexp_extract(n, {_sql(marks)}), {_sql(MARKS)}, {_sql(_HELD)}) END || '\\3', 'g')) AS t FROM c0),
+c2 AS (SELECT id, {pieces(rf"(?:^|{between})\s*(?:{quoted})", inside("x"), "t")} AS t FROM c1),
+c3 AS (SELECT id, {pieces(r"[(\[{][^()\[\]{}]*[)\]}]", f"CASE WHEN length(x) = 1 THEN x ELSE {hold('x')} END", "t")} AS t FROM c2),
+c4 AS (SELECT id, regexp_replace(t, {_sql(rf"([^\s{marks[1:-1]}])(\s*),(\s*(?i:{spelled})\s*)($|{marks}|\s(?:and|or)\s)")}, '\\1\\2' || {_sql(_HELD[MARKS.index(",")])} || '\\3\\4', 'g') AS t FROM c3),
+c5 AS (SELECT id, list_transform(regexp_split_to_array(t, {_sql(rf"{marks}|\s+(?:and|or)\s")}), lambda x: regexp_replace(translate(replace(x, {_sql(_BREAK)}, ''), {_sql(_HELD)}, {_sql(MARKS)}), '^\\s+|\\s+$', '', 'g')) AS xs FROM c4),
+c6 AS (SELECT id, list_filter(list_transform(xs, lambda x: CASE {enclosed} ELSE x END), lambda x: trim(x) <> '') AS xs FROM c5),
+cut AS (SELECT id, unnest(generate_series(1, len(xs))) AS pos, trim(unnest(xs)) AS piece FROM c6 WHERE len(xs) >= {least})
+"""
+
+
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
-ORACLE: dict[str, str] = {}
+ORACLE = {"p5_found": f"WITH {values_sql(2)} SELECT id, pos, piece FROM cut"}
