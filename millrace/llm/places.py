@@ -34,7 +34,7 @@ LEADING = ("saint", "mount", "port", "fort", "upper", "lower", "lake", "new", "n
 _LETTERS = [chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha()]
 
 
-def _plain_letters() -> tuple[str, str]:
+def plain_letters() -> tuple[str, str]:
     """Accented Latin letters and, at the same position, their base letters."""
     pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in _LETTERS]
     pairs = [(c, b.lower()) for c, b in pairs if b != c and b.isascii()] + [("ø", "o"), ("Ø", "o"), ("đ", "d"), ("ł", "l"), ("Ł", "l"), ("ı", "i")]
@@ -82,7 +82,7 @@ def _accent_key(expr: str) -> str:
 
 
 def _plain_key(expr: str) -> str:
-    source, target = _plain_letters()
+    source, target = plain_letters()
     return f"translate(regexp_replace({expr}, '\\\\pM', ''), {_lit(source)}, {_lit(target)})"
 
 

@@ -7,13 +7,15 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.multivalue import COUNTRY_NAMES, country_spellings
 from millrace.llm.bpe import count_tokens, decode_ids, encode_texts
 from millrace.llm.lookalikes import ARMENIAN, BREAKS, CHEROKEE, CYRILLIC, GREEK, HYPHENS, LIGATURES, canonical_texts, look_alike_classes, look_alike_pairs
 from millrace.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from millrace.llm.packing import CAPACITY, pack
 from millrace.llm.pii import find_personal_data, redact_personal_data
-from millrace.llm.places import map_places
+from millrace.llm.places import AFTER, BEFORE, EDITS, UNMATCHED, map_places, plain_letters, short_forms
 from millrace.llm.topn import readable_score, top_per_group
+from millrace.plans.problem_queries import values_sql
 from millrace.session import cut_lineage
 
 
@@ -139,6 +141,39 @@ SELECT j.id, least(j.id, coalesce((SELECT min(b) FROM reach WHERE a = j.id), j.i
 
 
 
+def _place_sql() -> str:
+    """Every value of a location against every name of the place list, by the keys
+    that the operator uses."""
+    source, target = plain_letters()
+    longer = lambda x: f"regexp_replace(lower({x}), '[^\\pL\\pN]', '', 'g')"
+    plain = lambda x: f"translate({x}, '{source}', '{target}')"
+
+    def accent(x: str) -> str:
+        x = f"trim({x})"
+        for short, word in short_forms().items():
+            x = f"regexp_replace({x}, '(?i)^{short}(?:\\.\\s*|\\s+)(\\S)', '{word} \\1')"
+        return longer(x)
+
+    before, after = ("|".join(sorted(x, key=len, reverse=True)) for x in (BEFORE, AFTER))
+    bare = "regexp_replace(regexp_replace(name, '[(\\[][^)\\]]*[)\\]]', ' ', 'g'), '^[^\\pL]+|[^\\pL]+$', '', 'g')"
+    stripped = f"regexp_replace(regexp_replace(trim({bare}), '(?i)^(?:(?:{before})\\s+)+', ''), '(?i)(?:\\s+(?:{after})\\b)+\\W*$', '')"
+    codes = {spelled: code for spelled, code in country_spellings(COUNTRY_NAMES).items()}
+    spelled = "|".join(sorted(codes, key=lambda c: (-len(c), c)))
+    tail = f"'(?i)\\s*(?:,\\s*({spelled})|\\(\\s*({spelled})\\s*\\))[\\s.*]*$'"
+    allowed = "CASE " + " ".join(f"WHEN length(r.plain) >= {n} THEN {k}" for n, k in sorted(EDITS.items(), reverse=True)) + " ELSE -1 END"
+    return f"""
+WITH {values_sql(1)},
+codes AS (SELECT unnest(map_entries(MAP {{{", ".join(f"'{a}': '{b}'" for a, b in sorted(codes.items()))}}})) AS e),
+refs AS (SELECT place_id, country_code, accent, {plain("accent")} AS plain FROM (SELECT DISTINCT place_id, country_code, {accent("n")} AS accent FROM (SELECT place_id, country_code, unnest(list_prepend(place_name, coalesce(alt_names, []))) AS n FROM place_ref) WHERE n IS NOT NULL) WHERE accent <> ''),
+parts AS (SELECT piece, regexp_replace(piece, {tail}, '') AS name, (SELECT e.value FROM codes WHERE e.key = lower(regexp_extract(piece, {tail}, 1) || regexp_extract(piece, {tail}, 2))) AS country FROM (SELECT DISTINCT piece FROM cut)),
+forms AS (SELECT *, {plain("accent")} AS plain FROM (SELECT piece, country, 0 AS form, {accent("name")} AS accent FROM parts UNION ALL SELECT piece, country, 1, {accent(stripped)} FROM parts) WHERE accent <> ''),
+equal AS (SELECT piece, place_id, country IS NOT DISTINCT FROM country_code AS same, form * 2 + CASE WHEN f.accent = r.accent THEN 0 ELSE 1 END AS level, 0 AS edits FROM forms f JOIN refs r ON f.plain = r.plain),
+alike AS (SELECT piece, place_id, country IS NOT DISTINCT FROM country_code AS same, 4 AS level, levenshtein(f.plain, r.plain) AS edits FROM forms f JOIN refs r ON levenshtein(f.plain, r.plain) <= {allowed} WHERE piece NOT IN (SELECT piece FROM equal)),
+chosen AS (SELECT piece, arg_min(place_id, (level, edits, NOT same, place_id)) AS place_id FROM (FROM equal UNION ALL FROM alike) GROUP BY piece)
+SELECT DISTINCT cut.id, coalesce(chosen.place_id, {UNMATCHED}) AS place_id FROM cut LEFT JOIN chosen USING (piece)
+"""
+
+
 def _skeleton_sql(text: str) -> str:
     """A text with all look-alikes as Latin letters, in SQL. Without regard to
     scripts this is no readable form, but it is equal for texts that look the same."""
@@ -182,6 +217,7 @@ QUERIES = {
     "p10_canonical": p10_canonical,
 }
 ORACLE = {
+    "p2_found": _place_sql(),
     "p4_found": P4_SQL,
     "p4_groups": P4_GROUPS_SQL,
     "p6_found": P6_SQL,
