@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.functions.instants import ABBREVIATIONS
 from millrace.functions.multivalue import COUNTRY_NAMES, MARKS, QUOTES
 from millrace.operators.instants import to_instants
 from millrace.operators.quantities import to_usd_per_year
@@ -68,5 +69,51 @@ cut AS (SELECT id, unnest(generate_series(1, len(xs))) AS pos, trim(unnest(xs))
 """
 
 
+# The SQL takes a time apart from left to right, one expression for the date, one
+# for the time and one for the zone, and leaves the calendar to the database.
+_MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+_DATE_FORMS = (
+    (r"(\d{4})-(\d{1,2})-(\d{1,2})", "ymd"), (r"(\d{4})/(\d{1,2})/(\d{1,2})", "ymd"), (r"(\d{4})\.(\d{1,2})\.(\d{1,2})", "ymd"), (r"(\d{4})(\d\d)(\d\d)", "ymd"),
+    *((rf"(\d{{1,2}}){mark}(\d{{1,2}}){mark}(\d{{4}})", "aby") for mark in ("-", r"\.", "/")),
+    (rf"(\d{{1,2}})(?:st|nd|rd|th)?[ -]({_MONTHS})\.?[ -](\d{{4}})", "dny"), (rf"({_MONTHS})\.? {{1,2}}(\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})", "ndy"),
+)
+_DAY_NAME = r"(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? "
+
+
+def _instants_sql() -> str:
+    x = "regexp_replace(regexp_replace(update_time, '\\s+$', ''), '(?i)^\\s*(?:[A-Za-z][A-Za-z ]*:\\s*|(?:posted|updated|published|last updated|as of)(?: on)?\\s+)?', '')"
+    empty = "{'a': '', 'b': '', 'c': '', 'r': ''}"
+    # A line break of a mail's form, day name first and year last, is written like the others.
+    last = rf"regexp_replace(t, '(?i)^{_DAY_NAME}({_MONTHS})\.? {{1,2}}(\d{{1,2}}) (\d\d:\d\d:\d\d)((?: [A-Z]{{1,5}})?) (\d{{4}})$', '\1 \2, \5 \3\4')"
+    dates = " ".join(rf"WHEN regexp_matches(t, '(?i)^{form}(?:$|[Tt, ])') THEN struct_pack(f := '{names}', v := regexp_extract(t, '(?i)^{form}(.*)$', ['a', 'b', 'c', 'r']))" for form, names in _DATE_FORMS)
+    part = lambda name: "CASE f " + " ".join(f"WHEN '{n}' THEN v.{'abc'[n.index(name)]}" for n in ("ymd", "dny", "ndy") if name in n) + " END"
+    months = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1))
+    time = r"^(?:T|,? (?:at )?)(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d+))?)?(?: ?([ap])(?:m|\.m\.)((?:[^a-z].*)?)|(.*))$"
+    basic = r"^T(\d\d)(\d\d)(?:(\d\d)(?:[.,](\d+))?)?((?:z|[+-]\d\d:?(?:\d\d)?)?)$"
+    zone = r"^ ?(?:(?:UTC|GMT)?([+\-−])(\d\d?):?(\d\d)?(?: ?\[[\w/+\-]+\]| ?\([^)]*\))?|([A-Za-z]{1,5})|\[?([A-Za-z_]+(?:/[A-Za-z_+\-]+)+)\]?)?$"
+    abbreviations = ", ".join(f"('{a}', {m})" for a, m in ABBREVIATIONS.items())
+    return rf"""
+WITH z(abbr, minutes) AS (VALUES {abbreviations}),
+t0 AS (SELECT j.id, {x} AS t, coalesce(b.zone_name, 'UTC') AS zone_name, coalesce(b.date_order, 'YMD') AS date_order FROM job_detail j LEFT JOIN board_ref b ON b.source = j.source WHERE update_time IS NOT NULL),
+e0 AS (SELECT id, regexp_extract(t, '^([+-]?)(\d{{10,}})(?:[.,](\d+))?$', ['sign', 'n', 'f']) AS e FROM t0 WHERE regexp_matches(t, '^[+-]?\d{{10,}}(?:[.,]\d+)?$')),
+e1 AS (SELECT id, CASE e.sign WHEN '-' THEN -1 ELSE 1 END * CASE WHEN length(e.n) <= 11 THEN try_cast(e.n AS BIGINT) * 1000 + rpad(left(e.f, 3), 3, '0')::BIGINT WHEN length(e.n) <= 14 THEN try_cast(e.n AS BIGINT) WHEN length(e.n) <= 17 THEN try_cast(e.n AS HUGEINT) // 1000 ELSE try_cast(e.n AS HUGEINT) // 1000000 END AS epoch_ms FROM e0),
+t1 AS (SELECT * REPLACE (regexp_replace({last}, '(?i)^{_DAY_NAME}', '') AS t) FROM t0 WHERE id NOT IN (SELECT id FROM e0)),
+t2 AS (SELECT *, CASE {dates} END AS fv FROM t1),
+t3 AS (SELECT *, fv.f AS f, fv.v AS v FROM t2 WHERE fv IS NOT NULL),
+t4 AS (SELECT id, zone_name, v.r AS r, CASE WHEN f = 'aby' THEN v.c ELSE {part("y")} END::INT AS y,
+  CASE WHEN f = 'aby' THEN CASE WHEN date_order = 'MDY' THEN v.a WHEN date_order = 'DMY' OR try_cast(v.a AS INT) > 12 THEN v.b END WHEN f = 'ymd' THEN v.b END::INT AS m0, CASE left(lower({part("n")}), 3) {months} END AS mn,
+  CASE WHEN f = 'aby' THEN CASE WHEN date_order = 'MDY' THEN v.b WHEN date_order = 'DMY' OR try_cast(v.a AS INT) > 12 THEN v.a END ELSE {part("d")} END::INT AS d FROM t3),
+t5 AS (SELECT id, zone_name, r, try_cast(printf('%04d-%02d-%02d', y, coalesce(m0, mn), d) AS DATE) AS day, regexp_extract(r, '(?i){time}', ['h', 'mi', 's', 'f', 'ap', 'z', 'z2']) AS a, regexp_extract(r, '(?i){basic}', ['h', 'mi', 's', 'f', 'z']) AS b FROM t4),
+t6 AS (SELECT id, zone_name, day, CASE WHEN b.h <> '' THEN {{'h': b.h, 'mi': b.mi, 's': b.s, 'f': b.f, 'ap': '', 'z': b.z}} ELSE {{'h': a.h, 'mi': a.mi, 's': a.s, 'f': a.f, 'ap': a.ap, 'z': a.z || a.z2}} END AS c, r FROM t5 WHERE day IS NOT NULL AND (r = '' OR a.h <> '' OR b.h <> '')),
+t7 AS (SELECT id, zone_name, day, c, CASE WHEN c.ap = '' THEN CASE WHEN c.h = '' THEN 0 ELSE try_cast(c.h AS INT) END WHEN try_cast(c.h AS INT) BETWEEN 1 AND 12 THEN try_cast(c.h AS INT) % 12 + CASE lower(c.ap) WHEN 'p' THEN 12 ELSE 0 END END AS h, coalesce(nullif(c.mi, ''), '0')::INT AS mi, coalesce(nullif(c.s, ''), '0')::INT AS s,
+  rpad(left(c.f, 3), 3, '0')::BIGINT AS ms, regexp_extract(c.z, '(?i){zone}', ['sign', 'oh', 'om', 'abbr', 'zone']) AS o FROM t6 WHERE regexp_matches(c.z, '(?i){zone}')),
+t8 AS (SELECT *, day + to_hours(h) + to_minutes(mi) + to_seconds(s) AS local, CASE WHEN o.sign <> '' AND try_cast(o.oh AS INT) <= 18 AND coalesce(nullif(o.om, ''), '0')::INT <= 59 THEN (try_cast(o.oh AS INT) * 60 + coalesce(nullif(o.om, ''), '0')::INT) * CASE o.sign WHEN '+' THEN 1 ELSE -1 END WHEN o.abbr <> '' THEN (SELECT minutes FROM z WHERE z.abbr = upper(o.abbr)) END AS minutes,
+  CASE WHEN o.sign = '' AND o.abbr = '' THEN coalesce(nullif(o.zone, ''), zone_name) END AS named FROM t7 WHERE h <= 23 AND mi <= 59 AND s <= 59),
+t9 AS (SELECT *, CASE WHEN named IN (SELECT name FROM pg_timezone_names()) THEN timezone(named, local) END AS inst FROM t8)
+SELECT id, epoch_ms::BIGINT AS epoch_ms FROM e1 UNION ALL
+SELECT id, CASE WHEN minutes IS NOT NULL THEN epoch_ms(local) - minutes * 60000 WHEN timezone(named, inst - INTERVAL 1 HOUR) = local THEN epoch_ms(inst) - 3600000 ELSE epoch_ms(inst) END + ms AS epoch_ms FROM t9 WHERE minutes IS NOT NULL OR inst IS NOT NULL
+"""
+
+
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
-ORACLE = {"p5_found": f"WITH {values_sql(2)} SELECT id, pos, piece FROM cut"}
+ORACLE = {"p5_found": f"WITH {values_sql(2)} SELECT id, pos, piece FROM cut", "p7_found": _instants_sql()}
