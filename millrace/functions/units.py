@@ -70,7 +70,7 @@ PERIOD_WORDS = {
     "year": ("year", "yearly", "annually", "annum", "yr", "y", "p.a.", "pa", "jahr", "jährlich", "an", "année", "año", "rok", "rocznie", "annual"),
 }
 # Words that are read as a period only after one of the leads.
-_NEEDS_LEAD = {"h", "d", "w", "y", "an", "mo", "pa", "std", "hr", "wk", "yr", "day", "days", "hours"}
+NEEDS_LEAD = {"h", "d", "w", "y", "an", "mo", "pa", "std", "hr", "wk", "yr", "day", "days", "hours"}
 _LEADS = r"/\s*|(?:per|an|a|each|every|pro|im|am|al|por|par|na|de)\s+|de\s+l['’]"
 SCALE_WORDS = {"k": 1e3, "thousand": 1e3, "tsd": 1e3, "mille": 1e3, "m": 1e6, "mio": 1e6, "million": 1e6, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lpa": 1e5, "crore": 1e7, "crores": 1e7, "cr": 1e7}
 
@@ -87,7 +87,7 @@ _TOKEN = re.compile(
     rf"|(?P<cur>{_either(w for w in _CURRENCY_OF if not w.isalpha() and ' ' not in w)}|(?<![^\W\d_])(?:{_either(w for w in _CURRENCY_OF if w.isalpha() or ' ' in w)})(?![^\W\d_]))"
     rf"|(?P<num>{_NUMBER})"
     rf"|(?<![^\W\d_])(?P<scale>{_either(SCALE_WORDS)})(?![^\W\d_])"
-    rf"|(?<![^\W\d_])(?P<period>{_either(w for w in _PERIOD_OF if w not in _NEEDS_LEAD)})(?![^\W\d_])"
+    rf"|(?<![^\W\d_])(?P<period>{_either(w for w in _PERIOD_OF if w not in NEEDS_LEAD)})(?![^\W\d_])"
     r"|(?P<range>[-–—~‒−]|(?<!\w)(?:to|bis|do|until|through|and)(?!\w))"
     r"|(?P<word>[^\W\d_]+(?:['’][^\W\d_]+)?\.?)|(?P<mark>[^\w\s])",
     re.I,
@@ -184,6 +184,7 @@ _SUBJECT = r"(?:pay|salary|salaries|wages?|remuneration|compensation)"
 _THING = r"(?:figures?|amounts?|numbers?|values?|ranges?|bands?|rates?)"
 _PLACE = r"(?:above|below|here|range|for this (?:post|role|job|position)|in th(?:e|is) (?:posting|ad|field))"
 _SAID = r"(?:stated|quoted|paid|given|listed|shown|expressed|meant|measured|denominated)"
+STATEMENT_PARTS = (_SUBJECT, _THING, _PLACE, _SAID)
 _STATEMENT = re.compile(
     rf"[^.\n]*\b(?:{_THING} in the {_SUBJECT} field|{_SUBJECT} {_THING}|{_SUBJECT})(?: {_PLACE})*(?: ?:| (?:is|are|means?)\b| {_SAID}\b| in\b)[^.\n]*",
     re.I,

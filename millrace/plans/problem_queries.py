@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.instants import ABBREVIATIONS
 from millrace.functions.multivalue import COUNTRY_NAMES, MARKS, QUOTES
+from millrace.functions.units import CURRENCY_WORDS, NEEDS_LEAD, PERIOD_WORDS, SCALE_WORDS, STATEMENT_PARTS
 from millrace.operators.instants import to_instants
 from millrace.operators.quantities import to_usd_per_year
 from millrace.operators.splitting import split_values
@@ -115,5 +116,52 @@ SELECT id, CASE WHEN minutes IS NOT NULL THEN epoch_ms(local) - minutes * 60000
 """
 
 
+# The SQL reads the first figure or range with one expression, and looks for the
+# currency and the period on their own.
+
+
+def _pay_sql() -> str:
+    either = lambda words: "|".join(re.escape(w).replace("'", "''").replace("\\ ", " ") for w in sorted(words, key=lambda w: (-len(w), w)))
+    as_map = lambda table: "MAP {" + ", ".join(f"'{w.lower()}': '{code}'" for code, words in table.items() for w in words) + "}"
+    scales = "MAP {" + ", ".join(f"'{w}': {n}" for w, n in SCALE_WORDS.items()) + "}"
+    words = [w for ws in CURRENCY_WORDS.values() for w in ws]
+    symbols, named = [w for w in words if not w.isalpha() and " " not in w], [w for w in words if w.isalpha() or " " in w]
+    currency = rf"(?:{either(symbols)}|(?:^|[^\pL])(?:{either(named)})(?:$|[^\pL]))"
+    periods = [w for ws in PERIOD_WORDS.values() for w in ws]
+    alone = [w for w in periods if w not in NEEDS_LEAD]
+    number = r"\d{1,3}(?:[ \x{A0}\x{202F}]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[''’]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*"
+    scale = rf"(?:\s*({either(SCALE_WORDS)})(?:$|[^\pL]))?"
+    money = rf"(?:\s*(?:{either(words)}))?"
+    figure = rf"({number})(?:\s*({either(SCALE_WORDS)})\b)?{money}(?:\s*(?:[-–—~‒−]|\b(?:to|bis|do|until|through|and)\b)\s*(?:(?:{either(words)})\s*)?({number})(?:\s*({either(SCALE_WORDS)})\b)?)?(.*)$"
+    plain = lambda x: rf"regexp_replace({x}, '[''’\s\x{{A0}}\x{{202F}}]', '', 'g')"
+
+    def value(x: str) -> str:
+        t, marks = plain(x), f"regexp_extract_all({x}, '[.,]')"
+        whole = f"regexp_matches({t}, '[.,]\\d{{3}}$') AND CASE WHEN len({marks}) > 1 THEN {marks}[1] = {marks}[-1] OR NOT starts_with({t}, '0') ELSE NOT starts_with({t}, '0') END"
+        return f"try_cast(CASE WHEN {whole} THEN regexp_replace({t}, '[.,]', '', 'g') ELSE regexp_replace(regexp_replace({t}, '[.,](\\d*)$', '~\\1'), '[.,]', '', 'g').replace('~', '.') END AS DOUBLE)"
+
+    subject, thing, place, said = (x.replace("'", "''") for x in STATEMENT_PARTS)
+    statement = rf"(?i)[^.\n]*\b(?:{thing} in the {subject} field|{subject} {thing}|{subject})(?: {place})*(?: ?:| (?:is|are|means?)\b| {said}\b| in\b)[^.\n]*"
+    money_in = lambda x: rf"regexp_extract({x}, '(?i)(?:^|[^\pL])({either(named)})(?:$|[^\pL])|([€£₹$])', ['a', 'b'])"
+    period_in = rf"(?i)(?:^|[^\pL])({either([w for w in periods if len(w) > 2 and w not in ('hour', 'days')])}|hour)(?:$|[^\pL])"
+    return rf"""
+WITH money AS (SELECT {as_map(CURRENCY_WORDS)} AS m), time AS (SELECT {as_map(PERIOD_WORDS)} AS m), scales AS (SELECT {scales} AS m),
+s0 AS (SELECT id, job_desc, regexp_replace(salary, '(?is)\s(?:\+|plus|incl\b|including|excl\b|and (?:a )?bonus|zzgl\b).*$|[;,]\s+\d+\s*(?:days?|weeks?|hours?|%).*$|\([^)]*\)|\b\d+(?:[.,]\d+)?\s*%.*$', ' ', 'g') AS t FROM job_detail WHERE regexp_matches(salary, '\d')),
+s1 AS (SELECT id, job_desc, t, regexp_extract(t, '(?is){figure}', ['a', 'ka', 'b', 'kb', 'r']) AS f, trim(lower(regexp_replace(regexp_extract(t, '(?i){currency}'), '^[^\pL$€£₹]+|[^\pL$€£₹.]+$', '', 'g'))) AS cur FROM s0),
+s2 AS (SELECT *, {value("f.a")} AS low0, {value("f.b")} AS high0, (SELECT m[lower(f.ka)] FROM scales) AS k, (SELECT m[lower(f.kb)] FROM scales) AS q,
+  coalesce((SELECT m[cur] FROM money), CASE WHEN regexp_matches(lower(f.ka || ' ' || f.kb), 'la[kc]|lpa|cr') THEN 'INR' END) AS currency,
+  lower(regexp_extract(' ' || f.r, '(?i)(?:/\s*|(?:^|[^\pL])(?:per|an|a|each|every|pro|im|am|al|por|par|na|de)\s+|de\s+l[''’])({either(periods)})(?:$|[^\pL])|(?:^|[^\pL])({either(alone)})(?:$|[^\pL])', ['a', 'b']).a) AS led,
+  lower(regexp_extract(' ' || f.r, '(?i)(?:^|[^\pL])({either(alone)})(?:$|[^\pL])', 1)) AS bare FROM s1 WHERE f.a <> ''),
+s3 AS (SELECT id, job_desc, t, low0, coalesce(high0, low0) AS high0, high0 IS NULL AS single, k, CASE WHEN high0 IS NULL THEN k ELSE q END AS q, currency, coalesce((SELECT m[led] FROM time), (SELECT m[bare] FROM time), CASE WHEN regexp_matches(lower(f.ka || ' ' || f.kb), 'lpa') THEN 'year' END) AS period FROM s2),
+s4 AS (SELECT *, CASE WHEN k IS NULL AND q IS NOT NULL AND low0 <= high0 THEN q ELSE k END AS k1 FROM s3),
+s5 AS (SELECT *, low0 * coalesce(k1, 1) AS a, high0 * coalesce(CASE WHEN q IS NULL AND k1 IS NOT NULL AND high0 < low0 * k1 THEN k1 ELSE q END, 1) AS b FROM s4
+  WHERE currency IS NOT NULL OR NOT regexp_matches(t, '(?i)\b(?:401\s?k|equity|bonus|unpaid|trial|leave|holidays?|vacation|pension|stipend|budget|options)\b')),
+s6 AS (SELECT *, CASE WHEN currency IS NULL AND period IS NULL THEN list_filter(regexp_extract_all(job_desc, '{statement}'), lambda x: {money_in("x")}.a <> '' OR {money_in("x")}.b <> '')[1] END AS told FROM s5),
+s7 AS (SELECT id, a, b, coalesce(currency, (SELECT m[lower({money_in("told")}.a || {money_in("told")}.b)] FROM money)) AS currency, coalesce(period, (SELECT m[lower(regexp_extract(told, '{period_in}', 1))] FROM time), 'year') AS period FROM s6)
+SELECT id, floor(round(least(a, b) * c.factor * p.factor, 6) + 0.5)::BIGINT AS low_usd, floor(round(greatest(a, b) * c.factor * p.factor, 6) + 0.5)::BIGINT AS high_usd
+FROM s7 JOIN unit_ref c ON c.unit_kind = 'currency' AND c.unit_code = currency JOIN unit_ref p ON p.unit_kind = 'period' AND p.unit_code = period
+"""
+
+
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
-ORACLE = {"p5_found": f"WITH {values_sql(2)} SELECT id, pos, piece FROM cut", "p7_found": _instants_sql()}
+ORACLE = {"p5_found": f"WITH {values_sql(2)} SELECT id, pos, piece FROM cut", "p3_found": _pay_sql(), "p7_found": _instants_sql()}

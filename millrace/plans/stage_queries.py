@@ -16,6 +16,7 @@ from millrace.operators.knn import ExactIndex, ListIndex, top_similar
 from millrace.plans import access as A
 from millrace.plans.pipeline import mark_delivered, match_candidates, match_prompts, match_rows
 from millrace.plans.reference_queries import CUTOFF, TODAY, day_sql
+from millrace.plans.reference_queries import ORACLE as OTHERS
 from millrace.schemas import RANKED, SESSION_EVENT, TABLES
 from millrace.session import shared_folder
 from millrace.sources.listings import listings_of_feeds, listings_of_pages, to_jobs, union_with_failures, uploaded_texts
@@ -23,6 +24,7 @@ from millrace.streaming.queue import events_from, messages_of_firing
 from millrace.streaming.sessions import session_actions, session_stream
 
 NOW = "2026-03-31T00:00:00.000Z"
+ACTIONS_SQL = OTHERS["t07_session_actions"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -400,7 +402,7 @@ def _session_stream(t) -> DataFrame:
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@_query("t06_session_stream")
+@_query("t06_session_stream", ACTIONS_SQL)
 def _(t):
     return _session_stream(t)
 
