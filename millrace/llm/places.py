@@ -72,9 +72,10 @@ def short_forms(words: tuple[str, ...] = LEADING) -> dict[str, str]:
 
 
 def _spelled_out(expr: str) -> str:
-    for short, long in short_forms().items():
-        expr = f"regexp_replace({expr}, '(?i)^{short}(?:\\\\.\\\\s*|\\\\s+)(?=\\\\S)', '{long} ')"
-    return expr
+    forms = short_forms()
+    begins = f"'(?i)^({'|'.join(sorted(forms, key=len, reverse=True))})(?:\\\\.\\\\s*|\\\\s+)(?=\\\\S)'"
+    words = ", ".join(f"'{short}', '{word} '" for short, word in forms.items())
+    return f"concat(coalesce(element_at(map({words}), lower(regexp_extract({expr}, {begins}, 1))), ''), regexp_replace({expr}, {begins}, ''))"
 
 
 def _accent_key(expr: str) -> str:
