@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, release
 
 #: Rounds after which something must be wrong: they grow as the square of the
 #: logarithm of the longest chain.
@@ -45,6 +45,7 @@ def group_of(pairs: DataFrame, a: str, b: str) -> DataFrame:
         after = cut_lineage(_small_star(_large_star(edges)))
         mark = lambda e: e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         same = mark(edges) == mark(after)
+        release(edges)
         edges = after
         if same:
             break
