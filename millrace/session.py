@@ -4,6 +4,7 @@ where lineage is cut, and how far an input is spread before Python runs on it.""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -87,9 +88,12 @@ def room_for(spark: SparkSession, size: int, each: int = PARTITION) -> Iterator[
 
 
 def release(df: DataFrame) -> None:
-    """Deletes what ``cut_lineage`` wrote for ``df``, which nothing reads any more."""
+    """Deletes what ``cut_lineage`` wrote for ``df``, which nothing reads any more,
+    and lets Spark remove the shuffle files of work that is done."""
     if hasattr(df, "_cut_at"):
         _delete(df.sparkSession, df._cut_at)
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:
