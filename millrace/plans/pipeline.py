@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.providers import Config, EmbeddingProvider, RankProvider, embed_texts, job_entry, prompt_of, rank_prompts
 from millrace.functions.scalars import embedding_mark, indented_array, month_before, person_name
-from millrace.operators.knn import VectorIndex, top_similar
+from millrace.operators.knn import VectorIndex, shared_similar
 from millrace.operators.store import SnapshotStore, insert_if_absent, update_by_key, update_where, upsert_vectors
 from millrace.plans.access import eligible_users, new_matches, outbox, recent, unembedded_jobs
 from millrace.schemas import NO_DESCRIPTION
@@ -25,10 +25,18 @@ def match_candidates(users: DataFrame, resume_vectors: DataFrame, jobs: DataFram
     """``(user_id, rank, job columns)``: the recent jobs among each user's
     ``top_k`` most similar ones. The similar are found first and filtered after,
     so fewer may remain; users and jobs without a vector drop out."""
+    found, members = shared_candidates(users, resume_vectors, jobs, job_vectors, cutoff, top_k)
+    return found if members is None else members.join(found.withColumnRenamed("user_id", "like"), "like").drop("like")
+
+
+def shared_candidates(users: DataFrame, resume_vectors: DataFrame, jobs: DataFrame, job_vectors: DataFrame | VectorIndex, cutoff: str | Column, top_k: int = 30) -> tuple[DataFrame, DataFrame | None]:
+    """``match_candidates`` of one user for each vector that users have, and
+    ``(user_id, like)``: whose candidates are each user's. None: each has their own."""
     wanted = users.select("id", "vectorize_id").join(resume_vectors.select(F.col("id").alias("vectorize_id"), "embedding"), "vectorize_id").select("id", "embedding")
-    hits = top_similar(wanted, job_vectors, top_k) if isinstance(job_vectors, DataFrame) else job_vectors.query(wanted, top_k)
+    hits, members = shared_similar(wanted, job_vectors, top_k) if isinstance(job_vectors, DataFrame) else (job_vectors.query(wanted, top_k), None)
     hits = hits.select(F.col("query_id").alias("user_id"), F.col("id").alias("job_id"), "rank")
-    return hits.join(recent(jobs, cutoff).withColumnRenamed("id", "job_id"), "job_id")
+    found = hits.join(recent(jobs, cutoff).withColumnRenamed("id", "job_id"), "job_id")
+    return found, None if members is None else members.withColumnRenamed("query_id", "user_id")
 
 
 def match_prompts(users: DataFrame, candidates: DataFrame) -> DataFrame:

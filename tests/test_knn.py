@@ -64,3 +64,36 @@ def test_list_index(spark, monkeypatch):
     assert knn.ListIndex(vectors, probes=8, lists=8).recall(queries, 10) == 1.0
     empty = vectors.limit(0)
     assert knn.ListIndex(empty).query(queries, 3).count() == 0
+
+
+@pytest.mark.parametrize("operator", [knn.top_similar, in_blocks])
+def test_scores_equal_to_nine_digits_are_in_the_order_of_ids(spark, operator):
+    rng = np.random.default_rng(3)
+    way = rng.normal(size=16)
+    data = [(i, [float(x) for x in way * s]) for i, s in enumerate(rng.uniform(0.1, 9, 300))]  # one direction, so all scores are 1 but for float rounding
+    vectors = spark.createDataFrame(data, "id bigint, embedding array<double>").repartition(5)
+    got = operator(vectors.where("id in (7, 8)"), vectors, 20)
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got.collect()) == [(q, i + 1, i) for q in (7, 8) for i in range(20)]
+
+
+def test_equal_vectors_leave_no_more_than_k(spark):
+    import pyarrow as pa
+
+    unit = knn._unit(np.random.default_rng(4).normal(size=(50, 8)))
+    best = knn._Best(np.arange(50).astype(object), unit, 3)
+    best.meet(np.array([f"{i:04}" for i in range(4000)], object), np.repeat(unit[:2], 2000, axis=0))
+    found = pa.Table.from_batches(best.batches(pa.schema([("q", pa.int64()), ("id", pa.string()), ("s", pa.float64())]))).to_pylist()
+    assert len(found) == 150 and {r["id"] for r in found if r["q"] == 0} == {"0000", "0001", "0002"} and {r["id"] for r in found if r["q"] == 1} == {"2000", "2001", "2002"}
+
+
+@pytest.mark.parametrize("most", [0, knn.MOST_BROADCAST])
+def test_equal_queries_are_searched_once(spark, most):
+    data = [(i, [float(i % 3), 1.0]) for i in range(60)]
+    vectors = spark.createDataFrame(data, SCHEMA)
+    found, members = knn.shared_similar(vectors, vectors, 4, most)
+    assert found.count() == 12 and members.count() == 60
+    got = knn.top_similar(vectors, vectors, 4, most).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(q, n + 1, q % 3 + 3 * n) for q in range(60) for n in range(4)]
+    # An id with several vectors has one result from all of them.
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], SCHEMA)
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in knn.top_similar(twice, vectors, 3, most).collect()) == [(1, 1, 0), (1, 2, 3), (1, 3, 6), (2, 1, 2), (2, 2, 5), (2, 3, 8)]
