@@ -39,10 +39,16 @@ def shared_candidates(users: DataFrame, resume_vectors: DataFrame, jobs: DataFra
     return found, None if members is None else members.withColumnRenamed("query_id", "user_id")
 
 
-def match_prompts(users: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``(user_id, prompt)``: what the ranking model is asked of each user."""
+def match_prompts(users: DataFrame, candidates: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """``(user_id, prompt)``: what the ranking model is asked of each user.
+
+    With the ``members`` of ``shared_candidates`` a list is written once for all
+    users that share it, and meets them after their resumes, so that no list moves
+    more than once.
+    """
     lists = candidates.groupBy("user_id").agg(indented_array(F.col("rank"), job_entry()).alias("jobs"))
-    asked = lists.join(users.select(F.col("id").alias("user_id"), "resume", "job_expectations"), "user_id")
+    own = users.select(F.col("id").alias("user_id"), "resume", "job_expectations")
+    asked = lists.join(own, "user_id") if members is None else own.join(members, "user_id").join(lists.withColumnRenamed("user_id", "like"), "like")
     return asked.select("user_id", prompt_of(F.col("resume"), F.col("job_expectations"), F.col("jobs")).alias("prompt"))
 
 

@@ -14,7 +14,7 @@ from millrace.functions import scalars as S
 from millrace.functions.providers import PROMPT, HashedWords, KeepAll, embed_texts, rank_prompts
 from millrace.operators.knn import ExactIndex, ListIndex, top_similar
 from millrace.plans import access as A
-from millrace.plans.pipeline import mark_delivered, match_candidates, match_prompts, match_rows
+from millrace.plans.pipeline import mark_delivered, match_candidates, match_prompts, match_rows, shared_candidates
 from millrace.plans.reference_queries import CUTOFF, TODAY, day_sql
 from millrace.plans.reference_queries import ORACLE as OTHERS
 from millrace.schemas import RANKED, SESSION_EVENT, TABLES
@@ -297,16 +297,21 @@ hits AS (SELECT r.user_id, r.rank, j.* FROM r JOIN job_detail j ON j.id = r.job_
 """
 
 
-def _candidates(t) -> tuple[DataFrame, DataFrame]:
+def _matching(t) -> tuple:
+    """Users, their vectors, jobs, their vectors and the cutoff."""
     users, jobs, vectors = A.eligible_users(t("user_info")), t("job_detail"), t("embeddings")
     mine = _vectors_of(users.select("id"), vectors).select("id", "embedding")
-    own = users.withColumn("vectorize_id", F.col("id"))
-    return users, match_candidates(own, mine, jobs, _vectors_of(jobs.select("id"), vectors), CUTOFF)
+    return users.withColumn("vectorize_id", F.col("id")), mine, jobs, _vectors_of(jobs.select("id"), vectors), CUTOFF
 
 
 @_query("j10_match_stage", f"WITH {_HITS} SELECT user_id, id AS job_id, rank, title FROM hits")
 def _(t):
-    return _candidates(t)[1].select("user_id", "job_id", "rank", "title")
+    return match_candidates(*_matching(t)).select("user_id", "job_id", "rank", "title")
+
+
+def _prompts(t) -> DataFrame:
+    given = _matching(t)
+    return match_prompts(given[0], *shared_candidates(*given))
 
 
 _ENTRY_SQL = " || ',' || chr(10) || ".join(f"""'    "{name}": ' || to_json({value})::VARCHAR""" for name, value in (("jobId", "id"), *((n, f"coalesce({c}, '')") for n, c in (("jobTitle", "title"), ("jobLink", "link"), ("jobDescription", "job_desc"), ("location", "location"), ("salary", "salary")))))
@@ -322,8 +327,7 @@ def _prompt_sql() -> str:
 
 @_query("x04_prompts", f"WITH {_HITS}, l AS (SELECT user_id, {_LIST_SQL} AS jobs FROM hits GROUP BY user_id) SELECT l.user_id, {_prompt_sql()} AS prompt FROM l JOIN user_info u ON u.id = l.user_id")
 def _(t):
-    users, found = _candidates(t)
-    return match_prompts(users, found)
+    return _prompts(t)
 
 
 @_query(
@@ -331,8 +335,7 @@ def _(t):
     f"WITH {_HITS}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank) - 1 AS place FROM hits) SELECT user_id, id AS job_id, '{NOW}' AS update_time, 0 AS notification, greatest(10 - place, 0)::VARCHAR AS match_score, 'place' AS match_reason FROM k WHERE place <= 4",
 )
 def _(t):
-    users, found = _candidates(t)
-    return match_rows(rank_prompts(match_prompts(users, found), "user_id", "prompt", KeepAll()), NOW, threshold=6)
+    return match_rows(rank_prompts(_prompts(t), "user_id", "prompt", KeepAll()), NOW, threshold=6)
 
 
 @_query(

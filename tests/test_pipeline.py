@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from millrace.functions.providers import HashedWords, KeepAll
 from millrace.operators.store import SnapshotStore
 from millrace.plans.access import all_jobs_reply, outbox
-from millrace.plans.pipeline import Pipeline, match_prompts, self_test
-from millrace.schemas import JOB, MATCH, USER
+from millrace.plans.pipeline import Pipeline, match_candidates, match_prompts, self_test, shared_candidates
+from millrace.schemas import JOB, MATCH, USER, VECTOR
 from millrace.session import cut_lineage
 from millrace.sources.http import AllSourcesFailed
 from millrace.sources.listings import read_uploads
@@ -194,3 +194,22 @@ def test_replies_past_the_end(spark):
     assert list(all_jobs_reply(jobs, 1).first()["keys"]) == ["Current Page 2", "Total Page 2", "Pre Page", "Next Page"]
     assert all_jobs_reply(jobs, 2).first()["text"] == "No jobs available."
     assert tuple(all_jobs_reply(jobs.limit(0)).first()) == ("No jobs available.", ["Current Page 1", "Total Page 1", "Pre Page", "Next Page"])
+
+
+def alike(spark):
+    """Four users, of whom three have equal vectors, and their jobs."""
+    users = spark.createDataFrame([(u, None, None, None, f"cv of {u}", f"wish of {u}", u) for u in "abcd"], USER)
+    mine = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", [1.0, 0.0])], VECTOR)
+    jobs = spark.createDataFrame([(f"j{i}", f"T{i}", "desc", None, "l", "s", None, None, "2026-03-20", f"j{i}") for i in range(6)], JOB)
+    theirs = spark.createDataFrame([(f"j{i}", [float(i % 2), float(1 - i % 2)]) for i in range(6)], VECTOR)
+    return users, mine, jobs, theirs, "2026-03-01"
+
+
+def test_a_list_is_written_once_for_users_with_equal_vectors(spark, rows):
+    given = alike(spark)
+    found, members = shared_candidates(*given, 3)
+    assert rows(found, "user_id", "rank", "job_id") == [("a", 1, "j1"), ("a", 2, "j3"), ("a", 3, "j5"), ("c", 1, "j0"), ("c", 2, "j2"), ("c", 3, "j4")]
+    assert rows(members) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "a")]
+    got = rows(match_prompts(given[0], found, members))
+    assert got == rows(match_prompts(given[0], match_candidates(*given, 3)))
+    assert [u for u, text in got if f"cv of {u}" in text and f"wish of {u}" in text] == list("abcd")
