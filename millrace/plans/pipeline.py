@@ -140,10 +140,12 @@ class Pipeline:
         """Ranks the recent jobs among each eligible user's most similar ones."""
         users, jobs, matches = eligible_users(self.store.read("user_info")), self.store.read("job_detail"), self.store.read("user_matched_job")
         cutoff = month_before(F.lit(self.today).cast("date")).cast("string")
-        pool = match_candidates(users, self.store.read("resume_vector"), jobs, self.store.read("job_vector"), cutoff, self.top_k)
+        given = users, self.store.read("resume_vector"), jobs, self.store.read("job_vector"), cutoff, self.top_k
         if exclude_matched:
-            pool = pool.join(matches.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
-        ranked = rank_prompts(match_prompts(users, pool), "user_id", "prompt", self.ranker)
+            prompts = match_prompts(users, match_candidates(*given).join(matches.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti"))
+        else:
+            prompts = match_prompts(users, *shared_candidates(*given))
+        ranked = rank_prompts(prompts, "user_id", "prompt", self.ranker)
         new = cut_lineage(new_matches(matches, cut_lineage(match_rows(ranked, self.now, threshold))))
         added = new.count()
         if added:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.providers import HashedWords, KeepAll
 from millrace.operators.store import SnapshotStore
+from millrace.plans import pipeline
 from millrace.plans.access import all_jobs_reply, outbox
 from millrace.plans.pipeline import Pipeline, match_candidates, match_prompts, self_test, shared_candidates
 from millrace.schemas import JOB, MATCH, USER, VECTOR
@@ -213,3 +214,18 @@ def test_a_list_is_written_once_for_users_with_equal_vectors(spark, rows):
     got = rows(match_prompts(given[0], found, members))
     assert got == rows(match_prompts(given[0], match_candidates(*given, 3)))
     assert [u for u, text in got if f"cv of {u}" in text and f"wish of {u}" in text] == list("abcd")
+
+
+def test_matching_shares_lists_between_users(spark, tmp_path, monkeypatch):
+    users, mine, jobs, theirs, _ = alike(spark)
+    store = small_store(spark, tmp_path)
+    for name, df in (("user_info", users), ("resume_vector", mine), ("job_detail", jobs), ("job_vector", theirs)):
+        store.write(name, df)
+    lists = []
+    monkeypatch.setattr(pipeline, "match_prompts", lambda u, found, *members: lists.append(found.select("user_id").distinct().count()) or match_prompts(u, found, *members))
+    p = Pipeline(store, HashedWords(), KeepAll(), "2026-03-31", "now", top_k=3)
+    assert p.match() == 12
+    assert lists == [2]  # of four users, three alike
+    got = {(r["user_id"], r["job_id"], r["match_score"]) for r in store.read("user_matched_job").collect()}
+    assert got == {(u, j, s) for u in "abcd" for j, s in zip(("j0", "j2", "j4") if u == "c" else ("j1", "j3", "j5"), ("10", "9", "8"))}
+    assert p.match(exclude_matched=True) == 0
